@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, sharding
+from . import bpe, packing, quality, sharding
 from .common import fresh_path
 
 
@@ -36,10 +36,17 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.digest_docs(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_tiered_sharding": op5_tiered_sharding,
     "op6_quality_rules": op6_quality_rules,
+    "op10_bpe_automaton": op10_bpe_automaton,
 }
 ORACLES = {
     "op5_tiered_sharding": "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents",
