@@ -9,8 +9,9 @@ stretch (as SEED > WINDOW no word between them is left unchecked), which is then
 and right word by word. Stretches of at least ``min_words`` words are repeats; the earliest document
 keeps the passage. A run of any size is one head and its members: nothing is squared.
 
-Members whose extended match with the head stays short are compared among themselves in further
-rounds, each with a new head, on the words around them; the rounds end when no member is left over.
+Where some member's extended match with the head stays short, another member may still share more
+with it. All members of such runs are then sorted once more, by the ``MIN_WORDS`` words of each window
+around their suffix instead of its first ``SEED`` words: windows that are equal are repeats as they are.
 
 Defined results: NULL text has no words; texts shorter than ``min_words`` have no repeats; passages
 that recur only inside one document are left alone; rows with a NULL doc_id are left alone; rows that
@@ -104,16 +105,44 @@ def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hash of every window of MIN_WORDS words that holds the seed at an asked place."""
+    known = WordHashes()
+    for batch in batches:
+        for i, text in enumerate(batch.column(1)):
+            h = word_hashes((text.as_py() or "").encode().split(), known)
+            if len(h) < MIN_WORDS:
+                continue
+            two = _pair(h, h[1:])
+            four = _pair(two, two[2:])
+            eight = _pair(four, four[4:])
+            sixteen = _pair(eight, eight[8:])
+            whole = _pair(_pair(_pair(sixteen, sixteen[16:]), sixteen[32:]), two[48:])  # 16 + 16 + 16 + 2
+            at = np.array(batch.column(2)[i].as_py())
+            at = np.unique((at[:, None] - np.arange(WINDOW)).ravel())
+            at = at[(at >= 0) & (at < len(whole))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(whole[at].view(np.int64)), pa.array(np.full(len(at), batch.column(0)[i].as_py())), pa.array(at.astype(np.int32))], ["seed", "doc_id", "pos"]
+            )
+
+
 def _common(a: Column, b: Column) -> Column:
     """How many leading elements are equal."""
     differs = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), F.lit(False))
     return F.when(differs == 0, F.size(a)).otherwise(differs - 1).cast("int")
 
 
-def _stretches(matched: DataFrame) -> DataFrame:
+def _met(suffixes: DataFrame) -> DataFrame:
+    """Each suffix beside the earliest of its run, where that lies in another document."""
+    heads = suffixes.groupBy("seed").agg(F.min(F.struct("doc_id", "pos")).alias("head"), F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a < _b")
+    matched = suffixes.join(heads.select("seed", "head"), "seed").where("doc_id <> head.doc_id")
+    return matched.select("seed", "doc_id", "pos", F.col("head.doc_id").alias("head_doc"), F.col("head.pos").alias("head_pos"))
+
+
+def _stretches(matched: DataFrame, gap: int) -> DataFrame:
     """Join successive matches of one document with one place: (doc_id, lo, hi, head_doc, head_lo, head_hi)."""
     same = Window.partitionBy("doc_id", "head_doc", "shift").orderBy("pos")
-    fresh = F.coalesce((F.col("pos") - F.lag("pos").over(same) > WINDOW).cast("int"), F.lit(1))
+    fresh = F.coalesce((F.col("pos") - F.lag("pos").over(same) > gap).cast("int"), F.lit(1))
     runs = matched.withColumn("shift", F.col("pos") - F.col("head_pos")).withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(same))
     return runs.groupBy("doc_id", "head_doc", "shift", "run").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi")).select(
         "doc_id", "lo", "hi", "head_doc", (F.col("lo") - F.col("shift")).alias("head_lo"), (F.col("hi") - F.col("shift")).alias("head_hi")
@@ -126,46 +155,40 @@ def matches(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         raise ValueError(f"passages below {MIN_WORDS} words may hold no minimiser")
     base = only(docs, doc_id="long", text="string").where("doc_id is not null")
     suffixes = save(base.mapInArrow(_suffixes, "seed long, doc_id long, pos int"), "suffixes")
-    alive, found, spent = suffixes, None, [suffixes]
-    while True:
-        heads = alive.groupBy("seed").agg(F.min(F.struct("doc_id", "pos")).alias("head"), F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a < _b")
-        matched = alive.join(heads.select("seed", "head"), "seed").where("doc_id <> head.doc_id")
-        matched = save(matched.select("seed", "doc_id", "pos", F.col("head.doc_id").alias("head_doc"), F.col("head.pos").alias("head_pos")), "matched")
-        runs = save(_stretches(matched), "stretches")
-        spent += [matched, runs]
-        if not runs.limit(1).count():
-            break
-        asked = runs.select("doc_id", "lo", "hi").union(runs.select("head_doc", "head_lo", "head_hi")).distinct()
-        asked = asked.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("asked"))
-        sides = save(base.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_around, "doc_id long, lo int, hi int, before array<long>, after array<long>"), "sides")
-        spent.append(sides)
-        head_sides = sides.select(
-            F.col("doc_id").alias("head_doc"), F.col("lo").alias("head_lo"), F.col("hi").alias("head_hi"), F.col("before").alias("head_before"), F.col("after").alias("head_after")
-        )
-        ends = runs.join(sides, ["doc_id", "lo", "hi"]).join(head_sides, ["head_doc", "head_lo", "head_hi"])
-        left = _common(F.col("before"), F.col("head_before"))
-        right = _common(F.col("after"), F.col("head_after"))
-        grown = ends.select("doc_id", "lo", "hi", "head_doc", "head_lo", left.alias("left"), right.alias("right"))
-        grown = save(grown.withColumn("n_words", F.col("hi") - F.col("lo") + SEED + F.col("left") + F.col("right")), "grown")
-        long = grown.where(F.col("n_words") >= min_words).select(
-            "doc_id",
-            (F.col("lo") - F.col("left")).alias("start_word"),
-            "n_words",
-            F.col("head_doc").alias("kept_doc_id"),
-            (F.col("head_lo") - F.col("left")).alias("kept_start_word"),
-        )
-        found = long if found is None else found.union(long)
-        short = grown.where(F.col("n_words") < min_words).select("doc_id", "head_doc", (F.col("lo") - F.col("head_lo")).alias("shift"), "lo", "hi")
-        left_over = matched.withColumn("shift", F.col("pos") - F.col("head_pos")).join(short, ["doc_id", "head_doc", "shift"]).where("pos between lo and hi")
-        alive = save(left_over.select("seed", "doc_id", "pos"), "left-over")
-        spent.append(alive)
-        if not alive.limit(1).count():
-            break
-    for table in spent:
+    matched = save(_met(suffixes), "matched")
+    runs = save(_stretches(matched, WINDOW), "stretches")
+    asked = runs.select("doc_id", "lo", "hi").union(runs.select("head_doc", "head_lo", "head_hi")).distinct()
+    asked = asked.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("asked"))
+    sides = base.join(asked, "doc_id").select("doc_id", "text", "asked")
+    sides = save(sides.mapInArrow(_around, "doc_id long, lo int, hi int, before array<long>, after array<long>"), "sides")
+    head_sides = sides.select(
+        F.col("doc_id").alias("head_doc"), F.col("lo").alias("head_lo"), F.col("hi").alias("head_hi"), F.col("before").alias("head_before"), F.col("after").alias("head_after")
+    )
+    ends = runs.join(sides, ["doc_id", "lo", "hi"]).join(head_sides, ["head_doc", "head_lo", "head_hi"])
+    left = _common(F.col("before"), F.col("head_before"))
+    right = _common(F.col("after"), F.col("head_after"))
+    grown = ends.select("doc_id", "lo", "hi", "head_doc", "head_lo", left.alias("left"), right.alias("right"))
+    grown = save(grown.withColumn("n_words", F.col("hi") - F.col("lo") + SEED + F.col("left") + F.col("right")), "grown")
+    found = grown.where(F.col("n_words") >= min_words).select(
+        "doc_id",
+        (F.col("lo") - F.col("left")).alias("start_word"),
+        "n_words",
+        F.col("head_doc").alias("kept_doc_id"),
+        (F.col("head_lo") - F.col("left")).alias("kept_start_word"),
+    )
+    # runs in which some member fell short of min_words: compare whole windows
+    short = grown.where(F.col("n_words") < min_words).select("doc_id", "head_doc", (F.col("lo") - F.col("head_lo")).alias("shift"), "lo", "hi")
+    seeds = matched.withColumn("shift", F.col("pos") - F.col("head_pos")).join(short, ["doc_id", "head_doc", "shift"])
+    seeds = save(seeds.where("pos between lo and hi").select("seed").distinct(), "short-seeds")
+    if seeds.limit(1).count():
+        asked = suffixes.join(seeds, "seed", "left_semi").groupBy("doc_id").agg(F.collect_list("pos").alias("asked"))
+        whole = base.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_windows, "seed long, doc_id long, pos int")
+        equal = _stretches(_met(save(whole, "windows")), MIN_WORDS).withColumn("n_words", F.col("hi") - F.col("lo") + MIN_WORDS)
+        equal = equal.where(F.col("n_words") >= min_words)
+        found = found.union(equal.select("doc_id", F.col("lo"), "n_words", "head_doc", "head_lo"))
+    found = save(found.distinct(), "repeats")
+    for table in (suffixes, matched, runs, sides, grown, seeds):
         forget(table)
-    if found is None:
-        schema = "doc_id long, start_word int, n_words int, kept_doc_id long, kept_start_word int"
-        return docs.sparkSession.createDataFrame([], schema)
     return found
 
 
