@@ -38,7 +38,7 @@ from .common import only
 #: Fixed value: the pattern that splits text before merging.
 PRE_SPLIT = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 #: Words kept with their encodings in one Python worker; beyond it the table starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 
 
 def byte_chars() -> dict[str, int]:
@@ -103,7 +103,7 @@ class Automaton:
         return found
 
     def encode_word(self, word: bytes) -> list[int]:
-        n = len(word)
+        n, arcs = len(word), self.arcs
         token: list[int] = [-1] * (n + 1)  # the label that reaches a position, and where its arc began
         began = [0] * (n + 1)
         for i in range(n):
@@ -113,7 +113,7 @@ class Automaton:
                 if node is None:
                     break
                 t = node.get(-1)
-                if t is not None and token[j + 1] < 0 and (i == 0 or self.arc(before, t)):
+                if t is not None and token[j + 1] < 0 and (i == 0 or (arcs.get((before, t)) if (before, t) in arcs else self.arc(before, t))):
                     token[j + 1], began[j + 1] = t, i
         out, i = [], n
         while i:
@@ -125,21 +125,36 @@ class Automaton:
         return b"".join(self.labels[i] for i in ids).decode("utf-8", "replace")
 
 
+class _Pieces(dict):
+    """pre-split word -> (number of ids, decimal ids joined by commas, decoded bytes), filled on demand."""
+
+    def __init__(self, automaton: Automaton):
+        super().__init__()
+        self.automaton = automaton
+
+    def __missing__(self, word: str):
+        ids = self.automaton.encode_word(word.encode())
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        found = self[word] = (len(ids), ",".join(map(str, ids)), b"".join(map(self.automaton.labels.__getitem__, ids)))
+        return found
+
+
 class _Words(dict):
-    """word -> (number of ids, decimal ids joined by commas, decoded bytes), filled on demand."""
+    """The same for what stands between two single spaces, with the space before it."""
 
-    def __init__(self, automaton: Automaton, lead: str = "", whole: bool = False):
+    def __init__(self, pieces: _Pieces, lead: str = ""):
         super().__init__()
-        self.automaton, self.lead, self.whole = automaton, lead, whole
+        self.pieces, self.lead = pieces, lead
 
     def __missing__(self, word: str):
-        if not self.whole and (not word or word[0].isspace() or word[-1].isspace()):
+        if not word or word[0].isspace() or word[-1].isspace():
             raise _Run  # a run of white space: its split depends on more than this word
-        text = self.lead + word
-        ids = [t for w in ([text] if self.whole else PRE_SPLIT.findall(text)) for t in self.automaton.encode_word(w.encode())]
+        parts = [self.pieces[p] for p in PRE_SPLIT.findall(self.lead + word)]
+        found = parts[0] if len(parts) == 1 else (sum([p[0] for p in parts]), ",".join([p[1] for p in parts]), b"".join([p[2] for p in parts]))
         if len(self) >= CACHE_WORDS:
             self.clear()
-        found = self[word] = (len(ids), ",".join(map(str, ids)), b"".join(map(self.automaton.labels.__getitem__, ids)))
+        self[word] = found
         return found
 
 
@@ -152,8 +167,8 @@ class Encoder:
 
     def __init__(self, automaton: Automaton):
         self.automaton = automaton
-        self.bare, self.spaced = _Words(automaton), _Words(automaton, " ")
-        self.pieces = _Words(automaton, whole=True)
+        self.pieces = _Pieces(automaton)
+        self.bare, self.spaced = _Words(self.pieces), _Words(self.pieces, " ")
         self.newline = self.pieces["\n"]
 
     def parts(self, text: str) -> list[tuple[int, str, bytes]]:

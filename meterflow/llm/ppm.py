@@ -3,8 +3,8 @@
 The model is a trie of byte contexts up to ``ORDER`` bytes, held as tables with one row per node: an
 n-gram of ORDER+1 symbols packed in a long, whose suffixes are the nodes of the lower orders. From the
 training documents it keeps how often each symbol follows each context. A symbol unseen in a context
-is reached by an escape to the next shorter one, with the escape estimate d / (n + d) for d distinct
-symbols in n occurrences (method C); symbols of the longer context are excluded from the shorter one.
+is reached by an escape to the next shorter one, with the escape estimate d / 2n for d distinct
+symbols in n occurrences and (2c - 1) / 2n for a symbol seen c times (method D); symbols of the longer context are excluded from the shorter one.
 As every successor of a context also follows its suffix, the exclusion needs two sums per context,
 so the probability of each distinct n-gram is a few joins and windows of at most 258 rows per group.
 Below order 0 the symbols not seen at all share the rest. ``score`` is the log10 probability of the
@@ -201,19 +201,19 @@ def log_probabilities(counts: DataFrame, order: int = ORDER) -> DataFrame:
             escaped = -F.log10(SYMBOLS - F.col("kinds"))
         else:
             kinds = F.col("low_kinds") - F.col("kinds")
-            room = F.col("low_total") - F.col("covered") + kinds
+            room = 2 * (F.col("low_total") - F.col("covered"))
             escaped = (
                 F.when(room <= 0, F.col("low_escaped"))
-                .when(F.col("low_n") > 0, F.log10(F.col("low_n") / room))
+                .when(F.col("low_n") > 0, F.log10((2 * F.col("low_n") - 1) / room))
                 .when(kinds <= 0, F.col("low_escaped"))
                 .otherwise(F.log10(kinds / room) + F.col("low_escaped"))
             )
         rows = here.select("key", "n", "total", "kinds", escaped.alias("escaped"))
         if k == order:
-            room = F.col("total") + F.col("kinds")
+            room = 2 * F.col("total")
             value = (
                 F.when(F.col("total") == 0, F.col("escaped"))
-                .when(F.col("n") > 0, F.log10(F.col("n") / room))
+                .when(F.col("n") > 0, F.log10((2 * F.col("n") - 1) / room))
                 .otherwise(F.log10(F.col("kinds") / room) + F.col("escaped"))
             )
             return rows.select("key", value.alias("value"))

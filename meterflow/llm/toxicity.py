@@ -5,7 +5,8 @@ of 3 to 6, lean to either class in the training sample (signed z-scores of docum
 in hashed tables). Two GRUs read a window of 64 words in both directions, attention weighs their
 states, and a logistic unit gives the window's probability. A text is scored in all windows that
 overlap by half, and takes the largest. The network is trained in numpy on the driver on a bounded
-sample of labelled rows (``SAMPLE`` per class, least hashes of doc_id first), each training text being
+sample of labelled rows (``SAMPLE`` toxic and ``CLEAN`` times as many clean ones, least hashes of
+doc_id first), each training text being
 described without its own counts so that words seen once teach nothing; the windows it learns from are
 the highest-scoring ones of each text, chosen again between rounds.
 
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import only, remainder
 from .shingles import mix
 
-SAMPLE = 1500
+SAMPLE, CLEAN = 1500, 1
 WIDTH, STRIDE = 64, 32
 HIDDEN, ATTEND, INPUTS = 8, 8, 6
 THRESHOLD = 0.7
@@ -92,7 +93,8 @@ def inputs(word_z: np.ndarray, gram_z: np.ndarray, sizes: np.ndarray) -> np.ndar
 def leaning(a: np.ndarray, b: np.ndarray, n_a: float, n_b: float) -> np.ndarray:
     """Signed z-score of the log ratio of two document frequencies; 0 where nothing was seen."""
     pa_, pb = n_a / (n_a + n_b), n_b / (n_a + n_b)
-    a, b = a + pa_, b + pb
+    # places of padding may have fallen below zero by leaving a text out
+    a, b = np.maximum(a, 0) + pa_, np.maximum(b, 0) + pb
     return (np.log(a / (n_a + 1)) - np.log(b / (n_b + 1)) - np.log(pa_ / (n_a + 1)) + np.log(pb / (n_b + 1))) / np.sqrt(1 / a + 1 / b)
 
 
@@ -209,7 +211,7 @@ def _logits(net: dict, x: np.ndarray, there: np.ndarray, batch: int = 1024) -> n
     return np.concatenate(out)
 
 
-def train(texts: list[str], labels: list[int], rounds: int = 3, epochs: int = 5, rate: float = 0.01, seed: int = 7) -> Model:
+def train(texts: list[str], labels: list[int], rounds: int = 4, epochs: int = 4, rate: float = 0.01, seed: int = 7) -> Model:
     """Fit the tables and the network to a bounded sample of labelled texts."""
     y = np.array(labels, dtype=np.float32)
     n_a, n_b = float(y.sum()), float(len(y) - y.sum())
@@ -260,10 +262,10 @@ def train(texts: list[str], labels: list[int], rounds: int = 3, epochs: int = 5,
     m = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.items()}
     score, step = x[:, :, 1].max(axis=1).astype(np.float32) + x[:, :, 0].max(axis=1), 0
     for _ in range(rounds):
-        # the highest windows of each text: one of a toxic text, two of a clean one
+        # the highest windows of each text: one of a toxic text, three of a clean one
         order = np.lexsort((-score, owner))
         rank = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
-        chosen = order[rank < np.where(y[owner[order]] == 1, 1, 2)]
+        chosen = order[rank < np.where(y[owner[order]] == 1, 1, 3)]
         goal = y[owner[chosen]]
         weight = np.where(goal == 1, (goal == 0).sum() / max((goal == 1).sum(), 1), 1.0)
         pick = rng.choice(len(chosen), size=2 * len(chosen), p=weight / weight.sum())
@@ -278,7 +280,7 @@ def train(texts: list[str], labels: list[int], rounds: int = 3, epochs: int = 5,
                     m[k][1] = 0.999 * m[k][1] + 0.001 * g * g
                     net[k] = net[k] - rate * (m[k][0] / (1 - 0.9**step)) / (np.sqrt(m[k][1] / (1 - 0.999**step)) + 1e-8)
             rng.shuffle(pick)
-        rate *= 0.5
+        rate *= 0.6
         score = _logits(net, x, there)
     eighths = lambda t: np.clip(np.round(leaning(t[1], t[0], n_a, n_b) * 8), -127, 127).astype(np.int8)
     return Model({k: v.astype(np.float32) for k, v in net.items()}, eighths(df["word"]), eighths(df["gram"]))
@@ -345,12 +347,12 @@ class Scorer:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Train on at most ``sample`` labelled documents of each class whose remainder is not 1."""
+    """Train on at most ``sample`` toxic and ``CLEAN * sample`` clean documents whose remainder is not 1."""
     rows = only(labels, doc_id="long", toxic="int").where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (remainder("doc_id", 3) != 1))
     rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id")
-    named = rows.where("toxic = 1").orderBy(order, "doc_id").limit(sample).union(rows.where("toxic <> 1").orderBy(order, "doc_id").limit(sample))
-    # at most 2 * sample ids: a proven bound for the broadcast and for what the driver collects
+    named = rows.where("toxic = 1").orderBy(order, "doc_id").limit(sample).union(rows.where("toxic <> 1").orderBy(order, "doc_id").limit(CLEAN * sample))
+    # at most (1 + CLEAN) * sample ids: a proven bound for the broadcast and for what the driver collects
     found = only(docs, doc_id="long", text="string").join(F.broadcast(named), "doc_id").orderBy("doc_id", "text").collect()
     return train([r["text"] or "" for r in found], [int(r["toxic"] == 1) for r in found])
 
