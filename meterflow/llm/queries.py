@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dartminhash, packing, ppm, quality, sharding, suffix_dedup, toxicity
+from . import aqann, bpe, dartminhash, packing, ppm, quality, sharding, suffix_dedup, toxicity
 from .common import fresh_path
 
 
@@ -44,6 +44,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op7_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aqann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_docs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -64,6 +68,7 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_tiered_sharding": op5_tiered_sharding,
     "op6_quality_rules": op6_quality_rules,
+    "op7_additive_ann": op7_additive_ann,
     "op8_toxicity": op8_toxicity,
     "op9_dart_minhash": op9_dart_minhash,
     "op10_bpe_automaton": op10_bpe_automaton,
