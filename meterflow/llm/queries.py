@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import aqann, bpe, dartminhash, packing, ppm, quality, sharding, suffix_dedup, toxicity
+import corpus_pipeline
+
+from . import aqann, bpe, dartminhash, packing, ppm, quality, sharding, suffix_dedup, templates, toxicity
 from .common import fresh_path
 
 
@@ -25,6 +27,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_docs(table(spark, sf_dir, "documents"))
 
 
+def op4_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_tiered_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Append the documents in twelve arrivals, compacting on the way, and read the dataset back."""
     docs = table(spark, sf_dir, "documents")
@@ -66,12 +72,14 @@ QUERIES = {
     "op1_ppm_scores": op1_ppm_scores,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_site_templates": op4_site_templates,
     "op5_tiered_sharding": op5_tiered_sharding,
     "op6_quality_rules": op6_quality_rules,
     "op7_additive_ann": op7_additive_ann,
     "op8_toxicity": op8_toxicity,
     "op9_dart_minhash": op9_dart_minhash,
     "op10_bpe_automaton": op10_bpe_automaton,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op5_tiered_sharding": "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents",
