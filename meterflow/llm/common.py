@@ -57,6 +57,15 @@ def forget(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of a few numbers each up to which a saved table is broadcast; larger ones are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, a saved table, with a broadcast hint if it has no more than so many rows."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """Select and cast the named columns, so that extra columns with clashing names do no harm."""
     return df.select(*[F.col(f"`{name}`").cast(kind).alias(name) for name, kind in columns.items()])

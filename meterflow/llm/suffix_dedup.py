@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, only, save
+from .common import BROADCAST_ROWS, forget, if_small, only, save
 from .shingles import WordHashes, mix, word_hashes
 
 SEED, WINDOW = 26, 25
@@ -149,6 +149,16 @@ def _stretches(matched: DataFrame, gap: int) -> DataFrame:
     )
 
 
+def _by_document(asked: DataFrame, item: Column) -> DataFrame:
+    """(doc_id, asked array): what is asked of each document, broadcast if it is little in all."""
+    asked = save(asked, "asked")
+    return if_small_by(asked.groupBy("doc_id").agg(F.collect_list(item).alias("asked")), asked)
+
+
+def if_small_by(df: DataFrame, measured: DataFrame) -> DataFrame:
+    return F.broadcast(df) if measured.count() <= BROADCAST_ROWS else df
+
+
 def matches(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, start_word, n_words, kept_doc_id, kept_start_word): passages that an earlier document holds."""
     if min_words < MIN_WORDS:
@@ -158,8 +168,7 @@ def matches(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     matched = save(_met(suffixes), "matched")
     runs = save(_stretches(matched, WINDOW), "stretches")
     asked = runs.select("doc_id", "lo", "hi").union(runs.select("head_doc", "head_lo", "head_hi")).distinct()
-    asked = asked.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("asked"))
-    sides = base.join(asked, "doc_id").select("doc_id", "text", "asked")
+    sides = base.join(_by_document(asked, F.struct("lo", "hi")), "doc_id").select("doc_id", "text", "asked")
     sides = save(sides.mapInArrow(_around, "doc_id long, lo int, hi int, before array<long>, after array<long>"), "sides")
     head_sides = sides.select(
         F.col("doc_id").alias("head_doc"), F.col("lo").alias("head_lo"), F.col("hi").alias("head_hi"), F.col("before").alias("head_before"), F.col("after").alias("head_after")
@@ -181,8 +190,8 @@ def matches(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     seeds = matched.withColumn("shift", F.col("pos") - F.col("head_pos")).join(short, ["doc_id", "head_doc", "shift"])
     seeds = save(seeds.where("pos between lo and hi").select("seed").distinct(), "short-seeds")
     if seeds.limit(1).count():
-        asked = suffixes.join(seeds, "seed", "left_semi").groupBy("doc_id").agg(F.collect_list("pos").alias("asked"))
-        whole = base.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_windows, "seed long, doc_id long, pos int")
+        asked = suffixes.join(if_small(seeds), "seed", "left_semi").select("doc_id", "pos")
+        whole = base.join(_by_document(asked, F.col("pos")), "doc_id").select("doc_id", "text", "asked").mapInArrow(_windows, "seed long, doc_id long, pos int")
         equal = _stretches(_met(save(whole, "windows")), MIN_WORDS).withColumn("n_words", F.col("hi") - F.col("lo") + MIN_WORDS)
         equal = equal.where(F.col("n_words") >= min_words)
         found = found.union(equal.select("doc_id", F.col("lo"), "n_words", "head_doc", "head_lo"))
@@ -226,10 +235,11 @@ def _cut(schema_names: list[str], text_at: int, spans_at: int, chars_at: int | N
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` without the passages that an earlier document holds; documents left without words go."""
-    spans = matches(docs, min_words).groupBy(F.col("doc_id").alias("_id")).agg(
+    found = matches(docs, min_words)
+    spans = found.groupBy(F.col("doc_id").alias("_id")).agg(
         F.collect_list(F.struct(F.col("start_word").alias("s"), (F.col("start_word") + F.col("n_words")).alias("e"))).alias("_spans")
     )
-    joined = docs.join(spans, docs["doc_id"] == spans["_id"], "left").drop("_id")
+    joined = docs.join(if_small_by(spans, found), docs["doc_id"] == F.col("_id"), "left").drop("_id")
     names = joined.columns
     chars = names.index("n_chars") if "n_chars" in names else None
     return joined.mapInArrow(_cut(names, names.index("text"), names.index("_spans"), chars), docs.schema)
