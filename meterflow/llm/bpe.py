@@ -70,8 +70,9 @@ class Automaton:
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
     def _gadget(self, u: int, v: int, w: int, rank: int) -> None:
-        """Cut v behind u and add w, if the automaton so far lets v follow u."""
-        if w not in self.parts and self._open(u, v):
+        """Cut v behind u and add w, if the automaton so far has arcs u and v and lets v follow u."""
+        there = all(t in self.parts or len(self.labels[t]) == 1 for t in (u, v))
+        if there and w not in self.parts and self._open(u, v):
             self.rank[u, v] = rank
             self.parts[w] = (u, v, rank)
 

@@ -71,6 +71,13 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{name}`").cast(kind).alias(name) for name, kind in columns.items()])
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def remainder(doc_id: Column | str, n: int) -> Column:
     """crc32 of the id's decimal text modulo n; NULL for a NULL id."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

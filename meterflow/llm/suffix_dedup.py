@@ -7,7 +7,10 @@ their first ``SEED`` words with Spark's shuffle and sort, and each is compared w
 suffix (least doc_id, then place) of its run. Successive matches against the same place join to one
 stretch (as SEED > WINDOW no word between them is left unchecked), which is then extended to the left
 and right word by word. Stretches of at least ``min_words`` words are repeats; the earliest document
-keeps the passage. A run of any size is one head and its members: nothing is squared.
+keeps the passage. A run of any size is one head and its members: nothing is squared. A passage is cut
+as far as it agrees with the earliest document that holds its suffix; where it agrees longer with a
+later one, less than ``min_words`` words of that may stay. No text keeps ``min_words`` words in a row
+that an earlier document holds.
 
 Where some member's extended match with the head stays short, another member may still share more
 with it. All members of such runs are then sorted once more, by the ``MIN_WORDS`` words of each window
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, forget, if_small, only, save
+from .common import BROADCAST_ROWS, forget, if_small, only, save, unused
 from .shingles import WordHashes, mix, word_hashes
 
 SEED, WINDOW = 26, 25
@@ -236,10 +239,11 @@ def _cut(schema_names: list[str], text_at: int, spans_at: int, chars_at: int | N
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` without the passages that an earlier document holds; documents left without words go."""
     found = matches(docs, min_words)
-    spans = found.groupBy(F.col("doc_id").alias("_id")).agg(
-        F.collect_list(F.struct(F.col("start_word").alias("s"), (F.col("start_word") + F.col("n_words")).alias("e"))).alias("_spans")
+    id_, spans_ = unused(docs, "_id"), unused(docs, "_spans")
+    spans = found.groupBy(F.col("doc_id").alias(id_)).agg(
+        F.collect_list(F.struct(F.col("start_word").alias("s"), (F.col("start_word") + F.col("n_words")).alias("e"))).alias(spans_)
     )
-    joined = docs.join(if_small_by(spans, found), docs["doc_id"] == F.col("_id"), "left").drop("_id")
+    joined = docs.join(if_small_by(spans, found), docs["doc_id"] == F.col(id_), "left").drop(id_)
     names = joined.columns
     chars = names.index("n_chars") if "n_chars" in names else None
-    return joined.mapInArrow(_cut(names, names.index("text"), names.index("_spans"), chars), docs.schema)
+    return joined.mapInArrow(_cut(names, names.index("text"), names.index(spans_), chars), docs.schema)

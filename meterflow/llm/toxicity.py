@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, remainder
+from .common import only, remainder, unused
 from .shingles import mix
 
 SAMPLE, CLEAN = 1500, 1
@@ -283,6 +283,8 @@ def train(texts: list[str], labels: list[int], rounds: int = 4, epochs: int = 4,
         rate *= 0.6
         score = _logits(net, x, there)
     eighths = lambda t: np.clip(np.round(leaning(t[1], t[0], n_a, n_b) * 8), -127, 127).astype(np.int8)
+    # the network saw both classes equally often; the sample says how common each is
+    net["c"] = net["c"] + np.float32(min(0.0, np.log(n_a / n_b)))
     return Model({k: v.astype(np.float32) for k, v in net.items()}, eighths(df["word"]), eighths(df["gram"]))
 
 
@@ -293,7 +295,8 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.reset()
+        if model.share is None:
+            self.reset()
 
     def reset(self) -> None:
         self.ids: dict[bytes, int] = {}
@@ -357,7 +360,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return train([r["text"] or "" for r in found], [int(r["toxic"] == 1) for r in found])
 
 
-def _scores(shared, text_at: int):
+def _scores(shared, text_at: int, name: str):
     scorer: list[Scorer] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,23 +377,23 @@ def _scores(shared, text_at: int):
                     end += 1
                 part = batch.slice(start, end - start)
                 scores = pa.array(scorer[0].score(texts), pa.float64())
-                yield pa.RecordBatch.from_arrays([*part.columns, scores], [*batch.schema.names, "_score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, scores], [*batch.schema.names, name])
                 start = end
 
     return run
 
 
-def with_scores(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` and the score of each row's text as ``_score``."""
+def with_scores(docs: DataFrame, model: Model, name: str) -> DataFrame:
+    """``docs`` and the score of each row's text as a new column."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.limit(0).withColumn("_score", F.lit(0.0)).schema
-    return docs.mapInArrow(_scores(shared, docs.columns.index("text")), schema)
+    schema = docs.limit(0).withColumn(name, F.lit(0.0)).schema
+    return docs.mapInArrow(_scores(shared, docs.columns.index("text"), name), schema)
 
 
 def score_docs(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted for every document."""
     base = only(docs, doc_id="long", text="string")
-    scored = with_scores(base, fit(docs, labels))
+    scored = with_scores(base, fit(docs, labels), "_score")
     return scored.select(
         "doc_id",
         F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"),
@@ -401,4 +404,5 @@ def score_docs(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score below the threshold."""
-    return with_scores(docs, fit(docs, labels)).where(F.col("_score") < threshold).select(*docs.columns)
+    score = unused(docs, "_score")
+    return with_scores(docs, fit(docs, labels), score).where(F.col(score) < threshold).select(*docs.columns)
