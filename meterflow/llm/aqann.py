@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import only, save
 
 BOOKS, WORDS, BEAM = 16, 256, 6
-SAMPLE, RERANK, EVERY = 16_384, 256, 50
+SAMPLE, RERANK, EVERY = 16_384, 512, 50
 QUERY_BLOCK, CODE_BLOCK = 1024, 65_536
 
 
@@ -119,12 +120,11 @@ def unit(v: np.ndarray) -> np.ndarray:
 
 
 def fit(vectors: DataFrame, sample: int = SAMPLE) -> Quantizer | None:
-    rows = usable(vectors).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").collect()
-    if not rows:
+    rows = usable(vectors).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow().column("v").combine_chunks()
+    if not len(rows):
         return None
-    dim = len(rows[0]["v"])
-    x = np.array([r["v"] for r in rows if len(r["v"]) == dim])
-    return train(unit(x).astype(np.float32))
+    sizes = rows.value_lengths()
+    return train(unit(_matrix(rows.filter(pc.equal(sizes, sizes[0])))).astype(np.float32))
 
 
 def _index(shared, k: int):

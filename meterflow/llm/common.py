@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: ASCII white space between words: space, and tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 
+#: Rows in an Arrow batch: texts are long, and a worker holds a batch or two.
+BATCH_ROWS = "1000"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -66,8 +68,16 @@ def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session, unless it asks for smaller ones."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= int(BATCH_ROWS):
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """Select and cast the named columns, so that extra columns with clashing names do no harm."""
+    small_batches(df.sparkSession)
     return df.select(*[F.col(f"`{name}`").cast(kind).alias(name) for name, kind in columns.items()])
 
 

@@ -27,7 +27,7 @@ from .common import SPACE, only, text_bytes
 
 CAPACITIES = (512, 1024, 2048, 4096)
 SHARD_ROWS = 20_000
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 12 << 20
 PLAN = "doc_id long, piece int, n_pieces int, first_word long, n_words int, bin_id long, capacity int, offset int, bin_used int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 

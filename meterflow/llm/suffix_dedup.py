@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, forget, if_small, only, save, unused
+from .common import BROADCAST_ROWS, forget, if_small, only, save, small_batches, unused
 from .shingles import WordHashes, mix, word_hashes
 
 SEED, WINDOW = 26, 25
@@ -82,7 +82,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at, g = minimisers(word_hashes(words, known))
                 held.append((np.full(len(at), ids[i]), at, g))
                 count += len(at)
-            if held and (count > 200_000 or i == len(ids) - 1):
+            if held and (count > 50_000 or i == len(ids) - 1):
                 doc, at, g = (np.concatenate(x) for x in zip(*held))
                 yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(doc.astype(np.int64)), pa.array(at.astype(np.int32))], ["seed", "doc_id", "pos"])
                 held, count = [], 0
@@ -239,6 +239,7 @@ def _cut(schema_names: list[str], text_at: int, spans_at: int, chars_at: int | N
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` without the passages that an earlier document holds; documents left without words go."""
     found = matches(docs, min_words)
+    small_batches(docs.sparkSession)
     id_, spans_ = unused(docs, "_id"), unused(docs, "_spans")
     spans = found.groupBy(F.col("doc_id").alias(id_)).agg(
         F.collect_list(F.struct(F.col("start_word").alias("s"), (F.col("start_word") + F.col("n_words")).alias("e"))).alias(spans_)

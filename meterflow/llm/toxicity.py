@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, remainder, unused
+from .common import only, remainder, small_batches, unused
 from .shingles import mix
 
 SAMPLE, CLEAN = 1500, 1
@@ -72,8 +72,8 @@ def by_width(words: list[bytes]) -> Iterator[np.ndarray]:
     sizes = np.array([len(w) for w in words])
     for low, high in [(0, 12), (12, 24), (24, 64), *((64 << i, 64 << i + 1) for i in range(25))]:
         at = np.flatnonzero((sizes >= low) & (sizes < high))
-        for start in range(0, len(at), max(1, 4_000_000 // (high * 8))):
-            yield at[start : start + max(1, 4_000_000 // (high * 8))]
+        for start in range(0, len(at), max(1, 1_000_000 // (high * 8))):
+            yield at[start : start + max(1, 1_000_000 // (high * 8))]
 
 
 def inputs(word_z: np.ndarray, gram_z: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -291,7 +291,7 @@ def train(texts: list[str], labels: list[int], rounds: int = 4, epochs: int = 4,
 class Scorer:
     """Scores texts, remembering the projected inputs of the words it has met."""
 
-    LIMIT = 150_000
+    LIMIT = 100_000
 
     def __init__(self, model: Model):
         self.model = model
@@ -371,7 +371,7 @@ def _scores(shared, text_at: int, name: str):
             while start < batch.num_rows:
                 # so many texts at once that their windows are a few thousand
                 end, held, texts = start, 0, []
-                while end < batch.num_rows and (held < 600_000 or end == start):
+                while end < batch.num_rows and (held < 300_000 or end == start):
                     texts.append(batch.column(text_at)[end].as_py() or "")
                     held += len(texts[-1])
                     end += 1
@@ -385,6 +385,7 @@ def _scores(shared, text_at: int, name: str):
 
 def with_scores(docs: DataFrame, model: Model, name: str) -> DataFrame:
     """``docs`` and the score of each row's text as a new column."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.limit(0).withColumn(name, F.lit(0.0)).schema
     return docs.mapInArrow(_scores(shared, docs.columns.index("text"), name), schema)
