@@ -92,3 +92,14 @@ def cross_region(daily: DataFrame) -> DataFrame:
         (F.col("b_max") - F.col("a_max")).alias("max_differential"),
         S.ratio("b_avg", "a_avg").alias("avg_ratio"),
     )
+
+
+def collect_sources(builders: dict, wanted: Sequence[str] | None = None) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """(frames, errors) of the named builders: a source that cannot be planned is left out and named."""
+    frames, errors = {}, {}
+    for name in wanted or builders:
+        try:
+            frames[name] = builders[name]()
+        except Exception as e:  # noqa: BLE001  any source may be missing
+            errors[name] = f"{type(e).__name__}: {e}"
+    return frames, errors

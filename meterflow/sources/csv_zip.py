@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..operators.windows import forward_fill, series
+from ..schemas import GOOD_SHARES
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,3 +72,35 @@ def generation(rows: DataFrame, region: str = "CAISO", same_day_24: bool = False
         S.hour_of_day("OPR_DT", "OPR_HR", same_day_24).alias("timestamp"), F.lower("FUEL_TYPE").alias("fuel_type"), S.number("MW").alias("generation_mw"), F.lit(region).alias("region")
     )
     return out.where(F.col("generation_mw") >= 0)
+
+
+# Report names of the second source by what they hold.
+REPORTS = {"demand": "SLD_FCST", "renewables": "SLD_REN_FCST", "prices": "PRC_LMP", "generation": "ENE_SLRS"}
+
+
+def renewables(rows: DataFrame, region: str = "CAISO", same_day_24: bool = False) -> DataFrame:
+    """OPR_DT, OPR_HR, RENEWABLE_TYPE, MW to one column per kind; solar and wind are always there, gaps are 0."""
+    at = S.hour_of_day("OPR_DT", "OPR_HR", same_day_24).alias("timestamp")
+    typed = rows.select(at, F.upper("RENEWABLE_TYPE").alias("kind"), S.number("MW").alias("mw"))
+    cells = [F.coalesce(F.min(F.when(F.col("kind") == code, F.col("mw"))), F.lit(0.0)).alias(f"{name}_mw") for name, code in GOOD_SHARES.items()]
+    return typed.groupBy("timestamp").agg(*cells).withColumn("region", F.lit(region))
+
+
+def prices(rows: DataFrame, location: str | None = None, same_day_24: bool = False) -> DataFrame:
+    """OPR_DT, OPR_HR, NODE, LMP_TYPE, MW to one row per node and hour; hours without a price go."""
+    at = S.hour_of_day("OPR_DT", "OPR_HR", same_day_24).alias("timestamp")
+    typed = rows.select(at, F.col("NODE").alias("location"), F.upper("LMP_TYPE").alias("kind"), S.number("MW").alias("price"))
+    if location is not None:
+        typed = typed.where(F.col("location") == location)
+    kinds = {"LMP": "lmp", "MCE": "energy", "MCC": "congestion", "MCL": "loss"}
+    cells = [F.min(F.when(F.col("kind") == code, F.col("price"))).alias(f"{name}_price") for code, name in kinds.items()]
+    return typed.groupBy("timestamp", "location").agg(*cells).dropna(subset=["lmp_price"])
+
+
+def together(demand_: DataFrame, renewables_: DataFrame, prices_: DataFrame) -> DataFrame:
+    """Demand with renewables and prices of the same hour, forward filled, then 0."""
+    d = demand_.withColumnRenamed("datetime", "timestamp")
+    out = d.join(renewables_.drop("region"), "timestamp", "left").join(prices_.drop("location"), "timestamp", "left")
+    values = [c for c in out.columns if c not in ("timestamp", "region")]
+    w = series("region", "timestamp")
+    return out.withColumns({c: F.coalesce(forward_fill(c, w), F.lit(0.0)) for c in values})

@@ -111,6 +111,24 @@ def test_zipped_csv_and_xml_errors(spark, tmp_path):
     assert (error["code"], error["description"]) == ("1000", "No data")
 
 
+def test_second_source_reports(spark):
+    schema = "OPR_DT string, OPR_HR string, {} string, MW string"
+    green = spark.createDataFrame([("2024-01-01", "1", "Solar", "5"), ("2024-01-01", "1", "Wind", "x"), ("2024-01-01", "2", "Wind", "7")], schema.format("RENEWABLE_TYPE"))
+    out = {r["timestamp"].hour: (r["solar_mw"], r["wind_mw"], r["geothermal_mw"]) for r in csv_zip.renewables(green).collect()}
+    assert out == {0: (5.0, 0.0, 0.0), 1: (0.0, 7.0, 0.0)}
+    lmp = [("2024-01-01", "1", "N", "LMP", "30"), ("2024-01-01", "1", "N", "MCC", "1"), ("2024-01-01", "2", "N", "MCC", "1")]
+    price = csv_zip.prices(spark.createDataFrame(lmp, "OPR_DT string, OPR_HR string, NODE string, LMP_TYPE string, MW string"))
+    assert [(r["lmp_price"], r["congestion_price"]) for r in price.collect()] == [(30.0, 1.0)]
+    load = csv_zip.demand(spark.createDataFrame([("2024-01-01", str(h), "100") for h in (1, 2, 3)], "OPR_DT string, OPR_HR string, MW string"))
+    rows = csv_zip.together(load, csv_zip.renewables(green), price).orderBy("timestamp").collect()
+    assert [r["lmp_price"] for r in rows] == [30.0] * 3 and [r["wind_mw"] for r in rows] == [0.0, 7.0, 7.0]
+
+
+def test_missing_sources_are_named(spark):
+    frames, errors = reshape.collect_sources({"a": lambda: spark.range(1), "b": lambda: spark.read.parquet("/nowhere")})
+    assert [*frames] == ["a"] and "PATH_NOT_FOUND" in errors["b"]
+
+
 def test_full_outer_join_keeps_both_sides(spark):
     d = spark.createDataFrame([("A", 1, 10.0), ("A", 2, 20.0)], "region string, datetime int, demand_mwh double")
     g = spark.createDataFrame([("A", 1, 1.0), ("A", 3, 3.0)], "region string, datetime int, solar_mwh double")

@@ -42,3 +42,10 @@ def test_all_features_has_153_columns(spark, sf_dir):
 
 def test_attention_rows(spark, sf_dir):
     assert registry.QUERIES["ring_attention_block"](spark, sf_dir).count() > 0
+
+
+def test_entry_and_registry(spark):
+    import __spark_entry__ as e
+
+    assert e.entry(spark).limit(1).count() == 1
+    assert set(e.oracle_sql()) <= set(e.queries())
