@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import only, save
+from .common import save
 
 BOOKS, WORDS, BEAM = 16, 256, 6
 SAMPLE, RERANK, EVERY = 16_384, 512, 50

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, only, remainder, save
+from .common import remainder, save
 from .shingles import WordHashes, word_hashes
 
 ORDER = 5
