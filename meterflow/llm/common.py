@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +77,13 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_ROWS)
 
 
+def released(batches: Iterator) -> Iterator:
+    """The batches, with the memory that Arrow has freed meanwhile handed back before each."""
+    for batch in batches:
+        pa.default_memory_pool().release_unused()
+        yield batch
+
+
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """Select and cast the named columns, so that extra columns with clashing names do no harm."""
     small_batches(df.sparkSession)

@@ -23,7 +23,7 @@ class WordHashes(dict):
     """word -> 64-bit hash; starts anew when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found
