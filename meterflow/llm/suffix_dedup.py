@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, forget, if_small, only, save, small_batches, unused
+from .common import BROADCAST_ROWS, forget, if_small, only, released, save, small_batches, unused
 from .shingles import WordHashes, mix, word_hashes
 
 SEED, WINDOW = 26, 25
@@ -73,7 +73,7 @@ def minimisers(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = WordHashes()
-    for batch in batches:
+    for batch in released(batches):
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         held, count = [], 0
         for i, text in enumerate(batch.column(1)):
@@ -91,7 +91,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The word hashes beside each asked stretch: up to WINDOW before it (nearest first) and after it."""
     known = WordHashes()
-    for batch in batches:
+    for batch in released(batches):
         doc, lo, hi, before, after = [], [], [], [], []
         for i, text in enumerate(batch.column(1)):
             h = word_hashes((text.as_py() or "").encode().split(), known).view(np.int64)
@@ -111,7 +111,7 @@ def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The hash of every window of MIN_WORDS words that holds the seed at an asked place."""
     known = WordHashes()
-    for batch in batches:
+    for batch in released(batches):
         for i, text in enumerate(batch.column(1)):
             h = word_hashes((text.as_py() or "").encode().split(), known)
             if len(h) < MIN_WORDS:
@@ -206,7 +206,7 @@ def matches(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def _cut(schema_names: list[str], text_at: int, spans_at: int, chars_at: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             texts = batch.column(text_at).to_pylist()
             left_none = np.zeros(len(texts), dtype=bool)
             for i, spans in enumerate(batch.column(spans_at)):
