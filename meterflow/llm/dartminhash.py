@@ -9,9 +9,10 @@ weighted Jaccard similarity. Weights are 1 for each distinct shingle by default,
 plain Jaccard similarity; ``signatures`` takes any weights.
 
 Signatures are cut into bands and joined by band. Copies collapse to one node first. Within a bucket
-members are compared with one of them, its head; those that end up in another component than their
-head form the bucket again with new heads, until none is left. No pairs of members are emitted. Links
-are checked against the exact shingle sets, except within a component, where they change nothing.
+some members, the heads, are compared with all members of other components and leave it; the rest form
+the bucket again with new heads, until all that are left lie in one component. So no two members of a
+bucket stay in different components without having been compared. Links are checked against the exact
+shingle sets, except within a component, where they change nothing.
 Components come from passing the least label along links, with every step kept in the shared folder.
 
 Defined results: NULL text counts as empty, and texts with the same words are copies (so all wordless
@@ -204,8 +205,7 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Of the saved ``pairs`` those (a, b) with similar shingle sets. Sets travel once, to the heads they are compared with."""
     small = F.broadcast if pairs.count() <= BROADCAST_ROWS else (lambda df: df)
-    # sizes alone rule many pairs out
-    worth = pairs.where(F.least("n", "head_n") >= similarity * F.greatest("n", "head_n")).select("node", "head")
+    worth = pairs.select("node", "head")
     mine = sets.select("node", F.col("shingles").alias("x")).join(small(worth), "node")
     theirs = sets.select(F.col("node").alias("head"), F.col("shingles").alias("y")).join(small(worth.select("head").distinct()), "head")
     both = F.size(F.array_intersect("x", "y"))
@@ -216,11 +216,16 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def component_labels(docs: DataFrame, signed: DataFrame, copies: DataFrame, similarity: float, labels: DataFrame | None) -> DataFrame | None:
     """(v, label) after linking all nodes that are similar; ``labels`` holds what is linked already.
 
-    The head of a bucket is its member with the most company, so an original leads its copies. Pairs
-    whose nodes lie in one component need no check, which keeps large groups of near copies linear.
-    First every node is checked against the weightiest of its heads, then all pairs of node and head
-    that still join two components. Members that are apart from their head after that form the bucket
-    again with new heads, twice as many in each turn and then 64, until no bucket joins two components.
+    A head meets every member of its bucket that lies in another component, members that an earlier
+    head caught too, and leaves the bucket after that. So two members that were never compared are both
+    still there, and a bucket is done only when all that are left lie in one component: every pair of a
+    bucket that could join two components has been checked then. Pairs whose nodes lie in one component
+    need no check, which keeps large groups of near copies linear.
+
+    The first heads are the members with the most company, so an original leads its copies. First every
+    node is checked against the weightiest of its heads, then all pairs of node and head that still join
+    two components. Heads double in each turn; later ones come from all components but the bucket's
+    largest, since these are the fewest that must meet the rest.
     """
     reps = signed.where("doc_id is not null and n > 0").join(if_small(copies), ["doc_id", "content"], "left_anti")
     rows = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("node"), "n")
@@ -231,32 +236,35 @@ def component_labels(docs: DataFrame, signed: DataFrame, copies: DataFrame, simi
     sets, turn = None, 0
     while True:
         placed = save(_labelled(alive, labels), "placed")
+        # a bucket whose members are all in one component has nothing left to compare
+        mixed = placed.groupBy("key").agg(F.min("mine").alias("lo"), F.max("mine").alias("hi")).where("lo < hi").select("key")
+        placed = save(placed.join(mixed, "key", "left_semi"), "mixed")
+        if not placed.limit(1).count():
+            return labels
+        able = placed
+        if turn > 3:
+            parts = placed.groupBy("key", "mine").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "mine")).alias("p"))
+            able = placed.join(parts.select("key", F.col("p.mine").alias("most")), "key").where("mine <> most")
         # later turns take the weightiest member of each of so many slots, so that few turns are needed
-        slot = F.pmod(F.xxhash64("key", "node"), F.lit(64 if turn > 5 else 2 ** max(0, turn - 1)))
+        slot = F.pmod(F.xxhash64("key", "node"), F.lit(2 ** min(40, max(0, turn - 1))))
         top = F.max(F.struct("w", (-F.col("node")).alias("node"), "n", "mine")).alias("h")
-        heads = placed.groupBy("key", slot.alias("slot")).agg(top)
+        heads = able.groupBy("key", slot.alias("slot")).agg(top)
         heads = save(heads.select("key", (-F.col("h.node")).alias("head"), F.col("h.n").alias("head_n"), F.col("h.w").alias("head_w"), F.col("h.mine").alias("theirs")), "heads")
-        crossed = save(placed.join(heads, "key").where("mine <> theirs").select("node", "head", "n", "head_n", "head_w").distinct(), "crossed")
-        if not crossed.limit(1).count():
-            return labels
-        if sets is None:  # every node that can ever be compared shares a bucket now
-            named = save(crossed.select(F.col("node").alias("doc_id")).union(crossed.select("head")).distinct(), "named")
+        # sizes alone rule many pairs out
+        worth = F.least("n", "head_n") >= similarity * F.greatest("n", "head_n")
+        crossed = save(placed.join(heads, "key").where(F.expr("mine <> theirs") & worth).select("node", "head", "n", "head_n", "head_w").distinct(), "crossed")
+        if sets is None:  # every node that can ever be compared shares a mixed bucket now
+            named = save(placed.select(F.col("node").alias("doc_id")).distinct(), "named")
             texts = docs.join(if_small(named), "doc_id", "left_semi")
             sets = save(texts.select("doc_id", "text").mapInArrow(_sets, "node long, shingles array<long>"), "shingles")
             first = F.max(F.struct("head_w", "head", "head_n", "n")).alias("p")
             pairs = crossed.groupBy("node").agg(first).select("node", F.col("p.head").alias("head"), F.col("p.n").alias("n"), F.col("p.head_n").alias("head_n"))
             labels = _merged(labels, _similar(save(pairs, "pairs"), sets, similarity))
             crossed = save(_with_components(crossed, labels).where("mine <> theirs").drop("mine", "theirs"), "crossed")
-        before, labels = labels, _merged(labels, _similar(crossed, sets, similarity))
-        # left are members that none of their heads caught; heads have met everyone
-        theirs = heads.select("key", F.col("head").alias("node"), F.col("theirs").alias("mine"))
-        if labels is not before or turn == 0:
-            placed, theirs = _labelled(alive, labels), _labelled(theirs.drop("mine"), labels)
-        apart = placed.join(theirs.select("key", "mine"), ["key", "mine"], "left_anti").join(theirs.select("key", "node"), ["key", "node"], "left_anti")
-        apart = save(apart, "apart")
-        # a bucket whose members are all in one component has nothing left to compare
-        mixed = apart.groupBy("key").agg(F.min("mine").alias("lo"), F.max("mine").alias("hi")).where("lo < hi").select("key")
-        alive = save(apart.join(mixed, "key", "left_semi").select("key", "node", "n", "w"), "buckets")
+        labels = _merged(labels, _similar(crossed, sets, similarity))
+        # heads have met everyone; all others stay, for heads to come
+        met = heads.select("key", F.col("head").alias("node"))
+        alive = placed.join(met, ["key", "node"], "left_anti").select("key", "node", "n", "w")
         turn += 1
 
 

@@ -299,6 +299,26 @@ def test_classes_equal_brute_force(spark):
     assert got == brute_classes(rows)
 
 
+def test_revisions_of_copies_are_found_in_a_large_group(spark):
+    """A revision is near one copy only, which an earlier head of their buckets has caught already."""
+    r = random.Random(8)
+    base, rows, copies = words(77, 200, 10**6), [], []
+
+    def edited(text, n):
+        text = list(text)
+        for i in r.sample(range(0, len(text), 5), n):
+            text[i] = f"edit{r.randrange(10**9)}"
+        return text
+
+    for i in range(400):
+        copies.append(edited(base, r.randrange(2, 5)))
+        rows.append((i, " ".join(copies[-1])))
+    rows += [(1000 + i, " ".join(edited(copies[i], 2 + i % 3))) for i in range(100)]
+    rows += [(2000 + i, " ".join(edited(base, 9))) for i in range(30)]  # in their buckets, but near none of them
+    got = {x["doc_id"]: x["class_id"] for x in dartminhash.classes(frame(spark, rows, extra=False)).collect()}
+    assert got == brute_classes(rows)
+
+
 def test_keep_one(odd_docs, no_docs):
     out = dartminhash.keep_one(odd_docs)
     assert out.columns == odd_docs.columns
