@@ -70,6 +70,22 @@ def test_recall_and_exact_scores(spark):
     assert set(got) == {int(i) for i in ids if i % 50 == 0}
 
 
+def test_a_dense_group_is_met_as_a_whole(spark):
+    """Within a group of near-equal vectors codes say little; ``rerank`` is where the search starts, not where it ends."""
+    r = np.random.default_rng(6)
+    x = r.normal(size=(6000, 24))
+    x[::3] = x[0] + 0.02 * r.normal(size=(2000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(6000)], "vec_id long, embedding array<double>")
+    got = {}
+    for q in aqann.search(df, rerank=16).collect():
+        got.setdefault(q["query_id"], set()).add(q["vec_id"])
+    for q in range(0, 6000, 50):
+        s = x @ x[q]
+        s[q] = -2
+        assert got[q] == set(np.argsort(-s)[:5].tolist())
+
+
 def test_few_or_no_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
     got = [(r["rank"], r["vec_id"]) for r in aqann.search(df).orderBy("rank").collect()]
