@@ -18,7 +18,7 @@ The query set is stated (vec_id divisible by ``EVERY``) and meets all rows, in b
 Of equal vectors only the k + 1 least ids can be among the k nearest, so blocks are dealt by a hash of
 the vector and equal ones beyond that are set aside, first where they are read and again in the block.
 
-Defined results: vectors that are NULL, empty, zero, of another length than the sample's, or hold NULL
+Defined results: vectors that are NULL, empty, zero, of another length than most, or hold NULL
 or non-finite components take no part; NULL ids take no part; rows that repeat a vec_id count once in
 a result and never match their own id; fewer candidates than k give fewer rows; an empty table gives an
 empty table; other columns are ignored.
@@ -31,7 +31,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -129,11 +128,14 @@ def unit(v: np.ndarray) -> np.ndarray:
 
 
 def fit(vectors: DataFrame, sample: int = SAMPLE) -> Quantizer | None:
-    rows = usable(vectors).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow().column("v").combine_chunks()
-    if not len(rows):
+    good = usable(vectors)
+    lengths = good.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
+    if not lengths:
         return None
-    sizes = rows.value_lengths()
-    return train(unit(_matrix(rows.filter(pc.equal(sizes, sizes[0])))).astype(np.float32))
+    # one odd row must not decide which rows take part
+    good = good.where(F.size("v") == lengths[0]["dim"])
+    rows = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow().column("v").combine_chunks()
+    return train(unit(_matrix(rows)).astype(np.float32))
 
 
 def _index(shared, k: int):

@@ -103,3 +103,12 @@ def test_beam_search_beats_greedy():
         assert np.allclose(np.linalg.norm(back, axis=1), norms, atol=1e-3)
         return ((x - back) ** 2).sum()
     assert error(8) < error(1)
+
+
+def test_one_odd_row_does_not_set_the_dimension(spark):
+    r = np.random.default_rng(9)
+    ids = spark.range(300).orderBy(F.xxhash64("id"), "id").limit(1).first()[0]  # the row that a sample takes first
+    rows = [(i, [float(v) for v in r.normal(size=3 if i == ids else 8)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = aqann.search(df).collect()
+    assert {q["query_id"] for q in got} == {i for i in range(0, 300, 50) if i != ids} and ids not in {q["vec_id"] for q in got}
