@@ -1,13 +1,14 @@
 """Main text of web pages: site templates are found by counting element subtrees per host.
 
-Every page is parsed into a tree. Elements whose role is plain from the markup (menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles, comments) are dropped. Of the rest, each
-subtree is hashed, and Spark counts on how many different pages of a host it occurs; pages with the
-same text count once, so that copies of an article under several addresses are no template. A subtree
-that recurs on many pages of its host is deleted: on at least 3, half of the host's pages up to 10 of
-them, and a tenth of them all. In an article only containers are deleted that way, not its own
-paragraphs and headings. The table of a host's templates is bounded (each takes a tenth of the pages)
-and joined to the pages by host.
+Every page is parsed into a tree, each subtree of the page is hashed, and Spark counts on how many
+different pages of a host it occurs; pages with the same text count once, so that copies of an article
+under several addresses are no template. Elements whose role is plain from the markup (menus, headers,
+footers, sidebars, notices, adverts, forms, scripts, styles, comments) are dropped in addition, and
+subtrees are counted without them, too. A subtree that recurs on many pages of its host is deleted: on
+at least 3, half of the host's pages up to 10 of them, and a tenth of them all up to ``MANY``. Blocks of
+prose in an article must recur on 10 pages at least, and stay where they are more than half of a page's
+text, as in near copies of one article; its words in bold and the like and its table cells are never
+deleted alone. Templates reach the pages by host where they are few, else by (host, subtree) in a shuffle.
 
 Text: character references are decoded, white space inside a block becomes one space, and blocks are
 joined in page order by line ends. Where a page marks its article, the text is taken from there.
@@ -60,11 +61,17 @@ NAMED = frozenset(
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th tr b i em strong span a code q cite u s small mark sub sup".split())
 
 
+#: Prose that may be a template itself if it recurs in articles: whole blocks.
+PROSE_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt tr".split())
+#: Pages that are enough on any host; pages that are needed for a block of an article.
+MANY, PROSE_PAGES = 50, 10
+
+
 class Node:
-    __slots__ = ("tag", "attributes", "children", "digest")
+    __slots__ = ("tag", "attributes", "children", "digest", "whole")
 
     def __init__(self, tag: str, attributes: str = ""):
-        self.tag, self.attributes, self.children, self.digest = tag, attributes, [], 0
+        self.tag, self.attributes, self.children, self.digest, self.whole = tag, attributes, [], 0, 0
 
 
 def parse(source: str) -> Node:
@@ -183,7 +190,7 @@ def text_of(nodes: list[Node], dropped: frozenset | set = frozenset()) -> str:
             if n is None:
                 blocks.append([])
                 continue
-            if n.digest and n.digest in dropped:
+            if dropped and (n.digest in dropped or n.whole in dropped):
                 continue
             if n.tag == "br":
                 blocks[-1].append(" ")
@@ -204,7 +211,7 @@ def text_of(nodes: list[Node], dropped: frozenset | set = frozenset()) -> str:
 
 
 def hash_subtrees(nodes: list[Node]) -> list[int]:
-    """Hash the subtrees that may be a template and return their hashes, each once."""
+    """Hash the subtrees that may be a template and return their hashes, each once; odd ones are blocks of an article."""
     out: dict[int, None] = {}
 
     def walk(root: Node) -> None:
@@ -226,10 +233,11 @@ def hash_subtrees(nodes: list[Node]) -> list[int]:
                         words = True
                 else:
                     h.update(digests[id(c)])
-                    words = words or c.digest != 0 or digests[id(c)][-1:] == b"\1"
+                    words = words or digests[id(c)][-1:] == b"\1"
             digests[id(n)] = h.digest() + (b"\1" if words else b"\0")
-            if words and n.tag not in ("html", "article", "main") and not (inside and n.tag in PROSE):
-                value = h.intdigest()
+            prose = inside and n.tag in PROSE
+            if words and n.tag not in ("html", "article", "main") and not (prose and n.tag not in PROSE_BLOCK):
+                value = h.intdigest() & ~1 | int(prose)
                 n.digest = value - (1 << 64) if value >= 1 << 63 else value
                 out[n.digest] = None
 
@@ -248,49 +256,83 @@ def _read(source: str) -> list[Node]:
     return roots(page)
 
 
+def _hashed(source: str) -> tuple[list[Node], list[int]]:
+    """The parts of a page that hold its text, and the hashes of its subtrees with and without furniture."""
+    page = parse(source)
+    found = dict.fromkeys(hash_subtrees([page]))
+    todo = [page]
+    while todo:
+        n = todo.pop()
+        n.whole, n.digest = n.digest, 0
+        todo += [c for c in n.children if not isinstance(c, str)]
+    strip(page)
+    found.update(dict.fromkeys(hash_subtrees([page])))
+    return roots(page), list(found)
+
+
 def _inventory(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         same, subtrees = [], []
-        for source in batch.column(1):
-            nodes = _read(source.as_py() or "")
-            subtrees.append(hash_subtrees(nodes))
+        for source in batch.column(2):
+            nodes, found = _hashed(source.as_py() or "")
+            subtrees.append(found)
             same.append(xxhash.xxh3_64_intdigest(text_of(nodes)) >> 1)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.int64()), pa.array(subtrees, pa.list_(pa.int64()))], ["host", "same", "subtrees"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(same, pa.int64()), pa.array(subtrees, pa.list_(pa.int64()))], ["host", "page", "same", "subtrees"]
+        )
 
 
-def find_templates(pages: DataFrame) -> DataFrame:
-    """(host, templates array<long>): hashes of the subtrees that recur on many pages of the host."""
-    base = only(pages, page_id="long", url="string", html="string")
-    rows = save(base.select(host().alias("host"), "html").mapInArrow(_inventory, "host string, same long, subtrees array<long>"), "subtrees").dropDuplicates(["host", "same"])
+def inventory(base: DataFrame) -> DataFrame:
+    """(host, page, same, subtrees) of every page; ``page`` stands for its html, ``same`` for its text."""
+    rows = base.select(host().alias("host"), page().alias("page"), "html")
+    return save(rows.mapInArrow(_inventory, "host string, page string, same long, subtrees array<long>"), "subtrees")
+
+
+def page() -> Column:
+    return F.md5(F.coalesce("html", F.lit("")).cast("binary"))
+
+
+def find_templates(rows: DataFrame) -> DataFrame:
+    """(host, subtree): hashes of the subtrees that recur on many pages of the host."""
+    rows = rows.dropDuplicates(["host", "same"])
     sizes = rows.groupBy("host").agg(F.count("*").alias("pages"))
-    counts = rows.select("host", F.explode("subtrees").alias("subtree")).groupBy("host", "subtree").agg(F.count("*").alias("n"))
-    need = F.greatest(F.lit(3.0), F.least(F.lit(10.0), F.col("pages") / 2), F.col("pages") / 10)
-    return counts.join(sizes, "host").where(F.col("n") >= need).groupBy("host").agg(F.collect_list("subtree").alias("templates"))
+    counts = rows.select("host", F.explode("subtrees").alias("subtree")).groupBy("host", "subtree").agg(F.count("*").alias("n")).where("n >= 3")
+    need = F.greatest(F.lit(3.0), F.least(F.lit(10.0), F.col("pages") / 2), F.least(F.lit(float(MANY)), F.col("pages") / 10))
+    need = F.when(F.col("subtree").bitwiseAND(F.lit(1)) == 1, F.greatest(F.lit(float(PROSE_PAGES)), need)).otherwise(need)
+    return counts.join(sizes, "host").where(F.col("n") >= need).select("host", "subtree")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, known = [], {}
+        texts = []
         for source, templates in zip(batch.column(2), batch.column(3)):
-            nodes = _read(source.as_py() or "")
-            dropped: set = set()
-            if templates.is_valid:
-                hash_subtrees(nodes)
-                dropped = set(templates.as_py())
-            texts.append(text_of(nodes, dropped))
+            if not templates.is_valid:
+                texts.append(text_of(_read(source.as_py() or "")))
+                continue
+            nodes, _ = _hashed(source.as_py() or "")
+            dropped = set(templates.as_py())
+            text = text_of(nodes, {t for t in dropped if not t & 1})
+            less = text_of(nodes, dropped)
+            texts.append(less if 2 * len(less) >= len(text) else text)
         sizes = pa.array([len(t) for t in texts], pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), sizes], ["page_id", "url", "text", "n_chars"])
 
 
-#: Hosts with templates up to which their table is broadcast; beyond it pages are joined by shuffle.
-BROADCAST_HOSTS = 2_000
+#: Templates in all, and of one host, up to which they are broadcast by host; beyond it they meet the pages by shuffle.
+BROADCAST_TEMPLATES, HOST_TEMPLATES = 200_000, 2_000
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def extract(pages: DataFrame, broadcast_rows: int = BROADCAST_TEMPLATES) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     base = only(pages, page_id="long", url="string", html="string")
-    templates = save(find_templates(pages), "templates")
-    if templates.count() <= BROADCAST_HOSTS:
-        templates = F.broadcast(templates)
-    joined = base.withColumn("host", host()).join(templates, "host", "left").select("page_id", "url", "html", "templates")
-    return joined.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    rows = inventory(base)
+    found = save(find_templates(rows), "templates")
+    most = found.groupBy("host").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    keyed = base.withColumn("host", host())
+    if most[0] <= broadcast_rows and most[1] <= HOST_TEMPLATES:
+        joined = keyed.join(F.broadcast(found.groupBy("host").agg(F.collect_list("subtree").alias("templates"))), "host", "left")
+    else:
+        held = rows.select("host", "page", F.explode("subtrees").alias("subtree")).distinct().join(found, ["host", "subtree"])
+        lists = held.groupBy("host", "page").agg(F.collect_list("subtree").alias("templates"))
+        joined = keyed.withColumn("page", page()).join(lists, ["host", "page"], "left")
+    return joined.select("page_id", "url", "html", "templates").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

@@ -41,6 +41,21 @@ def test_prose_inside_an_article_stays(spark):
     assert got[4] == "4\nsame line\nend 4"
 
 
+def test_recurring_blocks_of_articles_and_menus_are_counted(spark):
+    body = "<article><h1>Title {i}</h1><p>Read our terms before use</p><p>{t}</p></article>"
+    rows = [(i, f"http://a.example/{i}", "<nav><a>Home</a></nav>" + body.format(i=i, t=f"word{i} " * 20)) for i in range(12)]
+    near = "one long text of an article that stands under many addresses " * 3
+    rows += [(100 + i, f"http://b.example/{i}", f"<article><p>{near}</p><p>seen {i}</p></article>") for i in range(12)]  # near copies
+    many = [(1000 + i, f"http://c.example/{i}", f"<div>{'<div>Section box</div>' if i < 55 else ''}<p>text {i}</p></div>") for i in range(700)]
+    df = pages(spark, rows + many)
+    for found in (templates.extract(df), templates.extract(df, broadcast_rows=0)):
+        got = {r["page_id"]: r["text"] for r in found.collect()}
+        assert len(got) == 724 and got[3] == "Title 3\n" + "word3 " * 19 + "word3"
+        assert got[103] == near.strip() + "\nseen 3" and got[1005] == "text 5"
+    kinds = {r["host"] for r in templates.find_templates(templates.inventory(df)).where("subtree % 2 = 0").collect()}
+    assert "a.example" in kinds  # the menu is counted, though its tag alone would do
+
+
 def test_recall_and_exact_scores(spark):
     r = np.random.default_rng(2)
     x = r.normal(size=(3000, 24)) * r.uniform(0.1, 10, (3000, 1))
