@@ -38,32 +38,53 @@ def first_with(columns: Sequence[str], *words: str) -> str | None:
     return next((c for c in columns if any(w in c.lower() for w in words)), None)
 
 
-def renewable(df: DataFrame, region: str = "region", ts: str = "datetime") -> DataFrame:
-    w, columns, new = W.series(region, ts), df.columns, {}
-    found = [c for c in columns if any(x in c.lower() for x in ("solar", "wind", "hydro"))]
-    if found:
-        new["total_renewable_mwh"] = S.row_sum(*found)
-        if demand := first_with(columns, "demand"):
-            new["renewable_penetration"] = S.ratio(S.row_sum(*found), demand) * 100
-    for fuel in ("solar", "wind"):
-        if c := first_with(columns, fuel):
-            new |= {f"{fuel}_capacity_factor": W.share_of_max(c, region), f"{fuel}_ramp_rate": W.ramp(c, w)}
-    return df.select("*", *[v.alias(k) for k, v in new.items()])
-
-
-def demand(df: DataFrame, region: str = "region", ts: str = "datetime") -> DataFrame:
-    c = first_with(df.columns, "demand")
-    if c is None:
-        return df
-    w = W.series(region, ts)
-    return df.select(
-        "*",
-        W.growth(c, 1, w).alias("demand_growth_1h"),
-        W.growth(c, 24, w).alias("demand_growth_24h"),
-        W.rolling_zscore(c, 168, w).alias("demand_zscore_168h"),
-        W.is_peak(c, 24, w).alias("is_daily_peak"),
-        W.is_peak(c, 168, w).alias("is_weekly_peak"),
-    )
+def renewable(df: DataFrame, region: str = "region", ts: str = "datetime", **blocks) -> DataFrame:
+    """Total, penetration, and for solar and wind the share of the region's maximum and the ramp."""
+    return with_features(df, region, ts, renewable_=True, **blocks)
+
+
+def demand(df: DataFrame, region: str = "region", ts: str = "datetime", **blocks) -> DataFrame:
+    """Growth, z-score and peak flags of the first demand column; ``df`` as it is where there is none."""
+    return with_features(df, region, ts, demand_=True, **blocks) if first_with(df.columns, "demand") else df
+
+
+def with_features(
+    df: DataFrame, region: str, ts: str, renewable_: bool = False, demand_: bool = False, lags: Sequence[str] = (), rolling: Sequence[str] = (), **blocks
+) -> DataFrame:
+    """The asked families in one pass over the blocks of each series, so that all of them share two shuffles."""
+    columns, kept = df.columns, df.columns
+    fuels = {fuel: c for fuel in ("solar", "wind") if renewable_ and (c := first_with(columns, fuel))}
+    plain, names = {}, []
+    if renewable_:
+        found = [c for c in columns if any(x in c.lower() for x in ("solar", "wind", "hydro"))]
+        if found:
+            plain["total_renewable_mwh"] = S.row_sum(*found)
+            if load := first_with(columns, "demand"):
+                plain["renewable_penetration"] = S.ratio(S.row_sum(*found), load) * 100
+        names += list(plain)
+        for fuel in fuels:
+            names += [f"{fuel}_capacity_factor", f"{fuel}_ramp_rate"]
+    c = first_with(columns, "demand") if demand_ else None
+    if c:
+        names += ["demand_growth_1h", "demand_growth_24h", "demand_zscore_168h", "is_daily_peak", "is_weekly_peak"]
+
+    def new(w) -> dict:
+        out = {f"{fuel}_ramp_rate": W.ramp(x, w) for fuel, x in fuels.items()}
+        if c:
+            out |= {
+                "demand_growth_1h": W.growth(c, 1, w), "demand_growth_24h": W.growth(c, 24, w), "demand_zscore_168h": W.rolling_zscore(c, 168, w),
+                "is_daily_peak": W.is_peak(c, 24, w), "is_weekly_peak": W.is_peak(c, 168, w),
+            }
+        return out | W.lag_columns(lags, W.LAGS, w) | W.rolling_columns(rolling, W.ROLLS, w)
+
+    back = max(1, 167 if c or rolling else 0, max(W.LAGS) if lags else 0)
+    out = df.select("*", *[v.alias(k) for k, v in plain.items()])
+    if fuels:
+        out = W.shares_of_max(out, {f"{fuel}_capacity_factor": x for fuel, x in fuels.items()}, region)
+    if fuels or c or lags or rolling:
+        out = W.over_rows(out, new, back, region=region, ts=ts, **blocks)
+    names += [*W.lag_columns(lags, W.LAGS, W.series(region, ts)), *W.rolling_columns(rolling, W.ROLLS, W.series(region, ts))]
+    return out.select(*kept, *names)
 
 
 def supply_demand(df: DataFrame, demand_column: str | None = None, supplies: Sequence[str] | None = None, strict_reference: bool = False) -> DataFrame:
@@ -85,13 +106,14 @@ def supply_demand(df: DataFrame, demand_column: str | None = None, supplies: Seq
     )
 
 
-def all_features(df: DataFrame, region: str = "region", ts: str = "datetime", lags: bool = True, rolling: bool = True) -> DataFrame:
+def all_features(df: DataFrame, region: str = "region", ts: str = "datetime", lags: bool = True, rolling: bool = True, **blocks) -> DataFrame:
     """The whole chain: calendar, renewable, demand, balance, then lags of 5 and rolling statistics of 3 core columns."""
     core = [c for c in df.columns if c not in (region, ts) and any(x in c.lower() for x in ("demand", *BASE_FUELS))]
-    out = supply_demand(demand(renewable(temporal(df, ts), region, ts), region, ts))
-    if lags:
-        out = W.add_lags(out, core[:5], region=region, ts=ts)
-    return W.add_rolling(out, core[:3], region=region, ts=ts) if rolling else out
+    calendar = temporal(df, ts)
+    out = with_features(calendar, region, ts, True, True, core[:5] if lags else (), core[:3] if rolling else (), **blocks)
+    late = [c for c in out.columns if "_lag_" in c or "_rolling_" in c]
+    balanced = supply_demand(out.drop(*late) if late else out).columns
+    return supply_demand(out, first_with(df.columns, "demand"), [c for c in df.columns if c.lower() in {f"{f}_mwh" for f in BASE_FUELS}]).select(*balanced, *late)
 
 
 def feature_columns(df: DataFrame) -> list[str]:
@@ -106,6 +128,7 @@ def matrix(df: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = N
     x = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns}
     if not normalize:
         return df.select(*keys, F.array(*x.values()).cast("array<float>").alias("features"))
-    fitted = df.agg(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(x.values())], *[F.stddev_pop(v).alias(f"s{i}") for i, v in enumerate(x.values())]).first()
-    scaled = [(v - F.lit(fitted[f"m{i}"])) / (F.lit(fitted[f"s{i}"]) + epsilon) for i, v in enumerate(x.values())]
+    moments = F.array(*[F.struct(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std")) for v in x.values()])
+    fitted = df.agg(moments.alias("fitted")).scalar()  # a subquery of the same query: no job while the plan is built
+    scaled = [(v - fitted[i]["mean"]) / (fitted[i]["std"] + epsilon) for i, v in enumerate(x.values())]
     return df.select(*keys, F.array(*scaled).cast("array<float>").alias("features"))

@@ -11,10 +11,22 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 
 
-def pivot(df: DataFrame, keys: Sequence[str], names: str, value: str, values: Sequence[str], how: str = "sum", suffix: str = "", fill: float | None = 0.0) -> DataFrame:
-    """Long to wide with given column values, so that no extra job looks them up."""
-    agg = {"sum": F.sum, "mean": F.avg, "first": F.min}[how]  # the least value stands in for an order-dependent first
-    out = df.groupBy(*keys).agg(*[agg(F.when(F.col(names) == v, F.col(value))).alias(f"{v}{suffix}") for v in values])
+def pivot(
+    df: DataFrame, keys: Sequence[str], names: str, value: str, values: Sequence[str], how: str = "sum", suffix: str = "", fill: float | None = 0.0, order: str | None = None
+) -> DataFrame:
+    """Long to wide with given column values, so that no extra job looks them up.
+
+    ``how="first"`` takes the value of the first row by the column ``order``; NULL values count as rows.
+    """
+    if how == "first" and order is None:
+        raise ValueError("first needs an order column")
+    agg = {"sum": F.sum, "mean": F.avg, "first": None}[how]
+    cells = []
+    for v in values:
+        mine = F.col(names) == v
+        cell = agg(F.when(mine, F.col(value))) if agg else F.min(F.when(mine, F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))["v"]
+        cells.append(cell.alias(f"{v}{suffix}"))
+    out = df.groupBy(*keys).agg(*cells)
     return out if fill is None else out.fillna(fill, subset=[f"{v}{suffix}" for v in values])
 
 
@@ -46,16 +58,59 @@ def align(frames: Sequence[DataFrame], ts: str = "timestamp") -> DataFrame:
     return reduce(lambda a, b: a.join(b, ts, "left"), hourly, hours)
 
 
-def join_demand_generation(demand: DataFrame, generation: DataFrame, on: Sequence[str] = ("region", "datetime")) -> DataFrame:
-    """Full outer join on region and time; the other columns get the prefix of their side."""
-    side = lambda df, prefix: df.select(*on, *[F.col(c).alias(f"{prefix}_{c}") for c in df.columns if c not in on])
-    return side(demand, "demand").join(side(generation, "generation"), list(on), "full")
+def prefixed(df: DataFrame, prefix: str, on: Sequence[str], keep: bool = False) -> DataFrame:
+    """``{prefix}_{column}`` for every column beside ``on``; with ``keep`` in addition to the originals."""
+    rest = [c for c in df.columns if c not in on]
+    return df.select(*on, *(rest if keep else []), *[F.col(c).alias(f"{prefix}_{c}") for c in rest])
 
 
-def to_map(df: DataFrame, keys: Sequence[str], name: str, value: str) -> DataFrame:
-    """One map per key, summing values of equal names first."""
-    summed = df.groupBy(*keys, name).agg(F.sum(value).alias("_v"))
-    return summed.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(name, "_v")))).alias("by_name"))
+def join_demand_generation(demand: DataFrame, generation: DataFrame, on: Sequence[str] = ("region", "datetime"), keep: bool = False) -> DataFrame:
+    """Full outer join on region and time; the other columns get the prefix of their side.
+
+    ``keep`` leaves the originals beside them (their names must then differ between the sides).
+    """
+    return prefixed(demand, "demand", on, keep).join(prefixed(generation, "generation", on, keep), list(on), "full")
+
+
+def to_map(df: DataFrame, keys: Sequence[str], name: str, value: str, last_by: str | None = None) -> DataFrame:
+    """One map per key, summing values of equal names first, or taking the last by the column ``last_by``."""
+    one = F.sum(value) if last_by is None else F.max(F.struct(F.col(last_by).alias("o"), F.col(value).alias("v")))["v"]
+    single = df.groupBy(*keys, name).agg(one.alias("_v"))
+    return single.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(name, "_v")))).alias("by_name"))
+
+
+def join_maps(demand: DataFrame, generation: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, demand, generation): the maps of keys that both sides hold."""
+    return demand.withColumnRenamed("by_name", "demand").join(generation.withColumnRenamed("by_name", "generation"), list(keys))
+
+
+def bucket_metrics(demand: DataFrame, generation: DataFrame, key: str, value: str, fuel: str, good: Sequence[str], last_by: str | None = None) -> DataFrame:
+    """Per bucket with both sides: mean and peak demand, generation, its renewable part, and with ``last_by`` the last value per fuel."""
+    load = demand.groupBy(key).agg(F.avg(value).alias("avg_demand"), F.max(value).alias("peak_demand"))
+    green = F.sum(F.when(F.col(fuel).isin(*good), F.col(value)))
+    supply = generation.groupBy(key).agg(F.sum(value).alias("generation"), F.coalesce(green, F.lit(0.0)).alias("renewable"))
+    out = load.join(supply, key)
+    return out if last_by is None else out.join(to_map(generation, [key], fuel, value, last_by).withColumnRenamed("by_name", "last_by_fuel"), key)
+
+
+def grid_metrics(buckets: DataFrame) -> DataFrame:
+    """Adds load factor, renewable share, stress and activity to the rows of ``bucket_metrics``."""
+    return buckets.withColumns(
+        {
+            "load_factor": S.load_factor("avg_demand", "peak_demand"), "renewable_pct": F.coalesce(S.ratio("renewable", "generation") * 100, F.lit(0.0)),
+            "stress": S.stress("avg_demand", "peak_demand"), "activity": F.col("avg_demand") / 1000,
+        }
+    )
+
+
+def renewable_shares(wide: DataFrame, good: Sequence[str], all_: Sequence[str], places: int = 2) -> DataFrame:
+    """Adds ``total_renewable_mwh`` and ``renewable_percentage``, both rounded."""
+    return wide.withColumns({"total_renewable_mwh": F.round(S.row_sum(*good), places), "renewable_percentage": S.percent(S.row_sum(*good), S.row_sum(*all_), places)})
+
+
+def without(df: DataFrame, other: DataFrame, left: str, right: str) -> DataFrame:
+    """The rows whose ``left`` is not among ``right``; NULL is never among them."""
+    return df.join(other.select(F.col(right).alias("_right")).distinct(), F.col(left) == F.col("_right"), "left_anti")
 
 
 def harmonize(df: DataFrame, source: str, data_type: str, time: str, value: str, unit: str, region: str | None = None) -> DataFrame:
@@ -94,6 +149,12 @@ def cross_region(daily: DataFrame) -> DataFrame:
     )
 
 
+def migration_features(store, df: DataFrame, name: str, overwrite: bool = False) -> DataFrame:
+    """The chain of regional daily features, their differences between regions and the save, read back from the store."""
+    store.save(cross_region(daily_features(df)), "features", name, overwrite=overwrite, ts="timestamp")
+    return store.load("features", name)
+
+
 def collect_sources(builders: dict, wanted: Sequence[str] | None = None) -> tuple[dict[str, DataFrame], dict[str, str]]:
     """(frames, errors) of the named builders: a source that cannot be planned is left out and named."""
     frames, errors = {}, {}

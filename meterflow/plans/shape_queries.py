@@ -32,8 +32,8 @@ def pivot_sql(fn: str) -> str:
 
 
 def pivoted(spark, sf_dir, how: str):
-    rows = table(spark, sf_dir, "events").select(S.hour_bucket("ts").alias("ts"), "event_type", "value")
-    out = reshape.pivot(rows, ["ts"], "event_type", "value", TYPES, how, "_mwh")
+    rows = table(spark, sf_dir, "events").select("event_id", S.hour_bucket("ts").alias("ts"), "event_type", "value")
+    out = reshape.pivot(rows, ["ts"], "event_type", "value", TYPES, how, "_mwh", order="event_id")
     return out.select("ts", *[r6(f"{t}_mwh").alias(f"{t}_mwh") for t in TYPES])
 
 
@@ -47,22 +47,37 @@ def pivot_mean(spark, sf_dir):
     return pivoted(spark, sf_dir, "mean")
 
 
-@query(pivot_sql("min"))
+@query("SELECT date_trunc('hour', ts) AS ts, " + ", ".join(f"round(coalesce(first(value ORDER BY event_id) FILTER (WHERE event_type = '{t}'), 0), 6) AS {t}_mwh" for t in TYPES) + " FROM events GROUP BY 1")
 def pivot_first(spark, sf_dir):
     return pivoted(spark, sf_dir, "first")
 
 
-@query("""WITH d AS (SELECT r_name AS region, l_shipdate AS datetime, sum(l_quantity) AS solar_mwh FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2),
+FULL = """WITH d AS (SELECT r_name AS region, l_shipdate AS datetime, sum(l_quantity) AS solar_mwh FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2),
 o AS (SELECT r_name AS region, o_orderdate AS datetime, sum(o_totalprice) AS demand_mwh FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2)
-SELECT coalesce(o.region, d.region) AS region, coalesce(o.datetime, d.datetime) AS datetime, round(o.demand_mwh, 2) AS demand_demand_mwh, round(d.solar_mwh, 2) AS generation_solar_mwh FROM o FULL JOIN d ON o.region = d.region AND o.datetime = d.datetime""")
+SELECT coalesce(o.region, d.region) AS region, coalesce(o.datetime, d.datetime) AS datetime, round(o.demand_mwh, 2) AS demand_demand_mwh, round(d.solar_mwh, 2) AS generation_solar_mwh FROM o FULL JOIN d ON o.region = d.region AND o.datetime = d.datetime"""
+
+
+@query(FULL)
 def full_outer_join(spark, sf_dir):
+    out = reshape.join_demand_generation(*both_sides(spark, sf_dir))
+    return out.select("region", "datetime", r2("demand_demand_mwh").alias("demand_demand_mwh"), r2("generation_solar_mwh").alias("generation_solar_mwh"))
+
+
+@query(FULL.replace("SELECT coalesce(o.region", "SELECT round(o.demand_mwh, 2) AS demand_mwh, round(d.solar_mwh, 2) AS solar_mwh, coalesce(o.region"))
+def full_outer_join_originals(spark, sf_dir):
+    """As above, with the columns under their own names as well."""
+    out = reshape.join_demand_generation(*both_sides(spark, sf_dir), keep=True)
+    return out.select("region", "datetime", *[r2(c).alias(c) for c in out.columns if c not in ("region", "datetime")])
+
+
+def both_sides(spark, sf_dir):
+    """Daily demand by customers' regions, and shipped quantities by suppliers'."""
     demand = regional(spark, sf_dir).groupBy("region", F.col("timestamp").alias("datetime")).agg(F.sum("value").alias("demand_mwh"))
     places = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("region"))
     suppliers = table(spark, sf_dir, "supplier").join(places, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "region")
     items = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_quantity").join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
     generation = items.groupBy("region", F.col("l_shipdate").alias("datetime")).agg(F.sum("l_quantity").alias("solar_mwh"))
-    out = reshape.join_demand_generation(demand, generation)
-    return out.select("region", "datetime", r2("demand_demand_mwh").alias("demand_demand_mwh"), r2("generation_solar_mwh").alias("generation_solar_mwh"))
+    return demand, generation
 
 
 @query(f"""WITH {HOURLY} SELECT a.ts, round(a.total, 6) AS demand, round(coalesce(b.total, 0), 6) AS renewables, round(coalesce(c.v, 0), 6) AS price FROM (SELECT * FROM hourly WHERE region = 'view') a
@@ -75,26 +90,26 @@ def three_way_left_join(spark, sf_dir):
 
 
 @query("""WITH d AS (SELECT date_trunc('hour', ts) AS ts, avg(value) AS avg_demand, max(value) AS peak_demand FROM events WHERE event_type IN ('view', 'signup') GROUP BY 1),
-g AS (SELECT date_trunc('hour', ts) AS ts, sum(value) AS generation, coalesce(sum(value) FILTER (WHERE event_type IN ('click', 'error')), 0) AS renewable FROM events WHERE event_type NOT IN ('view', 'signup') GROUP BY 1)
-SELECT d.ts, round(coalesce(avg_demand / nullif(peak_demand, 0), 0), 6) AS load_factor, round(coalesce(renewable / nullif(generation, 0) * 100, 0), 6) AS renewable_pct, round(greatest(0, coalesce((peak_demand - avg_demand) / nullif(avg_demand, 0), 0)), 6) AS stress, round(avg_demand / 1000, 9) AS activity FROM d JOIN g ON d.ts = g.ts""")
+g AS (SELECT date_trunc('hour', ts) AS ts, sum(value) AS generation, coalesce(sum(value) FILTER (WHERE event_type IN ('click', 'error')), 0) AS renewable FROM events WHERE event_type NOT IN ('view', 'signup') GROUP BY 1),
+l AS (SELECT ts, string_agg(event_type || '=' || printf('%.2f', v), ',' ORDER BY event_type) AS last_by_fuel FROM (SELECT date_trunc('hour', ts) AS ts, event_type, last(value ORDER BY event_id) AS v FROM events WHERE event_type NOT IN ('view', 'signup') GROUP BY 1, 2) GROUP BY 1)
+SELECT d.ts, round(coalesce(avg_demand / nullif(peak_demand, 0), 0), 6) AS load_factor, round(coalesce(renewable / nullif(generation, 0) * 100, 0), 6) AS renewable_pct, round(greatest(0, coalesce((peak_demand - avg_demand) / nullif(avg_demand, 0), 0)), 6) AS stress, round(avg_demand / 1000, 9) AS activity, last_by_fuel
+FROM d JOIN g ON d.ts = g.ts JOIN l ON l.ts = d.ts""")
 def regional_metrics(spark, sf_dir):
-    events = table(spark, sf_dir, "events").withColumn("hour", S.hour_bucket("ts"))
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "value", S.hour_bucket("ts").alias("ts"))
     load = F.col("event_type").isin("view", "signup")
-    demand = events.where(load).groupBy("hour").agg(F.avg("value").alias("avg_demand"), F.max("value").alias("peak_demand"))
-    good = F.sum(F.when(F.col("event_type").isin("click", "error"), F.col("value")))
-    supply = events.where(~load).groupBy("hour").agg(F.sum("value").alias("generation"), F.coalesce(good, F.lit(0.0)).alias("renewable"))
-    out = demand.join(supply, "hour")
-    return out.select(
-        F.col("hour").alias("ts"), r6(S.load_factor("avg_demand", "peak_demand")).alias("load_factor"), r6(F.coalesce(S.ratio("renewable", "generation") * 100, F.lit(0.0))).alias("renewable_pct"),
-        r6(S.stress("avg_demand", "peak_demand")).alias("stress"), F.round(F.col("avg_demand") / 1000, 9).alias("activity"),
-    )
+    out = reshape.grid_metrics(reshape.bucket_metrics(events.where(load), events.where(~load), "ts", "value", "event_type", ("click", "error"), "event_id"))
+    return out.select("ts", *[r6(c).alias(c) for c in ("load_factor", "renewable_pct", "stress")], F.round("activity", 9).alias("activity"), map_text("last_by_fuel").alias("last_by_fuel"))
+
 
+def map_text(c: str):
+    """A map as ``name=value`` pairs in order of the names."""
+    return F.array_join(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), F.format_string("%.2f", e["value"]))), ",")
 
-@query(f"WITH p AS ({pivot_sql('sum')}) SELECT ts, round(view_mwh + click_mwh, 3) AS total_renewable_mwh, round((view_mwh + click_mwh) / nullif(view_mwh + signup_mwh + click_mwh + error_mwh + purchase_mwh, 0) * 100, 3) AS renewable_percentage FROM p")
+
+@query(f"WITH p AS ({pivot_sql('sum')}) SELECT ts, round(view_mwh + click_mwh, 2) AS total_renewable_mwh, coalesce(round_even((view_mwh + click_mwh) / nullif(view_mwh + signup_mwh + click_mwh + error_mwh + purchase_mwh, 0) * 100, 2), 0) AS renewable_percentage FROM p")
 def renewable_summary(spark, sf_dir):
-    p = pivoted(spark, sf_dir, "sum")
-    good, all_ = S.row_sum("view_mwh", "click_mwh"), S.row_sum(*[f"{t}_mwh" for t in TYPES])
-    return p.select("ts", F.round(good, 3).alias("total_renewable_mwh"), F.round(S.ratio(good, all_) * 100, 3).alias("renewable_percentage"))
+    out = reshape.renewable_shares(pivoted(spark, sf_dir, "sum"), ["view_mwh", "click_mwh"], [f"{t}_mwh" for t in TYPES])
+    return out.select("ts", "total_renewable_mwh", "renewable_percentage")
 
 
 @query("""SELECT ts AS timestamp, event_type AS region, 'events' AS data_source, value, 'MWh' AS unit, 'demand' AS data_type FROM events UNION ALL SELECT o_orderdate, 'US', 'orders', o_totalprice, 'MW', 'demand' FROM orders""")
@@ -160,7 +175,7 @@ def profile_stats(spark, sf_dir):
 
 @query("SELECT DISTINCT o_orderpriority, o_orderstatus FROM orders")
 def distinct_values(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderstatus").distinct()
+    return quality.distinct(table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderstatus")
 
 
 @query("SELECT o_orderpriority, o_orderstatus, grouping(o_orderpriority, o_orderstatus)::BIGINT AS grouping_id, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY GROUPING SETS ((o_orderpriority), (o_orderstatus), ())")
@@ -171,9 +186,8 @@ def grouping_summary(spark, sf_dir):
 
 @query("SELECT o_orderpriority, CASE WHEN o_totalprice < 100000 THEN 'small' WHEN o_totalprice < 300000 THEN 'medium' ELSE 'large' END AS bucket, count(*) AS n, round(avg(o_totalprice), 2) AS mean FROM orders GROUP BY 1, 2")
 def size_buckets(spark, sf_dir):
-    p = F.col("o_totalprice")
-    bucket = F.when(p < 100_000, "small").when(p < 300_000, "medium").otherwise("large")
-    return table(spark, sf_dir, "orders").groupBy("o_orderpriority", bucket.alias("bucket")).agg(F.count("*").alias("n"), r2(F.avg("o_totalprice")).alias("mean"))
+    edges = {"small": 100_000, "medium": 300_000}
+    return quality.buckets(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_totalprice", edges, "large", n=F.count("*"), mean=r2(F.avg("o_totalprice")))
 
 
 @query("(SELECT 'top' AS side, o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5) UNION ALL (SELECT 'bottom', o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 5)")
@@ -190,18 +204,15 @@ def head_rows(spark, sf_dir):
 
 @query("SELECT event_type, count(*) AS operations, round(avg(value), 6) AS average_latency, round(median(value), 6) AS median_latency, round(100.0::DOUBLE * count(*) FILTER (WHERE value < 50) / count(*), 6) AS success_rate, round(count(*) / nullif(epoch(max(ts)) - epoch(min(ts)), 0)::DOUBLE, 8) AS per_second FROM events GROUP BY 1")
 def latency_metrics(spark, sf_dir):
-    span = F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(
-        F.count("*").alias("operations"), r6(F.avg("value")).alias("average_latency"), r6(F.median("value")).alias("median_latency"),
-        r6(F.count_if(F.col("value") < 50) * F.lit(100.0) / F.count("*")).alias("success_rate"), F.round(S.ratio(F.count("*"), span / 1e6), 8).alias("per_second"),
-    )
+    out = quality.latency(table(spark, sf_dir, "events"), ["event_type"], "value", "ts", F.col("value") < 50)
+    rounded = [r6(c).alias(c) for c in ("average_latency", "median_latency", "success_rate")]
+    return out.select("event_type", "operations", *rounded, F.round("per_second", 8).alias("per_second"))
 
 
 @query("SELECT DISTINCT n_name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_nationkey IS NOT NULL AND s_acctbal > 9000)")
 def region_set_difference(spark, sf_dir):
     rich = table(spark, sf_dir, "supplier").where("s_acctbal > 9000").select("s_nationkey")
-    nations = table(spark, sf_dir, "nation")
-    return nations.join(rich, nations.n_nationkey == rich.s_nationkey, "left_anti").select("n_name").distinct()
+    return reshape.without(table(spark, sf_dir, "nation"), rich, "n_nationkey", "s_nationkey").select("n_name").distinct()
 
 
 @query("SELECT f::DATE AS from_date, least(f + INTERVAL 7 DAY, DATE '2024-03-01')::DATE AS to_date FROM generate_series(DATE '2024-01-01', DATE '2024-02-29', INTERVAL 7 DAY) t(f)")
@@ -220,8 +231,16 @@ def request_plan(spark, sf_dir):
 def fuel_map(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(S.hour_bucket("ts").alias("ts"), "event_type", "value")
     out = reshape.to_map(rows, ["ts"], "event_type", "value")
-    text = F.transform(F.map_entries("by_name"), lambda e: F.concat(e["key"], F.lit("="), F.format_string("%.2f", e["value"])))
-    return out.select("ts", F.array_join(text, ",").alias("fuels"))
+    return out.select("ts", map_text("by_name").alias("fuels"))
+
+
+@query("""WITH m AS (SELECT date_trunc('hour', ts) AS ts, event_type IN ('view', 'signup') AS load, event_type, sum(value) AS s FROM events GROUP BY 1, 2, 3),
+t AS (SELECT ts, load, string_agg(event_type || '=' || printf('%.2f', s), ',' ORDER BY event_type) AS names FROM m GROUP BY 1, 2) SELECT a.ts, a.names AS demand, b.names AS generation FROM t a JOIN t b ON a.ts = b.ts AND a.load AND NOT b.load""")
+def map_join(spark, sf_dir):
+    """Demand and generation maps of the hours that hold both."""
+    rows, load = table(spark, sf_dir, "events").select(S.hour_bucket("ts").alias("ts"), "event_type", "value"), F.col("event_type").isin("view", "signup")
+    out = reshape.join_maps(reshape.to_map(rows.where(load), ["ts"], "event_type", "value"), reshape.to_map(rows.where(~load), ["ts"], "event_type", "value"), ["ts"])
+    return out.select("ts", map_text("demand").alias("demand"), map_text("generation").alias("generation"))
 
 
 @query("SELECT CASE WHEN event_type = 'view' THEN 'demand' WHEN event_type IN ('click', 'error') THEN 'generation' ELSE 'other' END AS kind, count(*) AS n FROM events GROUP BY 1")
@@ -257,8 +276,3 @@ def parse_fields(spark, sf_dir):
 def clip_and_names(spark, sf_dir):
     code = F.when(F.col("event_type") == "view", "SUN").when(F.col("event_type") == "click", "WND").otherwise(F.col("event_type"))
     return table(spark, sf_dir, "events").select("event_id", S.clip("value", 5, 50).alias("clipped"), S.fuel_name(code).alias("fuel"), S.is_renewable(S.fuel_name(code)).alias("renewable"))
-
-
-@query(f"WITH {REGIONAL} SELECT region, count(*) AS n, round(sum(value), 2) AS total, approx FROM (SELECT *, 1 AS approx FROM regional) GROUP BY region, approx")
-def region_totals(spark, sf_dir):
-    return regional(spark, sf_dir).groupBy("region").agg(F.count("*").alias("n"), r2(F.sum("value")).alias("total")).withColumn("approx", F.lit(1))

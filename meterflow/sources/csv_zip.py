@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators.windows import forward_fill, series
+from ..operators.windows import fill_forward
 from ..schemas import GOOD_SHARES
 
 
@@ -102,5 +102,4 @@ def together(demand_: DataFrame, renewables_: DataFrame, prices_: DataFrame) ->
     d = demand_.withColumnRenamed("datetime", "timestamp")
     out = d.join(renewables_.drop("region"), "timestamp", "left").join(prices_.drop("location"), "timestamp", "left")
     values = [c for c in out.columns if c not in ("timestamp", "region")]
-    w = series("region", "timestamp")
-    return out.withColumns({c: F.coalesce(forward_fill(c, w), F.lit(0.0)) for c in values})
+    return fill_forward(out, values, "region", "timestamp").fillna(0.0, subset=values)

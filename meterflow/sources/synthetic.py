@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clip
+from ..operators.quality import medians
 
 YEAR = 8766
 
@@ -28,12 +29,13 @@ def series(spark: SparkSession, hours: int, start: str = "2024-01-01", base_mw:
     warm = 15 + 10 * _wave(YEAR, -math.pi / 2) + 5 * _wave(24, -math.pi / 2) + 2 * normal(6)
     rows = t.select("t", clip(demand, low=0.1 * base_mw).alias("demand_mw"), solar.alias("solar_generation_mw"), wind.alias("wind_generation_mw"), warm.alias("temperature_c"))
     rows = rows.withColumn("_ren", F.col("solar_generation_mw") + F.col("wind_generation_mw"))
-    # fitted once over the whole series: one row of constants
-    fit = rows.agg(F.avg("demand_mw").alias("m"), F.stddev_pop("demand_mw").alias("s"), F.avg("_ren").alias("r"), F.median("demand_mw").alias("med")).first()
-    if fit["m"] is None:
-        fit = {"m": 0.0, "s": 1.0, "r": 1.0, "med": 0.0}
-    price = 50 + 30 * (F.col("demand_mw") - fit["m"]) / (fit["s"] or 1.0) - 20 * F.col("_ren") / (fit["r"] or 1.0) + 10 * normal(7)
-    stable = 0.8 - 0.1 * F.least(F.abs(F.col("demand_mw") - fit["med"]) / (fit["s"] or 1.0), F.lit(3.0)) / 3
+    # four constants of the whole series, read by subqueries of the same query
+    values = rows.select(F.lit(0).alias("all"), F.col("demand_mw").alias("value"))
+    med = medians(values.groupBy("all", "value").agg(F.count("*").alias("n")), values, ["all"], "value").select("median").scalar()
+    fit = rows.agg(F.struct(F.avg("demand_mw").alias("m"), F.stddev_pop("demand_mw").alias("s"), F.avg("_ren").alias("r")).alias("fit")).scalar()
+    spread, mean_ren = F.when(fit["s"] > 0, fit["s"]).otherwise(1.0), F.when(fit["r"] > 0, fit["r"]).otherwise(1.0)
+    price = 50 + 30 * (F.col("demand_mw") - fit["m"]) / spread - 20 * F.col("_ren") / mean_ren + 10 * normal(7)
+    stable = 0.8 - 0.1 * F.least(F.abs(F.col("demand_mw") - med) / spread, F.lit(3.0)) / 3
     if seed is not None:
         stable = stable + 0.01 * F.log(1 - uniform(8))
     at = F.lit(start).cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("t").cast("int"))

@@ -182,6 +182,98 @@ def test_chunks_equal_one_window(hours):
     assert [r["m"] for r in whole] == [r["demand_mwh_rolling_mean_24h"] for r in parts]
 
 
+@pytest.fixture(scope="module")
+def long_series(spark):
+    """One region with gaps in time and in values, over several chunks and blocks, and a short second one."""
+    at = (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("id").cast("int"))).cast("timestamp_ntz")
+    rows = spark.range(1500).where("id % 13 <> 0 and id not between 400 and 700").select(F.lit("A").alias("region"), at.alias("ts"), F.when(F.col("id") % 7 != 0, F.sin(F.col("id") / 9.0) * 50 + F.col("id") % 31).alias("v"))
+    leading = rows.withColumn("v", F.when(F.col("ts") > F.lit("2024-01-20").cast("timestamp_ntz"), F.col("v")))
+    return rows.union(leading.select(F.lit("B"), "ts", "v").limit(300)).union(rows.limit(9).select(F.lit(None), "ts", "v")).cache()
+
+
+def test_blocks_equal_one_window(long_series):
+    w = W.series("region", "ts")
+    new = lambda w: {"lag": F.lag("v", 5).over(w), "lead": F.lead("v", 3).over(w), "mean": W.full(F.col("v"), F.avg, w, 4), "std": W.full(F.col("v"), F.stddev_samp, w, 24), "z": W.rolling_zscore("v", 6, w)}
+    whole = long_series.select("*", *[c.alias(k) for k, c in new(w).items()])
+    parts = W.over_rows(long_series, new, 23, 3, ts="ts", block_rows=64, chunk_hours=50)
+    key = lambda r: (r["region"] or "", r["ts"])
+    assert sorted(parts.collect(), key=key) == sorted(whole.collect(), key=key)
+    assert parts.columns == whole.columns
+
+
+def test_fills_and_gaps_over_chunks_equal_one_window(long_series):
+    w, key = W.series("region", "ts"), lambda r: (r["region"] or "", r["ts"])
+    whole = {key(r): r["x"] for r in long_series.select("region", "ts", W.forward_fill("v", w).alias("x")).collect()}
+    assert {key(r): r["v"] for r in W.fill_forward(long_series, ["v"], ts="ts", chunk_hours=20).collect()} == whole
+    linear = {key(r): r["v"] for r in W.fill_linear(long_series, ["v"], ts="ts", chunk_hours=20).collect()}
+    known = {key(r): r["v"] for r in long_series.collect()}
+    for region in ("A", "B", ""):
+        mine = sorted((t for r, t in known if r == region))
+        hours = np.array([(t - mine[0]).total_seconds() for t in mine])
+        there = np.array([known[region, t] is not None for t in mine])
+        if not there.any():
+            assert all(linear[region, t] is None for t in mine)
+            continue
+        want = np.interp(hours, hours[there], [known[region, t] for t, y in zip(mine, there) if y], left=np.nan, right=np.nan)
+        got = np.array([np.nan if linear[region, t] is None else linear[region, t] for t in mine])
+        assert np.allclose(got, want, equal_nan=True)
+    gaps = {r["region"]: (r["n_gaps"], r["max_gap_hours"]) for r in W.gap_report(long_series, ts="ts", chunk_hours=20).collect()}
+    mine = sorted(t for r, t in known if r == "A")
+    apart = [(b - a).total_seconds() / 3600 for a, b in zip(mine, mine[1:])]
+    assert gaps["A"] == (sum(h > 1.5 for h in apart), max(apart))
+
+
+def test_one_series_fills_many_tasks(spark, long_series):
+    """More tasks than regions: windows are partitioned by block or chunk, too."""
+    one = long_series.where("region = 'A'")
+    frames = {
+        "rows": W.add_lags(one, ["v"], (1,), ts="ts", block_rows=64, chunk_hours=50), "fill": W.fill_forward(one, ["v"], ts="ts", chunk_hours=50),
+        "linear": W.fill_linear(one, ["v"], ts="ts", chunk_hours=50), "gaps": W.numbered(one, "region", "ts", 50),
+    }
+    for name, df in frames.items():
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        over = [x for x in plan.splitlines() if x.strip(" :+-").startswith("Window ")]
+        data = [x for x in over if "_w_size" not in x and "_w_before" not in x and "_w_in_" not in x and "_w_out_" not in x]
+        assert data and all("_w_block" in x.split("], [")[1] + x or "_w_chunk" in x for x in data), name
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert frames["rows"].select(F.spark_partition_id().alias("p")).distinct().count() > 1
+        assert frames["fill"].select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
+def test_medians_are_exact(spark):
+    r = np.random.default_rng(3)
+    values = {"a": r.integers(0, 50, 999), "b": r.normal(size=400).round(3), "c": [7.0], "d": [1.0] * 30 + [2.0] * 30}
+    rows = spark.createDataFrame([(k, float(v)) for k, vs in values.items() for v in vs] + [("a", None), ("e", None)], "k string, x double")
+    got = {x["k"]: x["median"] for x in quality.medians(rows.groupBy("k", "x").agg(F.count("*").alias("n")), rows, ["k"], "x").collect()}
+    assert got == {k: float(np.median(v)) for k, v in values.items()}
+    p = quality.profile(rows, ["x"]).first()
+    every = np.concatenate([np.array(v, float) for v in values.values()])
+    assert (p["count"], p["distinct"], p["median"]) == (len(every), len(set(every)), np.median(every)) and abs(p["mean"] - every.mean()) < 1e-9
+
+
+def test_first_by_order_and_map_of_last_values(spark):
+    rows = spark.createDataFrame([("k", 2, "a", 1.0), ("k", 1, "a", 5.0), ("k", 3, "a", 3.0), ("k", 9, "b", 2.0)], "k string, i int, n string, v double")
+    r = reshape.pivot(rows, ["k"], "n", "v", ["a", "b", "c"], "first", order="i").first()
+    assert (r["a"], r["b"], r["c"]) == (5.0, 2.0, 0.0)
+    assert reshape.to_map(rows, ["k"], "n", "v", last_by="i").first()["by_name"] == {"a": 3.0, "b": 2.0}
+    with pytest.raises(ValueError):
+        reshape.pivot(rows, ["k"], "n", "v", ["a"], "first")
+    assert reshape.prefixed(rows, "x", ["k"], keep=True).columns == ["k", "i", "n", "v", "x_i", "x_n", "x_v"]
+
+
+def test_split_checks_its_ranges(spark):
+    df = spark.range(3).select(F.lit("2024-01-02").cast("timestamp_ntz").alias("ts"))
+    with pytest.raises(ValueError, match="shorter"):
+        sequences.split(df, "ts", {"train": ("2024-01-01", "2024-01-05")}, min_days=30)
+    with pytest.raises(ValueError, match="share"):
+        sequences.split(df, "ts", {"train": ("2024-01-01", "2024-03-05"), "test": ("2024-01-01", "2024-03-05")}, max_overlap_days=30)
+    assert sequences.split(df, "ts", {"train": ("2024-01-01", "2024-03-05"), "test": ("2024-03-01", "2024-04-05")}, 30, 30).count() == 3
+
+
 @pytest.mark.parametrize("n,length,stride,room,expected", [(500, 168, 24, 1, 14), (1008, 168, 24, 1, 35), (400, 168, 144, 0, 2), (500, 100, 100, 0, 5), (167, 168, 24, 1, 0)])
 def test_sequence_counts(spark, n, length, stride, room, expected):
     df = spark.range(n).select(F.lit("A").alias("region"), F.col("id").alias("ts"), F.col("id").cast("double").alias("v"))
