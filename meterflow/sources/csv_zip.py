@@ -54,10 +54,34 @@ def error_message(xml: str = "error"):
     return F.struct(tag("ERR_CODE").alias("code"), tag("ERR_DESC").alias("description"))
 
 
+#: Columns a report may have at most.
+WIDTH = 64
+
+
+def _cells(lines: DataFrame) -> DataFrame:
+    """(path, header, cells, bad): each line split; ``bad`` where it has more fields than the header, or is none."""
+    schema, options = ", ".join(f"c{i} string" for i in range(WIDTH)), {"mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
+    split = lambda c: F.array(*[F.from_csv(c, schema, options)[f"c{i}"] for i in range(WIDTH)])
+    rows = lines.where("line is not null and error is null").select("path", split("header").alias("header"), split("line").alias("cells"))
+    width = F.size(F.array_compact("header"))
+    beyond = F.exists(F.slice("cells", width + 1, WIDTH), lambda x: x.isNotNull())
+    return rows.select("path", "header", "cells", (beyond | ~F.exists("cells", lambda x: x.isNotNull())).alias("bad"))
+
+
 def parse(lines: DataFrame, schema: str) -> DataFrame:
-    """Lines by a DDL schema in the file's column order; lines that do not fit are dropped."""
-    rows = lines.where("line is not null and error is null").select(F.from_csv("line", schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "ignoreLeadingWhiteSpace": "true"}).alias("r"))
-    return rows.select("r.*").where("_bad is null").drop("_bad")
+    """Lines by the names of a DDL schema, wherever the file's own header puts them; absent columns are NULL.
+
+    Lines with more fields than their header are left out, as ``bad_lines`` counts.
+    """
+    wanted = lines.sparkSession.createDataFrame([], schema).schema
+    place = lambda name: F.array_position("header", F.lit(name)).cast("int")
+    cell = lambda name: F.when(place(name) > 0, F.get("cells", place(name) - 1))
+    return _cells(lines).where(~F.col("bad")).select(*[cell(f.name).try_cast(f.dataType).alias(f.name) for f in wanted.fields])
+
+
+def bad_lines(lines: DataFrame) -> DataFrame:
+    """(path, n_lines, n_bad) of every file that is no error."""
+    return _cells(lines).groupBy("path").agg(F.count("*").alias("n_lines"), F.count_if("bad").alias("n_bad"))
 
 
 def demand(rows: DataFrame, region: str = "CAISO", same_day_24: bool = False) -> DataFrame:
@@ -78,6 +102,21 @@ def generation(rows: DataFrame, region: str = "CAISO", same_day_24: bool = False
 REPORTS = {"demand": "SLD_FCST", "renewables": "SLD_REN_FCST", "prices": "PRC_LMP", "generation": "ENE_SLRS"}
 
 
+def report_request(kind: str, start: str, end: str, location: str | None = None) -> dict[str, str]:
+    """Query parameters of one of the four reports; dates are ``yyyyMMdd`` or ISO."""
+    a, b = start.replace("-", ""), end.replace("-", "")
+    # the load report counts its days from 8 o'clock and knows no market run
+    times = (f"{a}T08:00-0000", f"{b}T08:00-0000") if kind == "demand" else (f"{a}T00:00-0000", f"{b}T23:59-0000")
+    out = {"queryname": REPORTS[kind], "startdatetime": times[0], "enddatetime": times[1], "version": "1", "resultformat": "6"}
+    if kind != "demand":
+        out["market_run_id"] = "RTM"
+    if kind == "prices":
+        if location is None:
+            raise ValueError("prices need a location")
+        out["node"] = location
+    return out
+
+
 def renewables(rows: DataFrame, region: str = "CAISO", same_day_24: bool = False) -> DataFrame:
     """OPR_DT, OPR_HR, RENEWABLE_TYPE, MW to one column per kind; solar and wind are always there, gaps are 0."""
     at = S.hour_of_day("OPR_DT", "OPR_HR", same_day_24).alias("timestamp")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import ENVELOPE
+from .files import write_named
 
 
 def read_envelopes(spark: SparkSession, path: str, glob: str = "*.json", data_type: str | None = None) -> DataFrame:
@@ -22,10 +23,27 @@ def read_envelopes(spark: SparkSession, path: str, glob: str = "*.json", data_ty
     return df if data_type is None else df.where(F.col("metadata.data_type") == data_type)
 
 
-def write_envelopes(df: DataFrame, path: str) -> None:
-    """One folder per year of the requested range."""
-    kept = df.select("metadata", "api_response", F.substring("metadata.start_date", 1, 4).alias("year"))
-    kept.write.mode("append").partitionBy("year").json(path)
+def filled_in(envelopes: DataFrame) -> DataFrame:
+    """``metadata`` with the size of the answer and its number of records, where they are missing or 0."""
+    response = F.to_json("api_response")
+    size = F.when(F.coalesce("metadata.response_size_bytes", F.lit(0)) == 0, F.octet_length(response).cast("long")).otherwise(F.col("metadata.response_size_bytes"))
+    n = F.when(F.coalesce("metadata.record_count", F.lit(0)) == 0, F.coalesce(F.size("api_response.response.data"), F.lit(0)).cast("long")).otherwise(F.col("metadata.record_count"))
+    return envelopes.withColumn("metadata", F.col("metadata").withField("response_size_bytes", size).withField("record_count", n))
+
+
+def file_name(source: str = "raw") -> Column:
+    """``{year}/{source}_{type}_{region}_{start}_to_{end}_{timestamp}.json`` of an envelope."""
+    m = lambda name, other: F.coalesce(F.col(f"metadata.{name}"), F.lit(other))
+    stamp = F.regexp_replace(m("timestamp", ""), "[^0-9A-Za-z]", "")
+    parts = [F.lit(source), m("data_type", "unknown"), m("region", "all"), m("start_date", ""), F.lit("to"), m("end_date", ""), stamp]
+    return F.concat(F.substring(m("start_date", "0000"), 1, 4), F.lit("/"), F.concat_ws("_", *parts), F.lit(".json"))
+
+
+def write_envelopes(df: DataFrame, path: str, source: str = "raw") -> tuple[int, int]:
+    """One named file per envelope below the year of its range, size and record count filled in; returns files and bytes."""
+    full = filled_in(df)
+    body = F.to_json(F.struct("metadata", "api_response"))
+    return write_named(full.select(file_name(source).alias("name"), body.cast("binary").alias("body")), path)
 
 
 def file_info(path_df: DataFrame) -> DataFrame:

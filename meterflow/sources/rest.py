@@ -2,8 +2,10 @@
 
 ``spark.dataSource.register(PagedSource)`` and then ``spark.read.format("paged")`` with options
 ``requests`` (JSON list of requests) and ``transport``. The transport ``replay:<folder>`` answers from
-recorded pages; ``http:<address>`` fetches. Failed tasks are tried again by Spark, single calls by the
-reader with doubling pauses.
+recorded pages below any address that pyarrow opens (each a line per try, so that failures replay, too);
+``http:<address>`` fetches. Failed tasks are tried again by Spark, single calls by the reader as the
+source's ``policy`` says. All pages of a request are read: ``most`` bounds the records only if it is set,
+and then a longer request fails unless ``on_most`` is ``stop``.
 """
 
 from __future__ import annotations
@@ -12,13 +14,32 @@ import json
 import time
 import urllib.parse
 import urllib.request
+from collections import Counter
 from collections.abc import Callable, Iterator
-from pathlib import Path
+from dataclasses import dataclass
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .files import open_path
+
 PAGE = 2500
-RETRY_CODES = {429, 500, 502, 503, 504}
+
+
+@dataclass(frozen=True)
+class Policy:
+    """How calls are tried again: which answers, after how long, growing by how much, at most ``cap`` seconds."""
+
+    tries: int = 3
+    pause: float = 0.3
+    codes: tuple[int, ...] = (429, 500, 502, 503, 504)
+    limited: float = 2.0  # growth of the pause after 429, before it is waited
+    other: float = 2.0  # growth after anything else, once it was waited
+    cap: float = 60.0
+    before: float = 0.0  # seconds before every call
+
+
+#: The first source: pooled calls; the second: spaced calls, long pauses, HTTP errors other than 429 are final.
+POLICIES = {"pooled": Policy(), "spaced": Policy(pause=5.0, codes=(429,), other=1.5, before=3.0)}
 
 ENDPOINTS = {"demand": "electricity/rto/region-data/data", "generation": "electricity/rto/fuel-type-data/data"}
 
@@ -35,10 +56,18 @@ def parameters(data_type: str, regions: list[str], start: str, end: str) -> dict
     return out | ({"facets[type][]": "D"} if data_type == "demand" else {})
 
 
-def pages(fetch: Callable[[dict], dict], params: dict, most: int = 100_000, page: int = PAGE) -> Iterator[list[dict]]:
-    """Successive pages until one is short or ``most`` records were passed."""
+class TooManyRecords(RuntimeError):
+    """A request has more records than ``most``."""
+
+
+def pages(fetch: Callable[[dict], dict], params: dict, most: int | None = None, page: int = PAGE, on_most: str = "fail") -> Iterator[list[dict]]:
+    """Successive pages until one is short. Beyond ``most`` records it fails, or ends with ``on_most="stop"``."""
     offset = 0
-    while offset <= most:
+    while True:
+        if most is not None and offset > most:
+            if on_most == "stop":
+                return
+            raise TooManyRecords(f"more than {most} records: narrow the request, raise most, or set on_most=stop")
         rows = fetch(params | {"offset": str(offset), "length": str(page)})["response"]["data"]
         if rows:
             yield rows
@@ -47,25 +76,58 @@ def pages(fetch: Callable[[dict], dict], params: dict, most: int = 100_000, page
         offset += page
 
 
-def retried(call: Callable[[], dict], tries: int = 3, pause: float = 0.3, sleep: Callable[[float], None] = time.sleep) -> dict:
-    for i in range(tries):
+def retried(call: Callable[[], dict], policy: Policy = POLICIES["pooled"], sleep: Callable[[float], None] = time.sleep) -> dict:
+    pause = policy.pause
+    for i in range(policy.tries):
+        if policy.before:
+            sleep(policy.before)
         try:
             return call()
         except OSError as e:
-            if i == tries - 1 or getattr(e, "code", 503) not in RETRY_CODES:
+            code = getattr(e, "code", None)
+            if i == policy.tries - 1 or (code is not None and code not in policy.codes):
                 raise
-            sleep(min(60.0, pause * 2**i))
+            if code == 429 and policy.before:
+                pause = min(policy.cap, pause * policy.limited)
+                sleep(pause)
+            else:
+                sleep(min(policy.cap, pause))
+                pause *= policy.other
     raise AssertionError("unreachable")
 
 
+class Refused(OSError):
+    """An answer that is an HTTP error."""
+
+    def __init__(self, code: int):
+        super().__init__(f"HTTP {code}")
+        self.code = code
+
+
+def page_name(endpoint: str, regions: str, start: str, offset: str | int) -> str:
+    """File name of a recorded page."""
+    return f"{endpoint.split('/')[-2]}_{regions}_{start}_{offset}.json"
+
+
 def transport(spec: str, endpoint: str) -> Callable[[dict], dict]:
     kind, _, where = spec.partition(":")
     if kind == "replay":
+        fs, top = open_path(where)
+        tried: Counter = Counter()
+
         def replay(params: dict) -> dict:
             regions = [v for k, v in sorted(params.items()) if k.startswith("facets[respondent]")]
-            name = f"{endpoint.split('/')[-2]}_{'-'.join(regions)}_{params['start']}_{params['offset']}.json"
-            file = Path(where) / name
-            return json.loads(file.read_text()) if file.exists() else {"response": {"data": []}}
+            name = f"{top}/{page_name(endpoint, '-'.join(regions), params['start'], params['offset'])}"
+            try:
+                with fs.open_input_stream(name) as file:
+                    answers = file.read().decode().splitlines()
+            except FileNotFoundError:
+                return {"response": {"data": []}}
+            answer = json.loads(answers[min(tried[name], len(answers) - 1)])  # a line for each try
+            tried[name] += 1
+            if "status" in answer:
+                raise Refused(answer["status"])
+            return answer
 
         return replay
     if kind == "http":
@@ -91,6 +153,9 @@ class PagedReader(DataSourceReader):
         self.requests = json.loads(options["requests"])
         self.spec = options["transport"]
         self.page = int(options.get("page", PAGE))
+        self.most = int(options["most"]) if options.get("most") else None
+        self.on_most = options.get("on_most", "fail")
+        self.policy = POLICIES[options.get("policy", "pooled")]
 
     def partitions(self) -> list[Request]:
         return [Request(r) for r in self.requests]
@@ -99,7 +164,7 @@ class PagedReader(DataSourceReader):
         r = partition.value
         fetch = transport(self.spec, ENDPOINTS[r["data_type"]])
         params = parameters(r["data_type"], r["regions"], r["start"], r["end"])
-        for rows in pages(lambda p: retried(lambda: fetch(p)), params, page=self.page):
+        for rows in pages(lambda p: retried(lambda: fetch(p), self.policy), params, self.most, self.page, self.on_most):
             for x in rows:
                 yield (r["data_type"], x.get("period"), x.get("respondent"), x.get("fueltype"), x.get("type-name"), None if x.get("value") is None else str(x["value"]), x.get("value-units"))
 

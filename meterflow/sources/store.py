@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scalar as S
 from ..schemas import DATASET
 
 LAYERS = ("raw", "harmonized", "features")
@@ -36,10 +37,18 @@ class Store:
         entry.write.mode("append").parquet(f"{self.base}/_datasets")
         return where
 
-    def load(self, layer: str, name: str, columns: Sequence[str] | None = None) -> DataFrame:
-        df = self.spark.read.option("ignoreCorruptFiles", True).parquet(self.path(layer, name))
+    def load(self, layer: str, name: str, columns: Sequence[str] | None = None, skip_unreadable: bool = False) -> DataFrame:
+        """The dataset; a damaged file fails the job unless it may be skipped (``unreadable`` names such files)."""
+        df = self.spark.read.option("ignoreCorruptFiles", skip_unreadable).parquet(self.path(layer, name))
         return df.select(*columns) if columns else df
 
+    def unreadable(self, layer: str, name: str) -> DataFrame:
+        """(path, bytes): data files without Parquet's magic bytes at both ends, looked at by tasks."""
+        found = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(self.path(layer, name))
+        magic = F.lit(b"PAR1")
+        whole = (F.substring("content", 1, 4) == magic) & (F.substring("content", -4, 4) == magic) & (F.col("length") >= 12)
+        return found.where(~whole).select("path", F.col("length").alias("bytes"))
+
     def load_range(self, layer: str, name: str, region: str | None = None, ts: str = "timestamp", start: str | None = None, end: str | None = None) -> DataFrame:
         """Region and inclusive range; both reach the scan as partition and row-group filters."""
         df = self.load(layer, name)
@@ -87,10 +96,26 @@ class Store:
         return row.asDict() | {"columns": df.columns}
 
 
-def consolidate(df: DataFrame, path: str, files: int | None = None) -> None:
-    """One dataset sorted by region and time: ranges over files, order within them."""
-    ranged = df.repartitionByRange(files, "region", "timestamp") if files else df.repartitionByRange("region", "timestamp")
-    ranged.sortWithinPartitions("region", "timestamp").write.mode("overwrite").parquet(path)
+def consolidate(df: DataFrame, path: str, files: int | None = None, ts: str = "timestamp") -> dict:
+    """One dataset sorted by region and time: ranges over files, order within them; an empty frame leaves its schema.
+
+    Returns rows, files, bytes, first and last time of what was written.
+    """
+    ranged = df.repartitionByRange(files, "region", ts) if files else df.repartitionByRange("region", ts)
+    ranged.sortWithinPartitions("region", ts).write.mode("overwrite").parquet(path)
+    saved = df.sparkSession.read.schema(df.schema).parquet(path)
+    size = saved.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_size").alias("_size"))
+    each = size.groupBy("_file").agg(F.max("_size").alias("b"), F.count("*").alias("n"), F.min(ts).alias("lo"), F.max(ts).alias("hi"))
+    return each.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count("*").alias("files"), F.coalesce(F.sum("b"), F.lit(0)).alias("bytes"), F.min("lo").alias("first"), F.max("hi").alias("last")
+    ).first().asDict()
+
+
+def signed_name(source: str, files: DataFrame, stamp: str) -> str:
+    """``{source}_{stamp}_{8 hex digits}``: the digits change when a source file's name, size or time does."""
+    each = files.select(S.file_signature("source_file", "file_size", "modified").alias("s")).distinct()
+    whole = each.agg(F.sum(F.conv(F.substring("s", 1, 12), 16, 10).cast("decimal(38,0)")).cast("string").alias("t"))  # the order of files does not matter
+    return f"{source}_{stamp}_{whole.select(F.substring(F.md5(F.coalesce('t', F.lit(''))), 1, 8)).first()[0]}"
 
 
 def load_or_build(store: Store, layer: str, name: str, build) -> DataFrame:

@@ -103,10 +103,15 @@ def test_second_source_hours(spark):
 def test_zipped_csv_and_xml_errors(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "ok.zip", "w") as z:
         z.writestr("a.csv", "OPR_DT,OPR_HR,MW\n2024-01-01,1,5\n2024-01-01,bad,row,too,long\n")
+    with zipfile.ZipFile(tmp_path / "other.zip", "w") as z:  # columns in another order, one quoted, one more
+        z.writestr("b.csv", 'MW, OPR_HR ,NOTE,OPR_DT\n7,2,"a, b",2024-01-01\n8,3\n')
     with zipfile.ZipFile(tmp_path / "bad.zip", "w") as z:
         z.writestr("a.xml", "<m:x><m:ERR_CODE>1000</m:ERR_CODE><m:ERR_DESC>No data</m:ERR_DESC></m:x>")
     lines = csv_zip.read_zipped_csv(spark, str(tmp_path)).cache()
     assert [r["MW"] for r in csv_zip.parse(lines, "OPR_DT string, OPR_HR string, MW string").where("OPR_HR = '1'").collect()] == ["5"]
+    named = csv_zip.parse(lines, "OPR_DT string, MW double, NONE string").where("MW > 6").orderBy("MW").collect()
+    assert [tuple(r) for r in named] == [("2024-01-01", 7.0, None), (None, 8.0, None)]
+    assert sorted((r["n_lines"], r["n_bad"]) for r in csv_zip.bad_lines(lines).collect()) == [(2, 0), (2, 1)]
     error = lines.where("error is not null").select(csv_zip.error_message().alias("e")).first()["e"]
     assert (error["code"], error["description"]) == ("1000", "No data")
 
@@ -366,8 +371,18 @@ def test_store(spark, tmp_path, hours):
     assert s.info("raw", "x", "datetime")["rows"] == 168 and s.files("raw", "x")
     assert store.load_or_build(s, "features", "y", lambda: hours).count() == 168
     assert s.delete("raw", "x") and not s.exists(s.path("raw", "x"))
-    store.consolidate(hours.withColumnRenamed("datetime", "timestamp"), str(tmp_path / "one"))
-    assert spark.read.parquet(str(tmp_path / "one")).count() == 168
+    told = store.consolidate(hours.withColumnRenamed("datetime", "timestamp"), str(tmp_path / "one"), 3)
+    assert spark.read.parquet(str(tmp_path / "one")).count() == 168 == told["rows"] and told["files"] > 1 and told["first"] == dt.datetime(2024, 1, 1)
+    assert store.consolidate(hours.withColumnRenamed("datetime", "timestamp").limit(0), str(tmp_path / "none"))["rows"] == 0
+    assert spark.read.parquet(str(tmp_path / "none")).columns[:2] == ["region", "timestamp"]
+    s.save(hours, "raw", "broken")
+    (tmp_path / "raw/broken/part-bad.parquet").write_bytes(b"no parquet at all")
+    assert s.load("raw", "broken", skip_unreadable=True).count() == 168
+    assert [r["path"].rsplit("/", 1)[1] for r in s.unreadable("raw", "broken").collect()] == ["part-bad.parquet"]
+    with pytest.raises(Exception):
+        s.load("raw", "broken").count()
+    files = spark.createDataFrame([("a", 1, 2), ("b", 3, 4)], "source_file string, file_size long, modified long")
+    assert store.signed_name("x", files, "t") == store.signed_name("x", files.orderBy(F.desc("file_size")), "t") != store.signed_name("x", files.limit(1), "t")
 
 
 def test_paged_source_replays_recordings(spark, tmp_path):
@@ -390,9 +405,37 @@ def test_retries_then_gives_up():
         raise OSError("no")
 
     with pytest.raises(OSError):
-        rest.retried(call, 3, 0.3, pauses.append)
+        rest.retried(call, rest.POLICIES["pooled"], pauses.append)
     assert len(calls) == 3 and pauses == [0.3, 0.6]
 
+    def limited():
+        raise rest.Refused(429)
+
+    pauses.clear()
+    with pytest.raises(OSError):
+        rest.retried(limited, rest.POLICIES["spaced"], pauses.append)
+    assert pauses == [3.0, 10.0, 3.0, 20.0, 3.0]
+    pauses.clear()
+    with pytest.raises(OSError):
+        rest.retried(call, rest.POLICIES["spaced"], pauses.append)
+    assert pauses == [3.0, 5.0, 3.0, 7.5, 3.0]
+
+
+def test_a_long_request_fails_or_ends_as_asked():
+    fetch = lambda p: {"response": {"data": [{}] * 10}}
+    with pytest.raises(rest.TooManyRecords):
+        list(rest.pages(fetch, {}, most=25, page=10))
+    assert len(list(rest.pages(fetch, {}, most=25, page=10, on_most="stop"))) == 3
+    endless = rest.pages(fetch, {}, page=10)
+    assert sum(len(next(endless)) for _ in range(20_000)) == 200_000  # no silent end
+
+
+def test_request_of_a_report():
+    assert csv_zip.report_request("demand", "2024-01-01", "2024-01-02") == {"queryname": "SLD_FCST", "startdatetime": "20240101T08:00-0000", "enddatetime": "20240102T08:00-0000", "version": "1", "resultformat": "6"}
+    assert csv_zip.report_request("prices", "20240101", "20240101", "N")["node"] == "N"
+    with pytest.raises(ValueError):
+        csv_zip.report_request("prices", "20240101", "20240101")
+
 
 def test_pipeline_statuses(spark):
     def broken(df):
