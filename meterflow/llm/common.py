@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..shared import fresh_path, shared_dir  # noqa: F401  operators take them from here
 
 #: ASCII white space between words: space, and tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -18,39 +19,25 @@ BATCH_ROWS = "1000"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+def save(df: DataFrame, name: str, **measures: Column) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors.
 
-    Only a single-JVM ``local`` session without that setting gets a temporary folder (tests).
+    ``rows`` of the result counts what was written, ``measured`` holds the aggregates asked for; both come
+    from the write itself.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    master = spark.sparkContext.master
-    if not (master == "local" or master.startswith("local[")):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    found = tempfile.mkdtemp(prefix="meterflow-")
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/meterflow/{name}-{uuid.uuid4().hex}"
-
-
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    seen = Observation()
     # the shuffle files behind a saved table are of no more use
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.observe(seen, F.count(F.lit(1)).alias("_rows"), *[c.alias(k) for k, c in measures.items()]).write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
-    out.saved_path = path
+    found = seen.get
+    out.saved_path, out.rows, out.measured = path, found.get("_rows", 0), found
     return out
 
 
@@ -61,13 +48,21 @@ def forget(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Rows of a few numbers each up to which a saved table is broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Bytes up to which a saved table is broadcast; larger ones are joined by shuffle.
+BROADCAST_BYTES = 32 << 20
+
+
+def row_bytes(df: DataFrame) -> int:
+    """Bytes of a row in a broadcast relation: numbers of 8 bytes, short strings and digests of 40, the map's own 64."""
+    kinds = [f.dataType for f in df.schema.fields]
+    if any(isinstance(k, (T.ArrayType, T.MapType, T.StructType)) for k in kinds):
+        raise ValueError("the size of nested columns does not follow from the row count")
+    return 64 + sum(40 if isinstance(k, (T.StringType, T.BinaryType)) else 8 for k in kinds)
 
 
-def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df``, a saved table, with a broadcast hint if it has no more than so many rows."""
-    return F.broadcast(df) if df.count() <= rows else df
+def if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, a saved table of numbers and digests, with a broadcast hint if all its rows fit into ``limit`` bytes."""
+    return F.broadcast(df) if df.rows * row_bytes(df) <= limit else df
 
 
 def small_batches(spark: SparkSession) -> None:

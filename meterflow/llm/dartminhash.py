@@ -8,12 +8,15 @@ dart of each coordinate is kept. Two documents agree in a coordinate with probab
 weighted Jaccard similarity. Weights are 1 for each distinct shingle by default, which makes it the
 plain Jaccard similarity; ``signatures`` takes any weights.
 
-Signatures are cut into bands and joined by band. Copies collapse to one node first. Within a bucket
-some members, the heads, are compared with all members of other components and leave it; the rest form
-the bucket again with new heads, until all that are left lie in one component. So no two members of a
-bucket stay in different components without having been compared. Links are checked against the exact
-shingle sets, except within a component, where they change nothing.
-Components come from passing the least label along links, with every step kept in the shared folder.
+Signatures are cut into bands and joined by band. Copies collapse to one node first. In each bucket the
+member with the most company, the head, is compared with all others, which makes one component of most
+large groups; this is repeated while it links many of those that are left. Then every bucket that still
+holds several components is settled at once: the members outside its largest component meet all members
+of other components, in blocks of bounded size, and a task compares a block of sets by matrix products
+and returns the links that join two components, at most one per member. So no two members of a bucket
+stay in different components without having been compared on their exact shingle sets, and pairs are
+never rows. Components come from passing the least label along links, with every step kept in the
+shared folder.
 
 Defined results: NULL text counts as empty, and texts with the same words are copies (so all wordless
 texts are one class); texts of one to four words are one shingle; a NULL doc_id gets a NULL class and
@@ -33,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, forget, if_small, only, released, save
+from .common import BROADCAST_BYTES, forget, if_small, only, released, row_bytes, save
 from .shingles import WordHashes, mix, shingle_set
 
 BANDS, ROWS = 40, 8
@@ -158,74 +161,160 @@ def components(links: DataFrame) -> DataFrame:
     edges = save(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
     labels = save(edges.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "labels")
     while True:
-        heard = edges.join(labels, edges.b == labels.v).groupBy("a").agg(F.min("label").alias("heard"))
+        known = if_small(labels)
+        heard = edges.join(known, edges.b == labels.v).groupBy("a").agg(F.min("label").alias("heard"))
         told = labels.join(heard, labels.v == heard.a, "left").select("v", "label", F.least("label", "heard").alias("next"))
         # and the label of that label
         jump = labels.select(F.col("v").alias("_v"), F.col("label").alias("_label"))
+        jump = F.broadcast(jump) if labels.rows * row_bytes(jump) <= BROADCAST_BYTES else jump
         new = told.join(jump, told.next == jump._v, "left").select("v", F.least("next", "_label").alias("label"), F.col("label").alias("old"))
-        new = save(new, "labels")
-        changed = new.where("label <> old").limit(1).count()
+        new = save(new, "labels", changed=F.count_if(F.col("label") != F.col("old")))
         forget(labels)
-        labels = new
-        if not changed:
+        labels = save_view(new.select("v", "label"), new)
+        if not new.measured["changed"]:
             forget(edges)
-            return labels.select("v", "label")
+            return labels
 
 
-def _with_components(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Add the component of ``node`` and of ``head``: a node without links is its own."""
-    if labels is None:
-        return rows.withColumns({"mine": F.col("node"), "theirs": F.col("head")})
-    near = labels.select(F.col("v").alias("node"), F.col("label").alias("_mine"))
-    far = labels.select(F.col("v").alias("head"), F.col("label").alias("_theirs"))
-    out = rows.join(near, "node", "left").join(far, "head", "left")
-    return out.withColumns({"mine": F.coalesce("_mine", "node"), "theirs": F.coalesce("_theirs", "head")}).drop("_mine", "_theirs")
+def save_view(df: DataFrame, saved: DataFrame) -> DataFrame:
+    """``df``, which has the rows of the saved table ``saved``, as a saved table."""
+    df.saved_path, df.rows, df.measured = saved.saved_path, saved.rows, saved.measured
+    return df
 
 
 def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
-    """``labels`` after the new links (a, b): components of components."""
-    if not links.limit(1).count():
+    """``labels`` after the new links (a, b), a saved table: components of components."""
+    if not links.rows:
         return labels
     if labels is None:
         return components(links)
-    ends = _with_components(links.select(F.col("a").alias("node"), F.col("b").alias("head")), labels)
-    joined = components(ends.where("mine <> theirs").select(F.col("mine").alias("a"), F.col("theirs").alias("b")))
-    named = labels.union(ends.select(F.col("node"), F.col("mine"))).union(ends.select(F.col("head"), F.col("theirs"))).distinct()
-    over = joined.select(F.col("v").alias("_v"), F.col("label").alias("_label"))
+    one, two = (if_small(save_view(labels.select(F.col("v").alias(c), F.col("label").alias(f"_{c}")), labels)) for c in "ab")
+    ends = links.join(one, "a", "left").join(two, "b", "left").select("a", "b", F.coalesce("_a", "a").alias("la"), F.coalesce("_b", "b").alias("lb"))
+    ends = save(ends, "ends")
+    joined = components(ends.where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    named = labels.union(ends.select("a", "la")).union(ends.select("b", "lb")).distinct()
+    over = if_small(save_view(joined.select(F.col("v").alias("_v"), F.col("label").alias("_label")), joined))
     return save(named.join(over, named.label == over._v, "left").select("v", F.coalesce("_label", "label").alias("label")), "labels")
 
 
-def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Add ``mine``, the component of ``node``."""
+def _mixed(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The rows of buckets with several components, with ``mine``, the component of ``node``, ``most``, the bucket's largest, and sizes of both parts."""
     if labels is None:
-        return rows.withColumn("mine", F.col("node"))
-    return rows.join(labels.select(F.col("v").alias("node"), "label"), "node", "left").withColumn("mine", F.coalesce("label", "node")).drop("label")
+        placed = rows.withColumn("mine", F.col("node"))
+    else:
+        known = if_small(save_view(labels.select(F.col("v").alias("node"), "label"), labels))
+        placed = rows.join(known, "node", "left").withColumn("mine", F.coalesce("label", "node")).drop("label")
+    placed = save(placed, "placed")
+    parts = placed.groupBy("key", "mine").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
+    each = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("m", "s", "mine")).alias("p"), F.sum("m").alias("m"), F.sum("s").alias("s"))
+    each = each.where("parts > 1").select(
+        "key", F.col("p.mine").alias("most"), F.col("p.m").alias("most_m"), F.col("p.s").alias("most_s"), (F.col("m") - F.col("p.m")).alias("rest_m"), (F.col("s") - F.col("p.s")).alias("rest_s")
+    )
+    out = save(placed.join(if_small(save(each, "mixed-keys")), "key"), "mixed")
+    forget(placed)
+    return out
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Of the saved ``pairs`` those (a, b) with similar shingle sets. Sets travel once, to the heads they are compared with."""
-    small = F.broadcast if pairs.count() <= BROADCAST_ROWS else (lambda df: df)
-    worth = pairs.select("node", "head")
-    mine = sets.select("node", F.col("shingles").alias("x")).join(small(worth), "node")
-    theirs = sets.select(F.col("node").alias("head"), F.col("shingles").alias("y")).join(small(worth.select("head").distinct()), "head")
+    worth = if_small(save_view(pairs.select("node", "head"), pairs))
+    heads = if_small(save_view(pairs.select("head").distinct(), pairs))
+    mine = sets.select("node", F.col("shingles").alias("x")).join(worth, "node")
+    theirs = sets.select(F.col("node").alias("head"), F.col("shingles").alias("y")).join(heads, "head")
     both = F.size(F.array_intersect("x", "y"))
     near = both >= similarity * (F.size("x") + F.size("y") - both) - 1e-9
     return save(mine.join(theirs, "head").where(near).select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), "links")
 
 
+#: Members and shingles of one side of a block.
+SIDE_ROWS, SIDE_SHINGLES, COLUMNS = 1024, 1_000_000, 4096
+
+
+def overlaps(rows: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of ``rows`` shares with each of ``columns``, by products of 0/1 matrices."""
+    one, two = np.concatenate(rows), np.concatenate(columns)
+    shared = np.intersect1d(one, two)
+    out = np.zeros((len(rows), len(columns)), np.float32)
+    place = [np.repeat(np.arange(len(x)), [len(r) for r in x]) for x in (rows, columns)]
+    for i in range(0, len(shared), COLUMNS):
+        part = shared[i : i + COLUMNS]
+        sides = []
+        for flat, at, n in ((one, place[0], len(rows)), (two, place[1], len(columns))):
+            where = np.minimum(np.searchsorted(part, flat), len(part) - 1)
+            hit = part[where] == flat
+            table = np.zeros((n, len(part)), np.float32)
+            table[at[hit], where[hit]] = 1
+            sides.append(table)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _settled(similarity: float):
+    """Links of a block between members of different components: a spanning forest of them, so at most one per component."""
+
+    def run(block: pa.Table) -> pa.Table:
+        node, mine, n = (block.column(c).to_numpy() for c in ("node", "mine", "n"))
+        side = block.column("first").to_numpy()
+        sets = [x.values.to_numpy(zero_copy_only=False) for x in block.column("shingles")]
+        left, right = np.flatnonzero(side), np.flatnonzero(~side)
+        if block.column("both")[0].as_py():  # the first side also meets itself
+            right = np.concatenate([right, left])
+        found: list[tuple[int, int]] = []
+        if len(left) and len(right):
+            least, most = np.minimum(n[left][:, None], n[right]), np.maximum(n[left][:, None], n[right])
+            open_ = (mine[left][:, None] != mine[right]) & (least >= similarity * most - 1e-9)
+            rows, columns = open_.any(axis=1), open_.any(axis=0)
+            left, right, open_ = left[rows], right[columns], open_[rows][:, columns]
+            if len(left):
+                both = overlaps([sets[i] for i in left], [sets[i] for i in right])
+                near = open_ & (both >= similarity * (n[left][:, None] + n[right] - both) - 1e-6)
+                above: dict[int, int] = {}
+
+                def top(x: int) -> int:
+                    while x in above:
+                        x = above[x]
+                    return x
+
+                for i, j in zip(*np.nonzero(near)):
+                    a, b = top(int(mine[left[i]])), top(int(mine[right[j]]))
+                    if a != b:
+                        above[max(a, b)] = min(a, b)
+                        found.append((int(node[left[i]]), int(node[right[j]])))
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return run
+
+
+def _settle(mixed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between the components of each bucket of ``mixed``.
+
+    The largest component of a bucket is cut into blocks, the rest of it too; each block of the rest meets
+    each block of the largest, itself, and each other block of the rest.
+    """
+    count = lambda m, s: F.greatest(F.ceil(F.col(m) / SIDE_ROWS), F.ceil(F.col(s) / SIDE_SHINGLES)).cast("int")
+    main, deal = F.col("mine") == F.col("most"), F.xxhash64("node", F.lit(7))
+    rows = mixed.select("key", "node", "mine", "n", main.alias("main"), count("most_m", "most_s").alias("nm"), count("rest_m", "rest_s").alias("nr"))
+    own = F.pmod(deal, F.when(F.col("main"), F.col("nm")).otherwise(F.col("nr"))).cast("int")
+    upto = lambda k: F.sequence(F.lit(0), k - 1)
+    mine = F.transform(upto(F.col("nr")), lambda i: F.struct(i.alias("i"), F.col("own").alias("j"), F.lit(False).alias("first")))
+    against = F.transform(upto(F.col("nm")), lambda j: F.struct(F.col("own").alias("i"), j.alias("j"), F.lit(True).alias("first")))
+    others = F.transform(
+        F.filter(upto(F.col("nr")), lambda b: b != F.col("own")),
+        lambda b: F.struct(F.least(b, F.col("own")).alias("i"), (F.col("nm") + F.greatest(b, F.col("own"))).alias("j"), (F.col("own") < b).alias("first")),
+    )
+    spread = rows.withColumn("own", own).withColumn("g", F.explode(F.when(F.col("main"), mine).otherwise(F.concat(against, others))))
+    spread = save(spread.select("key", "node", "mine", "n", "g.i", "g.j", "g.first", (F.col("g.j") == 0).alias("both")), "spread")
+    held = sets.join(if_small(spread), "node")
+    found = held.groupBy("key", "i", "j").applyInArrow(_settled(similarity), "a long, b long")
+    return save(found.distinct(), "links")
+
+
 def component_labels(docs: DataFrame, signed: DataFrame, copies: DataFrame, similarity: float, labels: DataFrame | None) -> DataFrame | None:
     """(v, label) after linking all nodes that are similar; ``labels`` holds what is linked already.
 
-    A head meets every member of its bucket that lies in another component, members that an earlier
-    head caught too, and leaves the bucket after that. So two members that were never compared are both
-    still there, and a bucket is done only when all that are left lie in one component: every pair of a
-    bucket that could join two components has been checked then. Pairs whose nodes lie in one component
-    need no check, which keeps large groups of near copies linear.
-
-    The first heads are the members with the most company, so an original leads its copies. First every
-    node is checked against the weightiest of its heads, then all pairs of node and head that still join
-    two components. Heads double in each turn; later ones come from all components but the bucket's
-    largest, since these are the fewest that must meet the rest.
+    Pairs whose nodes lie in one component need no check, which keeps large groups of near copies linear:
+    their head links most of them. What it leaves is compared in ``_settle``. Head turns end when one
+    links less than a tenth of the nodes it looks at: they only save work for ``_settle``.
     """
     reps = signed.where("doc_id is not null and n > 0").join(if_small(copies), ["doc_id", "content"], "left_anti")
     rows = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("node"), "n")
@@ -233,39 +322,43 @@ def component_labels(docs: DataFrame, signed: DataFrame, copies: DataFrame, simi
     rows = save(rows.join(if_small(sizes), "key"), "shared")
     weight = rows.groupBy("node").agg(F.sum("m").alias("w"))
     alive = save(rows.join(weight, "node").select("key", "node", "n", "w"), "buckets")
-    sets, turn = None, 0
+    forget(rows)
+    sets = None
     while True:
-        placed = save(_labelled(alive, labels), "placed")
-        # a bucket whose members are all in one component has nothing left to compare
-        mixed = placed.groupBy("key").agg(F.min("mine").alias("lo"), F.max("mine").alias("hi")).where("lo < hi").select("key")
-        placed = save(placed.join(mixed, "key", "left_semi"), "mixed")
-        if not placed.limit(1).count():
+        mixed = _mixed(alive, labels)
+        if not mixed.rows:
             return labels
-        able = placed
-        if turn > 3:
-            parts = placed.groupBy("key", "mine").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "mine")).alias("p"))
-            able = placed.join(parts.select("key", F.col("p.mine").alias("most")), "key").where("mine <> most")
-        # later turns take the weightiest member of each of so many slots, so that few turns are needed
-        slot = F.pmod(F.xxhash64("key", "node"), F.lit(2 ** min(40, max(0, turn - 1))))
-        top = F.max(F.struct("w", (-F.col("node")).alias("node"), "n", "mine")).alias("h")
-        heads = able.groupBy("key", slot.alias("slot")).agg(top)
-        heads = save(heads.select("key", (-F.col("h.node")).alias("head"), F.col("h.n").alias("head_n"), F.col("h.w").alias("head_w"), F.col("h.mine").alias("theirs")), "heads")
-        # sizes alone rule many pairs out
-        worth = F.least("n", "head_n") >= similarity * F.greatest("n", "head_n")
-        crossed = save(placed.join(heads, "key").where(F.expr("mine <> theirs") & worth).select("node", "head", "n", "head_n", "head_w").distinct(), "crossed")
         if sets is None:  # every node that can ever be compared shares a mixed bucket now
-            named = save(placed.select(F.col("node").alias("doc_id")).distinct(), "named")
+            named = save(mixed.select(F.col("node").alias("doc_id")).distinct(), "named")
             texts = docs.join(if_small(named), "doc_id", "left_semi")
             sets = save(texts.select("doc_id", "text").mapInArrow(_sets, "node long, shingles array<long>"), "shingles")
-            first = F.max(F.struct("head_w", "head", "head_n", "n")).alias("p")
-            pairs = crossed.groupBy("node").agg(first).select("node", F.col("p.head").alias("head"), F.col("p.n").alias("n"), F.col("p.head_n").alias("head_n"))
-            labels = _merged(labels, _similar(save(pairs, "pairs"), sets, similarity))
-            crossed = save(_with_components(crossed, labels).where("mine <> theirs").drop("mine", "theirs"), "crossed")
-        labels = _merged(labels, _similar(crossed, sets, similarity))
-        # heads have met everyone; all others stay, for heads to come
-        met = heads.select("key", F.col("head").alias("node"))
-        alive = placed.join(met, ["key", "node"], "left_anti").select("key", "node", "n", "w")
-        turn += 1
+            asked = named.rows
+        else:
+            asked = save(mixed.where("mine <> most").select("node").distinct(), "rest").rows
+        # the weightiest member of each bucket, and for each node of another component the weightiest of its heads
+        top = F.max(F.struct("w", (-F.col("node")).alias("node"), "n", "mine")).alias("h")
+        heads = mixed.groupBy("key").agg(top).select("key", (-F.col("h.node")).alias("head"), F.col("h.n").alias("head_n"), F.col("h.w").alias("head_w"), F.col("h.mine").alias("theirs"))
+        heads = save(heads, "heads")
+        # sizes alone rule many pairs out
+        worth = F.least("n", "head_n") >= similarity * F.greatest("n", "head_n")
+        crossed = mixed.join(if_small(heads), "key").where(F.expr("mine <> theirs") & worth)
+        pairs = crossed.groupBy("node").agg(F.max(F.struct("head_w", "head")).alias("p")).select("node", F.col("p.head").alias("head"))
+        links = _similar(save(pairs, "pairs"), sets, similarity)
+        labels = _merged(labels, links)
+        if 10 * links.rows < asked:
+            break
+        alive = _without_weight(alive, save_view(heads.select("key", F.col("head").alias("node")), heads))
+    mixed = _mixed(alive, labels)
+    if mixed.rows:
+        labels = _merged(labels, _settle(mixed, sets, similarity))
+    return labels
+
+
+def _without_weight(alive: DataFrame, met: DataFrame) -> DataFrame:
+    """``alive`` with weight 0 for the heads that were used, so that others come next."""
+    used = if_small(save_view(met.withColumn("used", F.lit(True)), met))
+    out = alive.join(used, ["key", "node"], "left").select("key", "node", "n", F.when(F.col("used"), F.lit(0).cast("long")).otherwise(F.col("w")).alias("w"))
+    return save(out, "buckets")
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -290,8 +383,10 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     found = save(classes(docs, similarity), "classes")
     dropped = save(found.where("doc_id <> class_id").select("doc_id").distinct(), "dropped")
     out = docs.join(if_small(dropped), "doc_id", "left_anti").select(*docs.columns)
-    twice = found.where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    if twice.limit(1).count():
-        once = out.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-        out = once.unionByName(out.where(F.col("doc_id").isNull()))
+    twice = save(found.where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1"), "twice")
+    if twice.rows:
+        # of different rows under one doc_id the one whose JSON has the least digest stays, wherever it lies
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        again = out.join(if_small(save_view(twice.select("doc_id"), twice)), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.md5(F.to_json(row).cast("binary"))).alias("_row"))
+        out = again.select("_row.*").unionByName(out.join(if_small(save_view(twice.select("doc_id"), twice)), "doc_id", "left_anti").select(*docs.columns))
     return out

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, forget, if_small, only, released, save, small_batches, unused
+from .common import BROADCAST_BYTES, forget, if_small, only, released, save, small_batches, unused
 from .shingles import WordHashes, mix, word_hashes
 
 SEED, WINDOW = 26, 25
@@ -152,23 +152,24 @@ def _stretches(matched: DataFrame, gap: int) -> DataFrame:
     )
 
 
-def _by_document(asked: DataFrame, item: Column, broadcast_rows: int) -> DataFrame:
+def _by_document(asked: DataFrame, item: Column, broadcast_bytes: int) -> DataFrame:
     """(doc_id, asked array): what is asked of each document, broadcast if it is little in all."""
-    if not broadcast_rows:
+    if not broadcast_bytes:
         return asked.groupBy("doc_id").agg(F.collect_list(item).alias("asked"))
     asked = save(asked, "asked")
-    return if_small_by(asked.groupBy("doc_id").agg(F.collect_list(item).alias("asked")), asked, broadcast_rows)
+    return if_small_by(asked.groupBy("doc_id").agg(F.collect_list(item).alias("asked")), asked, broadcast_bytes)
 
 
-def if_small_by(df: DataFrame, measured: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if measured.count() <= rows else df
+def if_small_by(df: DataFrame, measured: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, which gathers the rows of the saved table ``measured`` in lists, broadcast if those rows fit into ``limit`` bytes."""
+    return F.broadcast(df) if measured.rows * 64 <= limit else df
 
 
-def matches(docs: DataFrame, min_words: int = MIN_WORDS, broadcast_rows: int = 0) -> DataFrame:
+def matches(docs: DataFrame, min_words: int = MIN_WORDS, broadcast_bytes: int = 0) -> DataFrame:
     """(doc_id, start_word, n_words, kept_doc_id, kept_start_word): passages that an earlier document holds.
 
     A corpus with its copies asks about nearly every document, so by default texts and questions meet
-    by shuffle. Where copies are gone already, up to ``broadcast_rows`` questions may be broadcast.
+    by shuffle. Where copies are gone already, up to ``broadcast_bytes`` of questions may be broadcast.
     """
     if min_words < MIN_WORDS:
         raise ValueError(f"passages below {MIN_WORDS} words may hold no minimiser")
@@ -177,7 +178,7 @@ def matches(docs: DataFrame, min_words: int = MIN_WORDS, broadcast_rows: int = 0
     matched = save(_met(suffixes), "matched")
     runs = save(_stretches(matched, WINDOW), "stretches")
     asked = runs.select("doc_id", "lo", "hi").union(runs.select("head_doc", "head_lo", "head_hi")).distinct()
-    sides = base.join(_by_document(asked, F.struct("lo", "hi"), broadcast_rows), "doc_id").select("doc_id", "text", "asked")
+    sides = base.join(_by_document(asked, F.struct("lo", "hi"), broadcast_bytes), "doc_id").select("doc_id", "text", "asked")
     sides = save(sides.mapInArrow(_around, "doc_id long, lo int, hi int, before array<long>, after array<long>"), "sides")
     head_sides = sides.select(
         F.col("doc_id").alias("head_doc"), F.col("lo").alias("head_lo"), F.col("hi").alias("head_hi"), F.col("before").alias("head_before"), F.col("after").alias("head_after")
@@ -200,7 +201,7 @@ def matches(docs: DataFrame, min_words: int = MIN_WORDS, broadcast_rows: int = 0
     seeds = save(seeds.where("pos between lo and hi").select("seed").distinct(), "short-seeds")
     if seeds.limit(1).count():
         asked = suffixes.join(if_small(seeds), "seed", "left_semi").select("doc_id", "pos")
-        whole = base.join(_by_document(asked, F.col("pos"), broadcast_rows), "doc_id").select("doc_id", "text", "asked").mapInArrow(_windows, "seed long, doc_id long, pos int")
+        whole = base.join(_by_document(asked, F.col("pos"), broadcast_bytes), "doc_id").select("doc_id", "text", "asked").mapInArrow(_windows, "seed long, doc_id long, pos int")
         equal = _stretches(_met(save(whole, "windows")), MIN_WORDS).withColumn("n_words", F.col("hi") - F.col("lo") + MIN_WORDS)
         equal = equal.where(F.col("n_words") >= min_words)
         found = found.union(equal.select("doc_id", F.col("lo"), "n_words", "head_doc", "head_lo"))
@@ -244,7 +245,7 @@ def _cut(schema_names: list[str], text_at: int, spans_at: int, chars_at: int | N
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` without the passages that an earlier document holds; documents left without words go."""
-    found = matches(docs, min_words, BROADCAST_ROWS)
+    found = matches(docs, min_words, BROADCAST_BYTES)
     small_batches(docs.sparkSession)
     id_, spans_ = unused(docs, "_id"), unused(docs, "_spans")
     spans = found.groupBy(F.col("doc_id").alias(id_)).agg(
