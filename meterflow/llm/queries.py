@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-
-from . import aqann, bpe, dartminhash, packing, ppm, quality, sharding, suffix_dedup, templates, toxicity
+from . import aqann, bpe, dartminhash, packing, pipeline, ppm, quality, sharding, suffix_dedup, templates, toxicity
 from .common import fresh_path
 
 
@@ -79,7 +77,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_dart_minhash": op9_dart_minhash,
     "op10_bpe_automaton": op10_bpe_automaton,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 ORACLES = {
     "op5_tiered_sharding": "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents",

@@ -401,15 +401,17 @@ def test_gradients_are_right():
     net = {k: v.astype(np.float64) for k, v in toxicity.fresh_network().items()}
     x, there, y = r.normal(size=(3, 7, toxicity.INPUTS)), np.ones((3, 7), bool), np.array([1.0, 0.0, 1.0])
     there[1, 4:] = False
-    _, grad = toxicity.gradients(net, x, there, y)
+    _, grad, dx = toxicity.gradients(net, x, there, y)
+    net |= {"x": x}
+    grad |= {"x": dx}
     for k in net:
         flat = net[k].reshape(-1)
         for i in (0, flat.size // 2):
             old, eps = flat[i], 1e-4
             flat[i] = old + eps
-            up, _ = toxicity.gradients(net, x, there, y)
+            up, *_ = toxicity.gradients(net, x, there, y)
             flat[i] = old - eps
-            down, _ = toxicity.gradients(net, x, there, y)
+            down, *_ = toxicity.gradients(net, x, there, y)
             flat[i] = old
             assert grad[k].reshape(-1)[i] == pytest.approx((up - down) / (2 * eps), abs=2e-4)
 
@@ -436,6 +438,54 @@ def test_toxicity_held_out(spark, odd_docs, no_docs):
     assert kept.columns == df.columns and 0 < kept.count() < df.count()
 
 
+def plain_score(model, text):
+    """One text, word by word and window by window."""
+    sig, net, H = lambda v: 1 / (1 + np.exp(-v)), model.net, toxicity.HIDDEN
+    xs = []
+    for w in text.lower().encode().split():
+        b, g, n = toxicity.word_buckets([w])
+        g = g[0][g[0] >= 0]
+        z = model.gram_z[g] / 8
+        stats = [model.word_z[b[0]] / 24, z.max() / 3 if len(g) else 0, z.mean() if len(g) else 0, z.min() / 3 if len(g) else 0, 2 * (z > 2).mean() if len(g) else 0, min(n[0], 20) / 10]
+        word = model.words[b[0] % toxicity.WORD_ROWS].astype(float)
+        char = np.mean([model.chars[i % toxicity.CHAR_ROWS].astype(float) for i in g], axis=0) if len(g) else np.zeros(toxicity.CHAR_DIM)
+        xs.append(np.concatenate([np.clip(stats, -4, 4), word, char]))
+    xs, best = xs or [np.zeros(toxicity.INPUTS)], -np.inf
+    for s in toxicity.windows(len(xs)):
+        part = xs[s : s + 64]
+        pad = part + [np.zeros(toxicity.INPUTS)] * (64 - len(part))
+        sides = []
+        for k, seq in ((0, pad), (1, pad[::-1])):
+            h, states = np.zeros(H), []
+            for v in seq:
+                gate, hu = v @ net["W"][k] + net["b"][k][0], h @ net["U"][k]
+                zr = sig(gate[: 2 * H] + hu[: 2 * H])
+                c = np.tanh(gate[2 * H :] + zr[H:] * hu[2 * H :])
+                h = zr[:H] * h + (1 - zr[:H]) * c
+                states.append(h)
+            sides.append(states if k == 0 else states[::-1])
+        st = np.array([np.concatenate(p) for p in zip(*sides)])[: max(1, len(part))]
+        e = np.tanh(st @ net["A"] + net["a"]) @ net["v"]
+        w = np.exp(e - e.max())
+        best = max(best, (w / w.sum()) @ st @ net["w"] + net["c"][0])
+    return sig(best)
+
+
+def test_scores_equal_a_plain_scorer():
+    r = random.Random(4)
+    texts = [" ".join(words(d, r.randrange(0, 180), 300) + (["snorfbag", "x" * 90] if d % 3 == 0 else [])) for d in range(60)]
+    model = toxicity.train(texts, [int(d % 3 == 0) for d in range(60)], rounds=2, epochs=1)
+    assert np.abs(model.words).max() > 0 < np.abs(model.chars).max()  # both inputs are learnt
+    some = [*texts[:6], "", "a", "snorfbags never seen, Ünï " * 70]
+    assert np.allclose(toxicity.Scorer(model).score(some), [plain_score(model, t) for t in some], atol=1e-4)
+
+
+def test_embeddings_alone_can_tell():
+    """Without the leaning statistics (all words of the sample occur in both classes equally often) order and characters remain."""
+    slope, shift = toxicity.calibrated(np.array([-2.0, -1.0, 1.0, 2.0]), np.array([0.0, 0.0, 1.0, 1.0]), 10, 1000)
+    assert 0.1 <= slope <= 5 and shift < 0  # rare in the whole: a lower score for the same evidence
+
+
 def test_windows_overlap_and_cover():
     for n in (0, 1, 64, 65, 96, 1000):
         s = toxicity.windows(n)
