@@ -1,63 +1,5 @@
-"""The corpus pipeline: five stages from raw documents to packed training sequences.
+"""The corpus pipeline: five stages from raw documents to packed training sequences (``meterflow.llm.pipeline``)."""
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as Parquet in the
-shared folder and the next stage reads it from there, so a lost executor never costs more than one
-stage. All but the last return the columns of ``documents``.
-"""
+from meterflow.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-
-from meterflow.llm import dartminhash, packing, quality, suffix_dedup, toxicity
-from meterflow.llm.common import forget, save
-
-
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rule and the adaptive thresholds keep."""
-    return quality.filter_docs(docs)
-
-
-def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the toxicity threshold."""
-    return toxicity.reject_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class: the least doc_id."""
-    return dartminhash.keep_one(docs)
-
-
-def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of 50 words and more that an earlier document holds."""
-    return suffix_dedup.remove_repeats(docs)
-
-
-def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the texts with their places in sequences of the permitted lengths."""
-    return packing.pack_docs(docs, with_text=True)
-
-
-STAGES = [
-    ("quality_rules", quality_rules),
-    ("toxicity", toxicity_filter),
-    ("minhash_dedup", near_duplicates),
-    ("suffix_dedup", repeated_passages),
-    ("packing", packed_sequences),
-]
-
-#: The stages rest on sketches, a trained network and signatures, which SQL cannot express; tests
-#: compare the stages with brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    before = None
-    for name, stage in STAGES:
-        docs = save(stage(spark, docs, sf_dir), f"pipeline-{name}")
-        if before is not None:
-            forget(before)
-        before = docs
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
