@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from .windows import numbered
 
 
 def pivot(
@@ -30,6 +31,11 @@ def pivot(
     return out if fill is None else out.fillna(fill, subset=[f"{v}{suffix}" for v in values])
 
 
+def places(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """Adds ``place``, from 0, within the rows of each key; only chunks of ``order`` are sorted in one task."""
+    return numbered(df, keys, order, chunk_hours=10_000).withColumnRenamed("_w_row", "place").drop("_w_rows")
+
+
 def resample(df: DataFrame, keys: Sequence[str], ts: str, values: Sequence[str], unit: str = "hour") -> DataFrame:
     """Mean per bucket; empty buckets are added by ``on_spine``."""
     return df.groupBy(*keys, F.date_trunc(unit, ts).cast("timestamp_ntz").alias(ts)).agg(*[F.avg(v).alias(v) for v in values])

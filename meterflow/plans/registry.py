@@ -20,4 +20,4 @@ def query(sql: str | None = None) -> Callable:
     return keep
 
 
-from . import series_queries, shape_queries  # noqa: E402,F401  they register themselves
+from . import series_queries, shape_queries, source_queries  # noqa: E402,F401  they register themselves

@@ -1,7 +1,8 @@
-"""Zipped CSV answers of the second source: unzip in tasks, parse with Spark's CSV expressions."""
+"""Zipped CSV answers of the second source: unzipped and split in tasks, typed by name with Spark's expressions."""
 
 from __future__ import annotations
 
+import csv
 import io
 import zipfile
 from collections.abc import Iterator
@@ -34,18 +35,20 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 text = content.decode("utf-8", "replace")
             if text.lstrip().startswith("<"):
                 error, text = text, ""
-            lines = [x for x in text.splitlines() if x.strip()]
-            header, body = (lines[0], lines[1:]) if lines else (None, [])
-            n = max(1, len(body))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([path] * n), pa.array([header] * n, pa.string()), pa.array(body or [None], pa.string()), pa.array([error] * n, pa.string())], ["path", "header", "line", "error"]
-            )
+            lines = csv.reader((x for x in text.splitlines() if x.strip()), skipinitialspace=True)
+            header, body = next(lines, None), list(lines)
+            for start in range(0, max(1, len(body)), 10_000):
+                part = body[start : start + 10_000] or [None]
+                n = len(part)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([path] * n), pa.array([header] * n, pa.list_(pa.string())), pa.array(part, pa.list_(pa.string())), pa.array([error] * n, pa.string())], ["path", "header", "cells", "error"]
+                )
 
 
 def read_zipped_csv(spark: SparkSession, path: str, glob: str = "*.zip") -> DataFrame:
-    """(path, header, line, error): the first CSV member's lines; XML answers are errors, with their text."""
+    """(path, header, cells, error): the first CSV member's lines, split; XML answers are errors, with their text."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path).select("path", "content")
-    return files.mapInArrow(_lines, "path string, header string, line string, error string")
+    return files.mapInArrow(_lines, "path string, header array<string>, cells array<string>, error string")
 
 
 def error_message(xml: str = "error"):
@@ -54,18 +57,10 @@ def error_message(xml: str = "error"):
     return F.struct(tag("ERR_CODE").alias("code"), tag("ERR_DESC").alias("description"))
 
 
-#: Columns a report may have at most.
-WIDTH = 64
-
-
 def _cells(lines: DataFrame) -> DataFrame:
-    """(path, header, cells, bad): each line split; ``bad`` where it has more fields than the header, or is none."""
-    schema, options = ", ".join(f"c{i} string" for i in range(WIDTH)), {"mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
-    split = lambda c: F.array(*[F.from_csv(c, schema, options)[f"c{i}"] for i in range(WIDTH)])
-    rows = lines.where("line is not null and error is null").select("path", split("header").alias("header"), split("line").alias("cells"))
-    width = F.size(F.array_compact("header"))
-    beyond = F.exists(F.slice("cells", width + 1, WIDTH), lambda x: x.isNotNull())
-    return rows.select("path", "header", "cells", (beyond | ~F.exists("cells", lambda x: x.isNotNull())).alias("bad"))
+    """(path, header, cells, bad): ``bad`` where a line has more fields than the header."""
+    rows = lines.where("cells is not null and error is null")
+    return rows.select("path", F.transform("header", lambda x: F.trim(x)).alias("header"), F.transform("cells", lambda x: F.trim(x)).alias("cells"), (F.size("cells") > F.size("header")).alias("bad"))
 
 
 def parse(lines: DataFrame, schema: str) -> DataFrame:
@@ -75,7 +70,7 @@ def parse(lines: DataFrame, schema: str) -> DataFrame:
     """
     wanted = lines.sparkSession.createDataFrame([], schema).schema
     place = lambda name: F.array_position("header", F.lit(name)).cast("int")
-    cell = lambda name: F.when(place(name) > 0, F.get("cells", place(name) - 1))
+    cell = lambda name: F.nullif(F.when(place(name) > 0, F.get("cells", place(name) - 1)), F.lit(""))
     return _cells(lines).where(~F.col("bad")).select(*[cell(f.name).try_cast(f.dataType).alias(f.name) for f in wanted.fields])
 
 
