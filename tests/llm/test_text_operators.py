@@ -108,8 +108,45 @@ def test_sharding_round_trip_and_versions(spark, odd_docs, tmp_path):
     assert data.append(odd_docs.limit(0)) == data.manifest()[0]  # nothing to commit
     assert data.read().count() == 7 * odd_docs.count()
     assert len(data.manifest()[1]) < 7 and data.read(1).count() == odd_docs.count()
+    assert data.read(3).count() == 3 * odd_docs.count()
     before = {tuple(r) for r in data.read().drop("_shard").collect()}
     assert data.vacuum() > 0 and {tuple(r) for r in data.read().drop("_shard").collect()} == before
+    with pytest.raises(sharding.VersionGone):
+        data.read(1)
+
+
+def test_arrivals_with_other_columns_lose_nothing(spark, tmp_path):
+    data = sharding.TieredDataset(spark, str(tmp_path / "d"), min_merge=2)
+    one = spark.createDataFrame([(1, "a")], "id int, x string")
+    two = spark.createDataFrame([(2_000_000_000_000, 5, "m", "s")], "id long, extra int, _metadata string, _shard string")
+    for order in ((one, two), (two, one)):
+        data = sharding.TieredDataset(spark, str(tmp_path / f"d{order[0] is one}"), min_merge=2)
+        for df in order:
+            data.append(df)
+        for _ in range(2):
+            got = {r["id"]: r for r in data.read().collect()}
+            assert set(got) == {1, 2_000_000_000_000} and got[1]["x"] == "a" and got[1]["extra"] is None
+            late = got[2_000_000_000_000]
+            assert (late["extra"], late["_metadata"], late["_shard"]) == (5, "m", "s") and len(late["_shard_"]) == 32
+            data.compact()
+            data.vacuum()
+        assert len(data.manifest()[1]) == 1
+    with pytest.raises(sharding.SchemaConflict):
+        data.append(spark.createDataFrame([("no",)], "id string"))
+    assert data.read().count() == 2
+
+
+def test_vacuum_spares_what_another_writer_is_about_to_commit(spark, odd_docs, tmp_path):
+    a, b = (sharding.TieredDataset(spark, str(tmp_path / "d")) for _ in range(2))
+    a.append(odd_docs)
+    shard = b._write(odd_docs)
+    assert a.vacuum() == 0
+    b._publish(lambda v, shards: [*shards, b._born(shard, v)])
+    b._release(shard)
+    assert a.read().count() == 2 * odd_docs.count()
+    dead = b._write(odd_docs)  # its writer died
+    assert sharding.TieredDataset(spark, str(tmp_path / "d"), lease_seconds=0).vacuum() == 1 and dead.rows == odd_docs.count()
+    assert a.read().count() == 2 * odd_docs.count()
 
 
 def test_commit_conflicts(spark, odd_docs, tmp_path):
@@ -128,6 +165,7 @@ def test_sharding_query_equals_sql(spark, sf_dir):
     duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
     want = duckdb.sql(queries.ORACLES["op5_tiered_sharding"]).df().sort_values("doc_id").reset_index(drop=True)
     assert got[["doc_id", "text_md5", "lang"]].equals(want[["doc_id", "text_md5", "lang"]])
+    assert got["batch"].fillna(-1).astype(int).tolist() == want["batch"].fillna(-1).astype(int).tolist() and got["batch"].nunique() > 2
 
 
 # encoding ----------------------------------------------------------------------------------------
