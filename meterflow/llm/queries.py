@@ -22,7 +22,8 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_docs(table(spark, sf_dir, "documents"))
+    out = packing.pack_sequences(table(spark, sf_dir, "documents"))
+    return out.select("bin_id", "capacity", "used", "doc_ids", "pieces", "offsets", F.sha2("text", 256).alias("text_sha256"))
 
 
 def op4_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,6 +95,49 @@ def test_packing_is_best_fit_and_downsizes():
     assert sum(u for _, u in bins.values()) == sum(sizes) and sum(sizes) / sum(c for c, _ in bins.values()) > 0.95
 
 
+def plain_pack(lengths, capacities):
+    """Best fit with a list of bins: of those with the least room the one that was changed last."""
+    top = max(capacities)
+    price = lambda c: packing.default_cost(c, top)
+    bins, where, left = [], {}, sum(lengths)  # capacity, used, when it was changed
+    for turn, i in enumerate(sorted(range(len(lengths)), key=lambda j: (-lengths[j], j))):
+        n = lengths[i]
+        rooms = [(cap - used, -changed, b) for b, (cap, used, changed) in enumerate(bins) if cap - used >= n]
+        if rooms:
+            b = min(rooms)[2]
+        else:
+            bins.append((min((c for c in sorted(capacities) if c >= n), key=lambda c: price(c) / min(c, left)), 0, 0))
+            b = len(bins) - 1
+        where[i] = (b, bins[b][1])
+        bins[b] = (bins[b][0], bins[b][1] + n, turn)
+        left -= n
+    final = [min((c for c in sorted(capacities) if c >= used), key=price) for _, used, _ in bins]
+    return [(b, o, final[b], bins[b][1]) for b, o in (where[i] for i in range(len(lengths)))]
+
+
+def test_packing_equals_a_plain_best_fit():
+    for seed in range(30):
+        r = random.Random(seed)
+        sizes = [r.choice([r.randrange(1, 64), r.randrange(1, 17)]) for _ in range(r.randrange(1, 120))]
+        assert packing.pack(sizes, [16, 32, 64]) == plain_pack(sizes, [16, 32, 64])
+
+
+def test_sequences_hold_every_word_and_token_once(spark, odd_docs):
+    out = packing.pack_sequences(odd_docs).collect()
+    assert all(r["used"] == len(r["text"].split()) <= r["capacity"] and len(r["doc_ids"]) == len(r["pieces"]) == len(r["offsets"]) for r in out)
+    want = Counter(w for r in odd_docs.collect() for w in (r["text"] or "").split())
+    assert Counter(w for r in out for w in r["text"].split()) == want
+    tokens = packing.pack_tokens(odd_docs, path(), [256, 1024]).collect()
+    ids = {r["doc_id"]: r["ids"] for r in bpe.encode_docs(odd_docs.where("doc_id is not null"), path()).collect()}
+    whole = defaultdict(dict)
+    for r in tokens:
+        assert len(r["ids"]) == r["used"] <= r["capacity"]
+        for d, p, o, e in zip(r["doc_ids"], r["pieces"], r["offsets"], [*r["offsets"][1:], r["used"]]):
+            whole[d][p] = r["ids"][o:e]
+    assert all(sum((whole[d][p] for p in sorted(whole[d])), []) == t for d, t in ids.items() if t and d != 5)
+    assert packing.pack_sequences(odd_docs.limit(0)).count() == packing.pack_tokens(odd_docs.limit(0), path()).count() == 0
+
+
 def test_packing_nothing(no_docs):
     assert packing.pack_docs(no_docs).count() == 0 and packing.bins(packing.pack_docs(no_docs)).count() == 0
 
