@@ -11,8 +11,14 @@ A copy of a copy keeps what was removed before it was made, and an arc added bef
 So an arc w leaves the state after t unless some merge (a, b) blocks it, where a is t or lies on the
 chain of right parts of t, b is w or lies on the chain of left parts of w, and the merge ranks before
 the parts above a and above b were put together (for b also in the same merge, when a token merges
-with itself: the cut comes before the new arc). ``Automaton.arc`` is that table, filled as it is
-asked for: the full one would hold the square of the vocabulary.
+with itself: the cut comes before the new arc).
+
+The finished automaton is compiled into a table. Labels are numbered in post-order of the tree of left
+parts, younger subtrees first, so that what one merge (a, b) blocks is one interval of numbers: b itself
+and the subtrees below it that were made later. A state's row is the sorted union of the intervals of its
+chain of right parts; equal rows are kept once (states that no word tells apart), which gives the minimal
+number of rows. For 50,000 labels that is about a million bounds in two flat arrays, fixed before the
+first text, and a transition is one bisection.
 
 Encoding walks a byte trie of the labels from each position of a word; the first arc that reaches a
 position is the only one. Decoding emits the labels of the arcs.
@@ -26,6 +32,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -56,12 +64,11 @@ class Automaton:
         self.labels |= {i: content.encode() for content, i in added}
         self.rank: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int, int]] = {}  # token: left part, right part, rank
-        self.arcs: dict[tuple[int, int], bool] = {}
         for rank, (left, right) in enumerate(merges):
             self._gadget(vocab[left], vocab[right], vocab[left + right], rank)
-        self.arcs.clear()
         self.trie: dict = {}
         live = {t for t in self.labels if len(self.labels[t]) == 1} | set(self.parts)
+        self._compile(live - set(self.added.values()))
         for t in live - set(self.added.values()):
             node = self.trie
             for b in self.labels[t]:
@@ -94,17 +101,63 @@ class Automaton:
                 return True
             _, after, made_after = p
 
+    def _compile(self, live: set[int]) -> None:
+        """Number the labels and tabulate, for each state, the intervals of labels whose arcs are missing."""
+        above: dict[int, list[tuple[int, int]]] = {}
+        for w, (left, _, rank) in self.parts.items():
+            above.setdefault(left, []).append((rank, w))
+        for made in above.values():
+            made.sort()
+        number, start = {}, {}
+        todo = [(t, False) for t in sorted(live - set(self.parts), reverse=True)]
+        while todo:
+            t, left = todo.pop()
+            if left:
+                number[t] = len(number)
+                continue
+            start[t] = len(number)
+            todo.append((t, True))
+            todo += [(w, False) for _, w in reversed(above.get(t, ()))]
+        cuts: dict[int, list[tuple[int, int, int]]] = {}  # left token: rank, first and last blocked number
+        for (a, b), rank in self.rank.items():
+            later = above.get(b, [])
+            k = bisect_left(later, (rank, -1))
+            cuts.setdefault(a, []).append((rank, start[later[k][1]] if k < len(later) else number[b], number[b]))
+        self.number = [-1] * (max(self.labels, default=-1) + 1)
+        for t, n in number.items():
+            self.number[t] = n
+        self.row = [0] * len(self.number)
+        self.begin, self.low, self.high, known = [0], array("i"), array("i"), {}
+        for t in sorted(live):
+            found, after, made = [], t, None
+            while True:
+                found += [(lo, hi) for rank, lo, hi in cuts.get(after, ()) if made is None or rank < made]
+                p = self.parts.get(after)
+                if p is None:
+                    break
+                _, after, made = p
+            merged: list[tuple[int, int]] = []
+            for lo, hi in sorted(found):
+                if merged and lo <= merged[-1][1] + 1:
+                    merged[-1] = (merged[-1][0], max(hi, merged[-1][1]))
+                else:
+                    merged.append((lo, hi))
+            key = tuple(merged)
+            if key not in known:
+                known[key] = len(self.begin) - 1
+                self.low.extend(lo for lo, _ in merged)
+                self.high.extend(hi for _, hi in merged)
+                self.begin.append(len(self.low))
+            self.row[t] = known[key]
+
     def arc(self, t: int, w: int) -> bool:
         """Whether an arc w leaves the state after t."""
-        found = self.arcs.get((t, w))
-        if found is None:
-            if len(self.arcs) > 2_000_000:
-                self.arcs.clear()
-            found = self.arcs[t, w] = self._open(t, w)
-        return found
+        r, n = self.row[t], self.number[w]
+        i = bisect_right(self.low, n, self.begin[r], self.begin[r + 1]) - 1
+        return i < self.begin[r] or self.high[i] < n
 
     def encode_word(self, word: bytes) -> list[int]:
-        n, arcs = len(word), self.arcs
+        n, arc = len(word), self.arc
         token: list[int] = [-1] * (n + 1)  # the label that reaches a position, and where its arc began
         began = [0] * (n + 1)
         for i in range(n):
@@ -114,7 +167,7 @@ class Automaton:
                 if node is None:
                     break
                 t = node.get(-1)
-                if t is not None and token[j + 1] < 0 and (i == 0 or (arcs.get((before, t)) if (before, t) in arcs else self.arc(before, t))):
+                if t is not None and token[j + 1] < 0 and (i == 0 or arc(before, t)):
                     token[j + 1], began[j + 1] = t, i
         out, i = [], n
         while i:

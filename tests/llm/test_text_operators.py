@@ -230,6 +230,21 @@ def test_bpe_equals_the_library(spark, odd_docs, sf_dir):
     assert Counter(tuple(r) for r in bpe.digest_docs(df, path()).collect()) == want
 
 
+def test_the_compiled_table_is_the_predicate():
+    a = bpe.load(path()).automaton
+    live = [t for t in a.parts] + [t for t in a.labels if len(a.labels[t]) == 1]
+    r = random.Random(8)
+    pairs = [(r.choice(live), r.choice(live)) for _ in range(60_000)]
+    pairs += [(u, x) for u, v in r.sample(sorted(a.rank), 20_000) for x in (v, *(w for w in (r.choice(live),) if w in a.parts and a.parts[w][0] == v))]
+    pairs += [(u, w) for w, (left, _, _) in r.sample(sorted(a.parts.items()), 20_000) for u in (r.choice(live), *[x for x, y in list(a.rank)[:50] if y == left])]
+    blocked = 0
+    for t, w in pairs:
+        want = a._open(t, w)
+        blocked += not want
+        assert a.arc(t, w) == want
+    assert blocked > 20_000 and len(a.begin) - 1 < len(live) and len(a.low) < 2_000_000  # fewer rows than states
+
+
 def test_bpe_real_outputs(odd_docs, no_docs):
     out = bpe.encode_docs(odd_docs, path()).where("doc_id = 5").first()
     assert out["decoded"] == odd_docs.where("doc_id = 5").first()["text"] and len(out["ids"]) > 0
