@@ -1,14 +1,23 @@
 """Main text of web pages: site templates are found by counting element subtrees per host.
 
-Every page is parsed into a tree, each subtree of the page is hashed, and Spark counts on how many
-different pages of a host it occurs; pages with the same text count once, so that copies of an article
-under several addresses are no template. Elements whose role is plain from the markup (menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles, comments) are dropped in addition, and
-subtrees are counted without them, too. A subtree that recurs on many pages of its host is deleted: on
-at least 3, half of the host's pages up to 10 of them, and a tenth of them all up to ``MANY``. Blocks of
-prose in an article must recur on 10 pages at least, and stay where they are more than half of a page's
-text, as in near copies of one article; its words in bold and the like and its table cells are never
-deleted alone. Templates reach the pages by host where they are few, else by (host, subtree) in a shuffle.
+Every page is parsed into a tree, and its subtrees are hashed in two ways before anything is deleted:
+
+* with their text: a subtree that recurs word for word on many pages of its host is deleted;
+* by their skeleton, the tags and class words below an element with repeated children counted once: menus,
+  adverts and footers keep it while their words change. Skeletons are taken outside the page's content
+  (its marked article or main part, else the chain of elements that hold half of the words), and one that
+  recurs is deleted if it is short or mostly links. A plain box or block of prose has no skeleton to tell.
+
+Spark counts on how many different pages of a host each occurs; pages with the same text count once, so
+that copies of an article under several addresses are no template. Many means at least 3, half of the
+host's pages up to 10 of them, and a tenth of them all up to ``MANY``. Blocks of prose in an article must
+recur word for word on 10 pages at least, and stay where they are more than half of a page's text, as in
+near copies of one article; its words in bold and the like and its table cells are never deleted alone.
+Templates reach the pages by host where they are few, else by (host, subtree) in a shuffle.
+
+On hosts with few pages nothing can be counted, so elements whose role is plain from the markup (menus,
+headers, footers, sidebars, notices, adverts, forms, comments) go in addition; ``by_markup=False`` leaves
+these rules out and takes the whole page, so that templates alone decide.
 
 Text: character references are decoded, white space inside a block becomes one space, and blocks are
 joined in page order by line ends. Where a page marks its article, the text is taken from there.
@@ -63,15 +72,21 @@ PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th tr b i em s
 
 #: Prose that may be a template itself if it recurs in articles: whole blocks.
 PROSE_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt tr".split())
+#: Never shown as text.
+HIDDEN = frozenset("head script style noscript template".split())
+#: Elements whose skeleton says something without class, id or role; plain boxes and prose say nothing.
+SECTIONS = frozenset("nav footer header aside form menu address dialog".split())
+#: A skeleton's mean words up to which it is short; the share of its words in links from which it is a menu.
+SHORT_WORDS, LINK_SHARE = 15, 0.5
 #: Pages that are enough on any host; pages that are needed for a block of an article.
 MANY, PROSE_PAGES = 50, 10
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children", "digest", "whole")
+    __slots__ = ("tag", "attributes", "children", "digest", "whole", "skeleton")
 
     def __init__(self, tag: str, attributes: str = ""):
-        self.tag, self.attributes, self.children, self.digest, self.whole = tag, attributes, [], 0, 0
+        self.tag, self.attributes, self.children, self.digest, self.whole, self.skeleton = tag, attributes, [], 0, 0, 0
 
 
 def parse(source: str) -> Node:
@@ -190,7 +205,7 @@ def text_of(nodes: list[Node], dropped: frozenset | set = frozenset()) -> str:
             if n is None:
                 blocks.append([])
                 continue
-            if dropped and (n.digest in dropped or n.whole in dropped):
+            if dropped and (n.digest in dropped or n.whole in dropped or n.skeleton in dropped):
                 continue
             if n.tag == "br":
                 blocks[-1].append(" ")
@@ -246,6 +261,87 @@ def hash_subtrees(nodes: list[Node]) -> list[int]:
     return list(out)
 
 
+def _words(node: Node) -> dict[int, tuple[int, int]]:
+    """Words, and words in links, of every element below ``node``, by its id()."""
+    order, todo = [], [(node, False)]
+    while todo:
+        n, link = todo.pop()
+        link = link or n.tag in ("a", "button")
+        order.append((n, link))
+        todo += [(c, link) for c in n.children if not isinstance(c, str) and c.tag not in HIDDEN]
+    out: dict[int, tuple[int, int]] = {}
+    for n, link in reversed(order):
+        words = links = 0
+        for c in n.children:
+            if isinstance(c, str):
+                k = len(c.split())
+                words, links = words + k, links + k * link
+            elif id(c) in out:
+                words, links = words + out[id(c)][0], links + out[id(c)][1]
+        out[id(n)] = (words, links)
+    return out
+
+
+def outside(page: Node) -> list[Node]:
+    """The elements beside the page's content: what hangs off the way from the root to it."""
+    way: set[int] = set()
+    content = roots(page)
+    if content != [page]:
+        ends = {id(n) for n in content}
+        stack: list[tuple[Node, bool]] = [(page, False)]
+        while stack:  # the ancestors of the content
+            n, back = stack.pop()
+            elements = [c for c in n.children if not isinstance(c, str)]
+            if back:
+                if any(id(c) in way or id(c) in ends for c in elements):
+                    way.add(id(n))
+            elif id(n) not in ends:
+                stack.append((n, True))
+                stack += [(c, False) for c in elements]
+        found, todo = [], [page]
+        while todo:
+            n = todo.pop()
+            for c in n.children:
+                if not isinstance(c, str) and id(c) not in ends and c.tag not in HIDDEN:
+                    (todo if id(c) in way else found).append(c)
+        return found
+    words, found, n = _words(page), [], page
+    whole = words[id(page)][0]
+    while True:
+        elements = [c for c in n.children if not isinstance(c, str) and id(c) in words]
+        inner = next((c for c in elements if 2 * words[id(c)][0] >= whole), None)
+        if inner is None or not whole:
+            return found
+        found += [c for c in elements if c is not inner]
+        n = inner
+
+
+def name_skeletons(page: Node) -> list[tuple[int, int, int]]:
+    """(skeleton, words, words in links) of the elements outside the content, each skeleton once; sets ``skeleton``."""
+    out: dict[int, tuple[int, int]] = {}
+    for top in outside(page):
+        words, order, todo = _words(top), [], [top]
+        while todo:
+            n = todo.pop()
+            order.append(n)
+            todo += [c for c in n.children if not isinstance(c, str) and id(c) in words]
+        for n in reversed(order):
+            h, named = xxhash.xxh3_64(n.tag, seed=11), n.tag in SECTIONS
+            for name, value in ATTRIBUTE.findall(n.attributes):
+                if name.lower() in ("class", "id", "role"):
+                    h.update("." + ".".join(sorted(WORDS.findall(value.lower()))))
+                    named = True
+            for key in sorted({c.skeleton for c in n.children if not isinstance(c, str) and id(c) in words}):
+                h.update(key.to_bytes(8, "little", signed=True))
+            value = h.intdigest() & ~1
+            n.skeleton = value - (1 << 64) if value >= 1 << 63 else value
+            w, links = words[id(n)]
+            if w and (named or links >= LINK_SHARE * w) and n.tag not in PROSE_BLOCK:
+                a, b = out.get(n.skeleton, (0, 0))
+                out[n.skeleton] = (a + w, b + links)
+    return [(k, w, links) for k, (w, links) in out.items()]
+
+
 def host() -> Column:
     return F.lower(F.coalesce(F.try_parse_url("url", F.lit("HOST")), F.lit("")))
 
@@ -256,10 +352,18 @@ def _read(source: str) -> list[Node]:
     return roots(page)
 
 
-def _hashed(source: str) -> tuple[list[Node], list[int]]:
-    """The parts of a page that hold its text, and the hashes of its subtrees with and without furniture."""
+def _hashed(source: str, by_markup: bool = True) -> tuple[list[Node], list[int], list[tuple[int, int, int]]]:
+    """The parts of a page that hold its text, the hashes of its subtrees with and without furniture, and its skeletons."""
     page = parse(source)
+    skeletons = name_skeletons(page)
     found = dict.fromkeys(hash_subtrees([page]))
+    if not by_markup:
+        todo = [page]
+        while todo:
+            n = todo.pop()
+            n.children = [c for c in n.children if isinstance(c, str) or c.tag not in HIDDEN]
+            todo += [c for c in n.children if not isinstance(c, str)]
+        return [page], list(found), skeletons
     todo = [page]
     while todo:
         n = todo.pop()
@@ -267,25 +371,33 @@ def _hashed(source: str) -> tuple[list[Node], list[int]]:
         todo += [c for c in n.children if not isinstance(c, str)]
     strip(page)
     found.update(dict.fromkeys(hash_subtrees([page])))
-    return roots(page), list(found)
+    return roots(page), list(found), skeletons
 
 
-def _inventory(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        same, subtrees = [], []
-        for source in batch.column(2):
-            nodes, found = _hashed(source.as_py() or "")
-            subtrees.append(found)
-            same.append(xxhash.xxh3_64_intdigest(text_of(nodes)) >> 1)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(same, pa.int64()), pa.array(subtrees, pa.list_(pa.int64()))], ["host", "page", "same", "subtrees"]
-        )
+def _inventory(by_markup: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same, subtrees, skeletons = [], [], []
+            for source in batch.column(2):
+                nodes, found, shapes = _hashed(source.as_py() or "", by_markup)
+                subtrees.append(found)
+                skeletons.append([{"subtree": k, "words": w, "links": n} for k, w, n in shapes])
+                same.append(xxhash.xxh3_64_intdigest(text_of(nodes)) >> 1)
+            kind = pa.list_(pa.struct([("subtree", pa.int64()), ("words", pa.int64()), ("links", pa.int64())]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(same, pa.int64()), pa.array(subtrees, pa.list_(pa.int64())), pa.array(skeletons, kind)], ["host", "page", "same", "subtrees", "skeletons"]
+            )
 
+    return run
 
-def inventory(base: DataFrame) -> DataFrame:
-    """(host, page, same, subtrees) of every page; ``page`` stands for its html, ``same`` for its text."""
+
+INVENTORY = "host string, page string, same long, subtrees array<long>, skeletons array<struct<subtree: long, words: long, links: long>>"
+
+
+def inventory(base: DataFrame, by_markup: bool = True) -> DataFrame:
+    """(host, page, same, subtrees, skeletons) of every page; ``page`` stands for its html, ``same`` for its text."""
     rows = base.select(host().alias("host"), page().alias("page"), "html")
-    return save(rows.mapInArrow(_inventory, "host string, page string, same long, subtrees array<long>"), "subtrees")
+    return save(rows.mapInArrow(_inventory(by_markup), INVENTORY), "subtrees")
 
 
 def page() -> Column:
@@ -293,46 +405,53 @@ def page() -> Column:
 
 
 def find_templates(rows: DataFrame) -> DataFrame:
-    """(host, subtree): hashes of the subtrees that recur on many pages of the host."""
-    rows = rows.dropDuplicates(["host", "same"])
-    sizes = rows.groupBy("host").agg(F.count("*").alias("pages"))
-    counts = rows.select("host", F.explode("subtrees").alias("subtree")).groupBy("host", "subtree").agg(F.count("*").alias("n")).where("n >= 3")
+    """(host, subtree): hashes of the subtrees and skeletons that recur on many pages of the host."""
+    # of pages with one text the one with the least digest of its html counts
+    once = rows.groupBy("host", "same").agg(F.min_by(F.struct("subtrees", "skeletons"), "page").alias("r")).select("host", "r.*")
+    sizes = once.groupBy("host").agg(F.count("*").alias("pages"))
+    exact = once.select("host", F.explode("subtrees").alias("subtree")).groupBy("host", "subtree").agg(F.count("*").alias("n")).where("n >= 3")
+    shapes = once.select("host", F.inline("skeletons")).groupBy("host", "subtree").agg(F.count("*").alias("n"), F.sum("words").alias("w"), F.sum("links").alias("l")).where("n >= 3")
+    shapes = shapes.where((F.col("w") <= SHORT_WORDS * F.col("n")) | (F.col("l") >= LINK_SHARE * F.col("w"))).select("host", "subtree", "n")
     need = F.greatest(F.lit(3.0), F.least(F.lit(10.0), F.col("pages") / 2), F.least(F.lit(float(MANY)), F.col("pages") / 10))
     need = F.when(F.col("subtree").bitwiseAND(F.lit(1)) == 1, F.greatest(F.lit(float(PROSE_PAGES)), need)).otherwise(need)
-    return counts.join(sizes, "host").where(F.col("n") >= need).select("host", "subtree")
+    return exact.union(shapes).join(sizes, "host").where(F.col("n") >= need).select("host", "subtree").distinct()
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = []
-        for source, templates in zip(batch.column(2), batch.column(3)):
-            if not templates.is_valid:
-                texts.append(text_of(_read(source.as_py() or "")))
-                continue
-            nodes, _ = _hashed(source.as_py() or "")
-            dropped = set(templates.as_py())
-            text = text_of(nodes, {t for t in dropped if not t & 1})
-            less = text_of(nodes, dropped)
-            texts.append(less if 2 * len(less) >= len(text) else text)
-        sizes = pa.array([len(t) for t in texts], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), sizes], ["page_id", "url", "text", "n_chars"])
+def _extract(by_markup: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for source, templates in zip(batch.column(2), batch.column(3)):
+                if by_markup and not templates.is_valid:
+                    texts.append(text_of(_read(source.as_py() or "")))
+                    continue
+                nodes, _, _ = _hashed(source.as_py() or "", by_markup)
+                dropped = set(templates.as_py() or ())
+                text = text_of(nodes, {t for t in dropped if not t & 1})
+                less = text_of(nodes, dropped)
+                texts.append(less if 2 * len(less) >= len(text) else text)
+            sizes = pa.array([len(t) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), sizes], ["page_id", "url", "text", "n_chars"])
+
+    return run
 
 
 #: Templates in all, and of one host, up to which they are broadcast by host; beyond it they meet the pages by shuffle.
 BROADCAST_TEMPLATES, HOST_TEMPLATES = 200_000, 2_000
 
 
-def extract(pages: DataFrame, broadcast_rows: int = BROADCAST_TEMPLATES) -> DataFrame:
-    """page_id, url, text and n_chars of every page."""
+def extract(pages: DataFrame, broadcast_rows: int = BROADCAST_TEMPLATES, by_markup: bool = True) -> DataFrame:
+    """page_id, url, text and n_chars of every page. Without ``by_markup`` only templates are deleted."""
     base = only(pages, page_id="long", url="string", html="string")
-    rows = inventory(base)
+    rows = inventory(base, by_markup)
     found = save(find_templates(rows), "templates")
     most = found.groupBy("host").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     keyed = base.withColumn("host", host())
     if most[0] <= broadcast_rows and most[1] <= HOST_TEMPLATES:
         joined = keyed.join(F.broadcast(found.groupBy("host").agg(F.collect_list("subtree").alias("templates"))), "host", "left")
     else:
-        held = rows.select("host", "page", F.explode("subtrees").alias("subtree")).distinct().join(found, ["host", "subtree"])
+        every = F.array_union("subtrees", F.transform("skeletons", lambda x: x["subtree"]))
+        held = rows.select("host", "page", F.explode(every).alias("subtree")).distinct().join(found, ["host", "subtree"])
         lists = held.groupBy("host", "page").agg(F.collect_list("subtree").alias("templates"))
         joined = keyed.withColumn("page", page()).join(lists, ["host", "page"], "left")
-    return joined.select("page_id", "url", "html", "templates").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "templates").mapInArrow(_extract(by_markup), "page_id long, url string, text string, n_chars long")

@@ -1,3 +1,7 @@
+import hashlib
+import urllib.parse
+from collections import Counter, defaultdict
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -56,6 +60,43 @@ def test_recurring_blocks_of_articles_and_menus_are_counted(spark):
     assert "a.example" in kinds  # the menu is counted, though its tag alone would do
 
 
+def test_templates_equal_a_plain_counter(spark):
+    """The same counts with dictionaries, page by page."""
+    df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html")
+    seen, counts, sizes = set(), defaultdict(lambda: [0, 0, 0]), Counter()
+    for r in sorted(df.collect(), key=lambda r: hashlib.md5(r["html"].encode()).hexdigest()):
+        host = (urllib.parse.urlsplit(r["url"]).hostname or "").lower()
+        nodes, exact, shapes = templates._hashed(r["html"])
+        text = templates.text_of(nodes)
+        if (host, text) in seen:
+            continue
+        seen.add((host, text))
+        sizes[host] += 1
+        for kind, words, links in [(k, None, None) for k in exact] + shapes:
+            entry = counts[host, kind, words is None]
+            entry[0] += 1
+            entry[1] += words or 0
+            entry[2] += links or 0
+    want = set()
+    for (host, kind, exact), (n, words, links) in counts.items():
+        need = max(3, min(10, sizes[host] / 2), min(50, sizes[host] / 10), 10 if exact and kind & 1 else 0)
+        if n >= need and (exact or words <= 15 * n or 2 * links >= words):
+            want.add((host, kind))
+    got = {(r["host"], r["subtree"]) for r in templates.find_templates(templates.inventory(df)).collect()}
+    assert got == want and len(got) > 20
+
+
+def test_templates_alone_find_menus_and_footers(spark):
+    """Without any rule about names and roles: what recurs goes, the articles stay as they are."""
+    df = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url", "html")
+    alone = {r["page_id"]: r["text"] for r in templates.extract(df, by_markup=False).collect()}
+    both = {r["page_id"]: r["text"] for r in templates.extract(df).collect()}
+    marked = {r["page_id"]: templates.text_of(templates._read(r["html"])) for r in df.collect()}
+    assert sum(both[k] == marked[k] for k in both) == len(both)
+    assert sum(alone[k] == both[k] for k in both) > 0.5 * len(both)
+    assert all(both[k] in alone[k] for k in both)
+
+
 def test_recall_and_exact_scores(spark):
     r = np.random.default_rng(2)
     x = r.normal(size=(3000, 24)) * r.uniform(0.1, 10, (3000, 1))
