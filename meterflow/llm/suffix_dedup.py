@@ -2,19 +2,19 @@
 
 Only suffixes that start at a minimiser are retained: in every ``WINDOW`` successive starts the one
 with the least hash of its first ``SEED`` words. Two documents that share ``SEED + WINDOW - 1`` = 50
-words share the minimiser of that passage, so its suffixes meet. Suffixes are brought together by
-their first ``SEED`` words with Spark's shuffle and sort, and each is compared with the earliest
-suffix (least doc_id, then place) of its run. Successive matches against the same place join to one
-stretch (as SEED > WINDOW no word between them is left unchecked), which is then extended to the left
-and right word by word. Stretches of at least ``min_words`` words are repeats; the earliest document
-keeps the passage. A run of any size is one head and its members: nothing is squared. A passage is cut
-as far as it agrees with the earliest document that holds its suffix; where it agrees longer with a
-later one, less than ``min_words`` words of that may stay. No text keeps ``min_words`` words in a row
-that an earlier document holds.
-
-Where some member's extended match with the head stays short, another member may still share more
-with it. All members of such runs are then sorted once more, by the ``MIN_WORDS`` words of each window
-around their suffix instead of its first ``SEED`` words: windows that are equal are repeats as they are.
+words share the minimiser of that passage, so its suffixes meet. Suffixes are ordered by doubling, as
+suffix arrays are built: first by their ``SEED`` words, then by all words of the windows of 50 that hold
+the seed, each word standing for its hash. Within the run of one seed equal orders are neighbours. Where
+the whole run is of one order, every member agrees with the earliest (least doc_id, then place) as far as
+any window reaches, and is compared with it alone: successive matches against the same place join to one
+stretch (as SEED > WINDOW no word between them is left unchecked), which is extended to the left and right
+word by word. Stretches of at least ``min_words`` words are repeats; the earliest document keeps the
+passage. A run of any size is one head and its members: nothing is squared.
+
+Where a run holds several orders, a member may share more with another one than with the earliest. The
+members of these runs, the borders of passages, are ordered once more by each window of 50 words around
+their seed: windows that are equal are repeats as they are. So what is found is exact: the words of all
+windows of 50 that an earlier document holds, and no others.
 
 Defined results: NULL text has no words; texts shorter than ``min_words`` have no repeats; passages
 that recur only inside one document are left alone; rows with a NULL doc_id are left alone; rows that
@@ -71,6 +71,20 @@ def minimisers(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, g[at]
 
 
+_BASE = np.uint64(0xD1342543DE82EF95)
+_INVERSE = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
+
+
+def around(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of all words of the windows of MIN_WORDS words that hold the seed at each place, as far as the text goes."""
+    powers = np.cumprod(np.full(len(h), _BASE))
+    back = np.cumprod(np.full(len(h), _INVERSE))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h) * powers)])
+    first, end = np.maximum(at - (MIN_WORDS - SEED), 0), np.minimum(at + MIN_WORDS, len(h))
+    whole = (sums[end] - sums[first]) * back[first]
+    return mix(whole + (at - first).astype(np.uint64) * _A + (end - at).astype(np.uint64) * _B)
+
+
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = WordHashes()
     for batch in released(batches):
@@ -79,12 +93,15 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, text in enumerate(batch.column(1)):
             words = (text.as_py() or "").encode().split()
             if len(words) >= MIN_WORDS:
-                at, g = minimisers(word_hashes(words, known))
-                held.append((np.full(len(at), ids[i]), at, g))
+                h = word_hashes(words, known)
+                at, g = minimisers(h)
+                held.append((np.full(len(at), ids[i]), at, g, around(h, at)))
                 count += len(at)
             if held and (count > 50_000 or i == len(ids) - 1):
-                doc, at, g = (np.concatenate(x) for x in zip(*held))
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(doc.astype(np.int64)), pa.array(at.astype(np.int32))], ["seed", "doc_id", "pos"])
+                doc, at, g, c = (np.concatenate(x) for x in zip(*held))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(g.view(np.int64)), pa.array(doc.astype(np.int64)), pa.array(at.astype(np.int32)), pa.array(c.view(np.int64))], ["seed", "doc_id", "pos", "near"]
+                )
                 held, count = [], 0
 
 
@@ -135,11 +152,12 @@ def _common(a: Column, b: Column) -> Column:
     return F.when(differs == 0, F.size(a)).otherwise(differs - 1).cast("int")
 
 
-def _met(suffixes: DataFrame) -> DataFrame:
-    """Each suffix beside the earliest of its run, where that lies in another document."""
-    heads = suffixes.groupBy("seed").agg(F.min(F.struct("doc_id", "pos")).alias("head"), F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a < _b")
-    matched = suffixes.join(heads.select("seed", "head"), "seed").where("doc_id <> head.doc_id")
-    return matched.select("seed", "doc_id", "pos", F.col("head.doc_id").alias("head_doc"), F.col("head.pos").alias("head_pos"))
+def _met(suffixes: DataFrame, *more: str) -> DataFrame:
+    """Each suffix beside the earliest of its run, where that lies in another document; ``mixed`` says that the run holds several orders."""
+    near = [(F.min("near") < F.max("near")).alias("mixed")] if more else []
+    heads = suffixes.groupBy("seed").agg(F.min(F.struct("doc_id", "pos")).alias("head"), F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b"), *near).where("_a < _b")
+    matched = suffixes.join(heads.select("seed", "head", *more), "seed").where("doc_id <> head.doc_id")
+    return matched.select("doc_id", "pos", F.col("head.doc_id").alias("head_doc"), F.col("head.pos").alias("head_pos"), *(["seed", *more] if more else []))
 
 
 def _stretches(matched: DataFrame, gap: int) -> DataFrame:
@@ -174,8 +192,8 @@ def matches(docs: DataFrame, min_words: int = MIN_WORDS, broadcast_bytes: int =
     if min_words < MIN_WORDS:
         raise ValueError(f"passages below {MIN_WORDS} words may hold no minimiser")
     base = only(docs, doc_id="long", text="string").where("doc_id is not null")
-    suffixes = save(base.mapInArrow(_suffixes, "seed long, doc_id long, pos int"), "suffixes")
-    matched = save(_met(suffixes), "matched")
+    suffixes = save(base.mapInArrow(_suffixes, "seed long, doc_id long, pos int, near long"), "suffixes")
+    matched = save(_met(suffixes, "mixed"), "matched")
     runs = save(_stretches(matched, WINDOW), "stretches")
     asked = runs.select("doc_id", "lo", "hi").union(runs.select("head_doc", "head_lo", "head_hi")).distinct()
     sides = base.join(_by_document(asked, F.struct("lo", "hi"), broadcast_bytes), "doc_id").select("doc_id", "text", "asked")
@@ -195,11 +213,9 @@ def matches(docs: DataFrame, min_words: int = MIN_WORDS, broadcast_bytes: int =
         F.col("head_doc").alias("kept_doc_id"),
         (F.col("head_lo") - F.col("left")).alias("kept_start_word"),
     )
-    # runs in which some member fell short of min_words: compare whole windows
-    short = grown.where(F.col("n_words") < min_words).select("doc_id", "head_doc", (F.col("lo") - F.col("head_lo")).alias("shift"), "lo", "hi")
-    seeds = matched.withColumn("shift", F.col("pos") - F.col("head_pos")).join(short, ["doc_id", "head_doc", "shift"])
-    seeds = save(seeds.where("pos between lo and hi").select("seed").distinct(), "short-seeds")
-    if seeds.limit(1).count():
+    # runs with several orders: compare whole windows
+    seeds = save(matched.where("mixed").select("seed").distinct(), "mixed-seeds")
+    if seeds.rows:
         asked = suffixes.join(if_small(seeds), "seed", "left_semi").select("doc_id", "pos")
         whole = base.join(_by_document(asked, F.col("pos"), broadcast_bytes), "doc_id").select("doc_id", "text", "asked").mapInArrow(_windows, "seed long, doc_id long, pos int")
         equal = _stretches(_met(save(whole, "windows")), MIN_WORDS).withColumn("n_words", F.col("hi") - F.col("lo") + MIN_WORDS)
