@@ -35,10 +35,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import save, small_batches
 
 BOOKS, WORDS, BEAM = 16, 256, 6
-SAMPLE, RERANK, EVERY = 16_384, 512, 50
+SAMPLE, RERANK, EVERY = 16_384, 64, 50
 QUERY_BLOCK, CODE_BLOCK = 1024, 65_536
 
 
@@ -134,7 +134,10 @@ def fit(vectors: DataFrame, sample: int = SAMPLE) -> Quantizer | None:
         return None
     # one odd row must not decide which rows take part
     good = good.where(F.size("v") == lengths[0]["dim"])
-    rows = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow().column("v").combine_chunks()
+    n, scale = lengths[0]["count"], 1 << 40
+    if n > 2 * sample:  # by a bound on the hash first, so that few more rows than the sample are sorted
+        good = good.where(F.pmod(F.xxhash64("vec_id"), F.lit(scale)) < int(scale * min(1.0, 1.5 * sample / n)))
+    rows = good.orderBy(F.pmod(F.xxhash64("vec_id"), F.lit(scale)), F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow().column("v").combine_chunks()
     return train(unit(_matrix(rows)).astype(np.float32))
 
 
@@ -291,6 +294,7 @@ RESULT = "query_id long, rank int, vec_id long, score double"
 def search(vectors: DataFrame, k: int = 5, every: int = EVERY, rerank: int = RERANK) -> DataFrame:
     """The k nearest rows of each query by exact cosine."""
     spark = vectors.sparkSession
+    small_batches(spark)
     quantizer = fit(vectors)
     if quantizer is None:
         return spark.createDataFrame([], RESULT)

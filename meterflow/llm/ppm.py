@@ -160,17 +160,20 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(block, doc_id, text, train): documents dealt to blocks by hash, like languages together."""
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), lang.alias("lang"))
-    sizes = rows.groupBy("lang").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("b")).orderBy(F.desc("b"), "lang").limit(64).collect()
+    volume = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)
+    sizes = rows.groupBy("lang").agg(volume.alias("b")).orderBy(F.desc("b"), "lang").limit(64).collect()
+    # rows without an id are told apart by their text
+    spread = F.xxhash64("doc_id", F.octet_length("text"), F.when(F.col("doc_id").isNull(), F.col("text")))
     # the 63 largest languages get blocks of their own, all others share theirs
     first, deal = 0, F.lit(None)
     for name, size in [(r["lang"], r["b"]) for r in sizes[:63]]:
         n = max(1, round(size / block_bytes))
-        here = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n)) + first
+        here = F.pmod(spread, F.lit(n)) + first
         deal = F.when(F.col("lang").eqNullSafe(F.lit(name)), here) if first == 0 else deal.when(F.col("lang").eqNullSafe(F.lit(name)), here)
         first += n
     if len(sizes) == 64:
-        rest = rows.count()  # an upper bound of what is left, in documents
-        deal = deal.otherwise(F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(max(1, rest // 5000))) + first)
+        rest = rows.agg(volume.alias("b")).first()["b"] - sum(r["b"] for r in sizes[:63])
+        deal = deal.otherwise(F.pmod(spread, F.lit(max(1, round(rest / block_bytes)))) + first)
     held_out = F.coalesce(remainder("doc_id", 5) == 1, F.lit(False))
     return rows.select(deal.cast("int").alias("block"), "doc_id", "text", (~held_out).alias("train"))
 

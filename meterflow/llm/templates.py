@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -57,6 +58,7 @@ CLOSES = {
     "td": ("td th", "tr table"), "th": ("td th", "tr table"), "tbody": ("thead tbody tfoot", "table"), "thead": ("thead tbody tfoot", "table"), "tfoot": ("thead tbody tfoot", "table"),
 }
 CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSES.items()}
+PARAGRAPH = frozenset(["p"])
 P_SCOPE = frozenset("table td th caption button object html".split())
 
 #: Elements that are never main text, and the words in class, id or role that say so.
@@ -93,6 +95,7 @@ def parse(source: str) -> Node:
     """A tolerant tree of elements and texts."""
     root = Node("html")
     stack, at = [root], 0
+    open_: Counter = Counter()  # how often a tag is open, so that deep pages are not searched in vain
     while True:
         found = TAG.search(source, at)
         text = source[at : found.start()] if found else source[at:]
@@ -106,17 +109,20 @@ def parse(source: str) -> Node:
             continue  # comment, doctype or instruction
         tag = tag.lower()
         if found.group(1) or found.group(4):
-            if any(n.tag == tag for n in stack[1:]):
-                while stack.pop().tag != tag:
-                    pass
+            if open_[tag]:
+                while True:
+                    gone = stack.pop().tag
+                    open_[gone] -= 1
+                    if gone == tag:
+                        break
             continue
         if tag in ("html", "body"):
             root.attributes += found.group(3) or found.group(6) or ""
             continue
         if tag in BLOCK:
-            _close(stack, frozenset(["p"]), P_SCOPE)
+            _close(stack, open_, PARAGRAPH, P_SCOPE)
         if tag in CLOSES:
-            _close(stack, *CLOSES[tag])
+            _close(stack, open_, *CLOSES[tag])
         node = Node(tag, found.group(3) or found.group(6) or "")
         stack[-1].children.append(node)
         if tag in RAW:
@@ -126,13 +132,18 @@ def parse(source: str) -> Node:
             at = end.end() if end else len(source)
         elif tag not in VOID and not node.attributes.rstrip().endswith("/"):
             stack.append(node)
+            open_[tag] += 1
         elif tag not in VOID and tag in BLOCK:
             stack.append(node)  # a slash does not close these
+            open_[tag] += 1
 
 
-def _close(stack: list[Node], tags: frozenset, until: frozenset) -> None:
+def _close(stack: list[Node], open_: Counter, tags: frozenset, until: frozenset) -> None:
+    if not any(open_[t] for t in tags):
+        return
     for i in range(len(stack) - 1, 0, -1):
         if stack[i].tag in tags:
+            open_.subtract(n.tag for n in stack[i:])
             del stack[i:]
             return
         if stack[i].tag in until:
@@ -182,11 +193,11 @@ def roots(page: Node) -> list[Node]:
     for wanted in ("article", "main"):
         found, todo = [], [page]
         while todo:
-            n = todo.pop(0)
+            n = todo.pop()
             if n.tag == wanted:
                 found.append(n)
             else:
-                todo = [c for c in n.children if not isinstance(c, str)] + todo
+                todo += [c for c in reversed(n.children) if not isinstance(c, str)]
         if found:
             return found
     return [page]

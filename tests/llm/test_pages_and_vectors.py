@@ -21,6 +21,13 @@ def test_text_of_an_article():
     assert templates.text_of(templates._read("<p>" + "<b>" * 5000 + "deep")) == "deep"
 
 
+def test_a_page_of_many_megabytes(spark):
+    body = "".join(f"<div class='x{i}'><p>word{i} <b>bold</b></p>" for i in range(20_000))
+    rows = [(1, "http://a.example/1", f"<article>{body}</article>"), (2, "http://a.example/2", "<p>" + "x " * 1_500_000)]
+    got = {r["page_id"]: r for r in templates.extract(pages(spark, rows)).collect()}
+    assert got[1]["text"].count("\n") == 19_999 and got[2]["n_chars"] == 2_999_999
+
+
 def pages(spark, rows):
     return spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, host string, templates string")
 

@@ -51,6 +51,38 @@ def test_quality_thresholds_follow_their_group(spark):
     assert quality.filter_docs(df, min_group=30).columns == df.columns
 
 
+def test_verdicts_equal_exact_quantiles(spark):
+    """``kept`` by sorted lists instead of sketches, on the whole of a small table with its own groups."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    rows = []
+    for r in df.collect():
+        n, chars, symbols, dup, rep = brute_counts(r["text"])
+        lines = sum(1 for x in (r["text"] or "").split("\n") if WORD.search(x))
+        signals = {"symbol_ratio": symbols / chars if chars else 0, "dup_line_ratio": dup / lines if lines else 0, "repeat_ratio": rep / n if n else 0, "mean_word_chars": chars / n if n else 0}
+        rows.append((r["doc_id"], r["lang"], r["source"], n < 50 or 100 * rep > 50 * n, signals))
+    levels = [lambda r: (r[1], r[2]), lambda r: r[1], lambda r: 0]
+    groups = [defaultdict(list) for _ in levels]
+    for r in rows:
+        if not r[3]:
+            for level, g in zip(levels, groups):
+                g[level(r)].append(r[4])
+    keep = {}
+    for r in rows:
+        near = [g[level(r)] for level, g in zip(levels, groups)]
+        mine = next((g for g in near[:2] if len(g) >= quality.MIN_GROUP), near[2])
+        ok = not r[3]
+        for sig in quality.SIGNALS:
+            v = sorted(x[sig.name] for x in mine)
+            q = lambda p: v[max(0, int(np.ceil(p * len(v))) - 1)]  # noqa: B023,E731
+            spread = max(q(0.5) - q(0.1), sig.least)
+            x = r[4][sig.name]
+            ok = ok and x <= q(0.5) + sig.k * spread and (not sig.both_sides or x >= q(0.5) - sig.k * spread)
+        keep[r[0]] = ok
+    got = {r["doc_id"]: r["kept"] for r in quality.verdicts(df).collect()}
+    differ = [d for d in keep if keep[d] != got[d]]
+    assert len(differ) <= 0.002 * len(keep)  # groups are smaller than a sketch, so only ties at a rank differ
+
+
 def test_quality_of_odd_and_no_documents(odd_docs, no_docs):
     out = quality.verdicts(odd_docs)
     assert out.count() == odd_docs.count() and out.where("doc_id = 0 and base_failed and not kept").count() == 1
@@ -336,6 +368,15 @@ def test_ppm_equals_brute_force(spark, odd_docs):
     assert ppm.score_docs(odd_docs).count() == odd_docs.count()
 
 
+def test_ppm_of_many_languages_and_hot_rows(spark):
+    rows = [(i, " ".join(words(i, 12)), f"l{i % 70}", "s") for i in range(140)] + [(None, "same words again", "l1", "s")] * 40 + [(7, "one id many times", "l1", "s")] * 40
+    out = ppm.score_docs(frame(spark, rows), block_bytes=200).collect()
+    assert len(out) == len(rows) and len({(r["score"], r["n_tokens"]) for r in out if r["doc_id"] == 7}) == 2
+    assert len({r["score"] for r in out if r["doc_id"] is None}) == 1
+    n = len({r["block"] for r in ppm.blocks(frame(spark, rows), 200).collect()})
+    assert n >= 70
+
+
 def test_ppm_of_nothing(no_docs):
     assert ppm.score_docs(no_docs).count() == 0
 
@@ -591,6 +632,21 @@ def test_embeddings_alone_can_tell():
     assert 0.1 <= slope <= 5 and shift < 0  # rare in the whole: a lower score for the same evidence
 
 
+def test_texts_of_many_megabytes(spark):
+    big = " ".join(words(5, 600_000, 40_000))
+    assert len(big) > 3_000_000
+    df = frame(spark, [(1, big), (2, "a" * 100_000), (3, "short")], extra=False)
+    tokens = {r["doc_id"]: r for r in bpe.digest_docs(df, path()).collect()}
+    tokenizers = pytest.importorskip("tokenizers").Tokenizer.from_file(path())
+    for d, t in ((1, big), (3, "short")):
+        ids = tokenizers.encode(t, add_special_tokens=False).ids
+        assert tokens[d]["n_tokens"] == len(ids) and tokens[d]["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+    assert tokens[2]["decoded_sha256"] == hashlib.sha256(b"a" * 100_000).hexdigest()
+    texts = [" ".join(words(d, 80)) + (" snorfbag" if d % 2 else "") for d in range(40)]
+    model = toxicity.train(texts, [d % 2 for d in range(40)], rounds=1, epochs=1)
+    assert len(toxicity.Scorer(model).score([big, "a" * 20_000])) == 2
+
+
 def test_windows_overlap_and_cover():
     for n in (0, 1, 64, 65, 96, 1000):
         s = toxicity.windows(n)
