@@ -54,7 +54,7 @@ def ring_attention(x: np.ndarray, ring: int, merge: str = "logsumexp") -> np.nda
 
 
 def attend(sequences: DataFrame, ring: int, merge: str = "logsumexp") -> DataFrame:
-    """(seq_id, features array<array<float>>) -> (seq_id, pos, norm): rows of attention outputs."""
+    """(seq_id, features array<array<float>>) -> (seq_id, pos, output): rows of attention outputs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
