@@ -48,6 +48,8 @@ WORD_ROWS, CHAR_ROWS = 1 << 16, 1 << 17
 THRESHOLD = 0.7
 WORD_BITS, GRAM_BITS = 18, 20
 GRAMS = (3, 4, 5, 6)
+#: Windows of a text that training may choose from, by their counted numbers; scores and calibration use all.
+CANDIDATES = 8
 #: Windows of a training step, fewer where the sample is small.
 BATCH = 256
 _PUNCTUATION = b" \t.,;:!?\"'()[]{}<>*_-#%&$|/\\"
@@ -309,7 +311,7 @@ def scaled_step(table: np.ndarray, seen: np.ndarray, rows: np.ndarray, gradient:
     table[which] -= rate * total / np.sqrt(seen[which])[:, None]
 
 
-def train(texts: list[str], labels: list[int], counts: tuple[float, float] | None = None, rounds: int = 4, epochs: int = 3, rate: float = 0.015, seed: int = 7, embed: bool = True) -> Model:
+def train(texts: list[str], labels: list[int], counts: tuple[float, float] | None = None, rounds: int = 3, epochs: int = 2, rate: float = 0.02, seed: int = 7, embed: bool = True) -> Model:
     """Fit tables, embeddings and network to a bounded sample; ``counts`` are the toxic and clean documents behind it."""
     y = np.array(labels, dtype=np.float32)
     n_a, n_b = float(y.sum()), float(len(y) - y.sum())
@@ -340,21 +342,28 @@ def train(texts: list[str], labels: list[int], counts: tuple[float, float] | Non
         x = np.concatenate([sample.described[place], table[back]], axis=2)
         return x, real, (distinct, back, some, first, rows, of, n, stay)
 
-    def scores() -> np.ndarray:
-        out = []
-        for i in range(0, len(sample.owner), 1024):
-            x, real, _ = built(np.arange(i, min(i + 1024, len(sample.owner))))
+    def scores(at: np.ndarray) -> np.ndarray:
+        out = [np.zeros(0)]
+        for i in range(0, len(at), 1024):
+            x, real, _ = built(at[i : i + 1024])
             out.append(forward(net, project(net, x), real))
         return np.concatenate(out)
 
+    def ranked(score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Windows text by text, the highest first, and their ranks."""
+        order = np.lexsort((-score, owner))
+        return order, np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
+
     strong = sample.described[:, 1] + sample.described[:, 0]
     score = np.concatenate([strong[sample.cut(np.arange(i, min(i + 4096, len(sample.owner))))[0]].max(axis=1) for i in range(0, len(sample.owner), 4096)])
     step, owner, batch = 0, sample.owner, BATCH if len(y) > 1000 else BATCH // 4
-    for _ in range(rounds):
+    order, rank = ranked(score)
+    able = order[rank < CANDIDATES]  # the windows that training may choose from
+    score = np.where(np.isin(np.arange(len(owner)), able), score, -np.inf)
+    for turn in range(rounds):
         # the highest windows of each text: one of a toxic text, three of a clean one
-        order = np.lexsort((-score, owner))
-        rank = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
-        chosen = order[rank < np.where(y[owner[order]] == 1, 1, 3)]
+        order, rank = ranked(score)
+        chosen = order[(rank < np.where(y[owner[order]] == 1, 1, 3)) & np.isfinite(score[order])]
         goal = y[owner[chosen]]
         weight = np.where(goal == 1, (goal == 0).sum() / max((goal == 1).sum(), 1), 1.0)
         pick = rng.choice(len(chosen), size=2 * len(chosen), p=weight / weight.sum())
@@ -380,7 +389,9 @@ def train(texts: list[str], labels: list[int], counts: tuple[float, float] | Non
                 scaled_step(chars, seen_c, rows, (each[:, WORD_DIM:] / n[:, None])[of], 2 * rate)
             rng.shuffle(pick)
         rate *= 0.6
-        score = scores()
+        if turn < rounds - 1:
+            score[able] = scores(able)
+    score = scores(np.arange(len(owner)))
     best = np.full(len(y), -np.inf)
     np.maximum.at(best, owner, score)
     slope, shift = calibrated(best, y, *(counts or (n_a, n_b)))
