@@ -156,8 +156,10 @@ def _met(suffixes: DataFrame, *more: str) -> DataFrame:
     """Each suffix beside the earliest of its run, where that lies in another document; ``mixed`` says that the run holds several orders."""
     near = [(F.min("near") < F.max("near")).alias("mixed")] if more else []
     heads = suffixes.groupBy("seed").agg(F.min(F.struct("doc_id", "pos")).alias("head"), F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b"), *near).where("_a < _b")
-    matched = suffixes.join(heads.select("seed", "head", *more), "seed").where("doc_id <> head.doc_id")
-    return matched.select("doc_id", "pos", F.col("head.doc_id").alias("head_doc"), F.col("head.pos").alias("head_pos"), *(["seed", *more] if more else []))
+    # a table of its own, so that both sides of the join are plain shuffles and adaptive execution can split a hot seed
+    heads = save(heads.select("seed", F.col("head.doc_id").alias("head_doc"), F.col("head.pos").alias("head_pos"), *more), "run-heads")
+    matched = suffixes.join(if_small(heads), "seed").where("doc_id <> head_doc")
+    return matched.select("doc_id", "pos", "head_doc", "head_pos", *(["seed", *more] if more else []))
 
 
 def _stretches(matched: DataFrame, gap: int) -> DataFrame:
