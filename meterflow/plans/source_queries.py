@@ -101,6 +101,32 @@ def raw_answers(spark, sf_dir):
     return clean.response_kind(raw_json.read_envelopes(spark, path)).groupBy(F.col("kind").alias("answer")).agg(F.count("*").alias("files"))
 
 
+@query("""WITH l AS (SELECT event_type || '/' || (event_id // 500) || '.txt' AS name, event_id, event_id || ';' || user_id AS line FROM events)
+SELECT name, (sum(length(line) + 1) - 1)::BIGINT AS bytes, count(*) AS lines, min(event_id) AS first, max(event_id) AS last, md5(string_agg(line, chr(10) ORDER BY event_id)) AS body_md5 FROM l GROUP BY 1""")
+def named_files(spark, sf_dir):
+    """Named files by a committed job, after one that fails half-way and must leave nothing: names, sizes and bodies as a reader finds them."""
+    path, page = shared.fresh_path(spark, "named"), F.floor(F.col("event_id") / 500)
+    line = F.concat_ws(";", F.col("event_id").cast("string"), F.col("user_id").cast("string"))
+    rows = table(spark, sf_dir, "events").groupBy(F.concat(F.col("event_type"), F.lit("/"), page.cast("string"), F.lit(".txt")).alias("name"))
+    bodies = rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", line.alias("t")))), lambda x: x["t"]), "\n").alias("body"))
+    spoilt = bodies.withColumn("body", F.when(F.col("name").startswith("view/"), F.raise_error(F.lit("spoilt"))).otherwise(F.col("body")))
+    try:
+        files.write_named(spoilt, path)
+    except Exception as e:  # noqa: BLE001  Spark's own kind of error
+        if "spoilt" not in str(e):
+            raise
+    else:
+        raise AssertionError("the spoilt job has ended well")
+    files.write_named(bodies, path)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    text = F.col("content").cast("string")
+    ids = F.transform(F.split(text, "\n"), lambda x: F.split_part(x, F.lit(";"), F.lit(1)).cast("long"))
+    return found.select(
+        F.regexp_extract("path", "([^/]+/[^/]+)$", 1).alias("name"), F.col("length").alias("bytes"), F.size(ids).cast("long").alias("lines"),
+        F.array_min(ids).alias("first"), F.array_max(ids).alias("last"), F.md5("content").alias("body_md5"),
+    )
+
+
 # paged source --------------------------------------------------------------------------------------
 PAGED = ("view", "signup", "click", "error", "purchase")
 
