@@ -18,10 +18,13 @@ from .. import shared
 from ..functions import scalar as S
 from ..operators import clean, quality, reshape, sequences
 from ..sources import csv_zip, files, raw_json, rest, store
+from ..operators import windows as W
 from ..streaming import cleaner
+from ..streaming import features as stream
 from . import config
-from .panels import DAILY, regional, table
+from .panels import DAILY, HOURLY, hourly, regional, table
 from .registry import query
+from .series_queries import rolled
 
 r6 = lambda c: F.round(c, 6)
 
@@ -428,3 +431,24 @@ def stream_hours(spark, sf_dir):
     stream = cleaner.hourly(cleaner.clean(cleaner.read_files(spark, f"{path}/in", rows.schema, files_per_trigger=1_000_000)))
     cleaner.write(stream, f"{path}/out", f"{path}/state").awaitTermination()
     return spark.read.parquet(f"{path}/out").select("timestamp", "region", "n")
+
+
+ROLLED = {"mean": "avg", "std": "stddev_samp", "min": "min", "max": "max"}
+
+
+@query(f"WITH {HOURLY}, x AS (SELECT region, ts, CASE WHEN epoch(ts)::BIGINT // 3600 % 400 >= 3 THEN v END AS v FROM hourly), f AS (SELECT region, ts, round(v, 6) AS v, "
+    "round(last_value(v IGNORE NULLS) OVER (PARTITION BY region ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS v_filled, "
+    + ", ".join(f"round(lag(v, {k}) OVER (PARTITION BY region ORDER BY ts), 6) AS v_lag_{k}h" for k in W.LAGS) + ", "
+    + ", ".join(f"round({rolled(fn, n)}, {9 if name == 'mean' else 6}) AS v_rolling_{name}_{n}h" for n in W.ROLLS for name, fn in ROLLED.items())
+    + " FROM x) SELECT f.* FROM f, (SELECT max(ts) AS top FROM x) WHERE ts <= top - INTERVAL 1 DAY")
+def stream_features(spark, sf_dir):
+    """Lags, rolling statistics and fills of hours that arrive in two parts, some up to 16 hours late; the second run carries on from the first one's state."""
+    path, hour = shared.fresh_path(spark, "stream"), F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600)
+    rows = shared.save(hourly(spark, sf_dir).select("region", "ts", F.when(hour % 400 >= 3, F.col("v")).alias("v"), (hour + hour % 3 * 8).alias("arrives")), "hours")
+    half = rows.agg(F.avg("arrives")).first()[0] or 0.0
+    for part in (rows.where(F.col("arrives") <= half), rows.where(F.col("arrives") > half)):
+        part.drop("arrives").write.mode("append").parquet(f"{path}/in")
+        hours = cleaner.read_files(spark, f"{path}/in", rows.drop("arrives").schema, files_per_trigger=1_000_000)
+        cleaner.write(stream.add_features(hours, ["v"], ts="ts"), f"{path}/out", f"{path}/state").awaitTermination()
+    out = spark.read.parquet(f"{path}/out")
+    return out.select("region", "ts", *[F.round(c, 9 if "_mean_" in c else 6).alias(c) for c in out.columns if c not in ("region", "ts")])
