@@ -132,33 +132,75 @@ def named_files(spark, sf_dir):
 
 # paged source --------------------------------------------------------------------------------------
 PAGED = ("view", "signup", "click", "error", "purchase")
+PAGE = 200
+RECORDS = "SELECT CASE WHEN event_type IN ('view', 'signup') THEN 'demand' ELSE 'generation' END AS data_type, event_type AS respondent, strftime(ts, '%Y-%m-%dT%H') AS period, round(value, 6) AS value FROM events"
 
 
-@query("SELECT CASE WHEN event_type IN ('view', 'signup') THEN 'demand' ELSE 'generation' END AS data_type, event_type AS respondent, strftime(ts, '%Y-%m-%dT%H') AS period, round(value, 6) AS value FROM events")
-def paged_source(spark, sf_dir):
-    """Recorded pages of both data types; every third page is refused at the first try and every fifth limited."""
-    path, size = shared.fresh_path(spark, "pages"), 200
+def placed(spark, sf_dir) -> DataFrame:
+    """Events with the request they answer to (a region and part of the ids) and their place in it."""
     events = table(spark, sf_dir, "events")
     ends = [-1.0] + [float(x) for x in events.agg(F.percentile_approx("event_id", [0.25, 0.5, 0.75]).alias("q")).first()["q"]] + [float("inf")]
-    # a request per region and part of the ids: places within it come from a window over its rows
     part = F.lit(3)
     for i in (2, 1, 0):
         part = F.when(F.col("event_id") <= ends[i + 1], i).otherwise(part)
-    rows = events.withColumn("part", part)
-    placed = reshape.places(rows, ["event_type", "part"], "event_id").withColumn("page", F.floor(F.col("place") / size))
+    return reshape.places(events.withColumn("part", part), ["event_type", "part"], "event_id")
+
+
+def record_pages(rows: DataFrame, path: str, *refused: tuple[int, int]) -> None:
+    """Write the pages of placed records; ``refused`` (n, status): every n-th page has that status at the first try."""
     record = F.struct(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH").alias("period"), F.col("event_type").alias("respondent"), F.col("value").alias("value"))
-    pages = placed.groupBy("event_type", "part", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", record.alias("r")))), lambda x: x["r"]).alias("data"))
+    numbered = rows.withColumn("page", F.floor(F.col("place") / PAGE))
+    pages = numbered.groupBy("event_type", "part", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", record.alias("r")))), lambda x: x["r"]).alias("data"))
     answer = F.to_json(F.struct(F.struct("data").alias("response")))
-    before = F.when(F.col("page") % 3 == 0, F.lit('{"status": 503}\n')).when(F.col("page") % 5 == 0, F.lit('{"status": 429}\n')).otherwise("")
+    before = F.lit("")
+    for n, status in reversed(refused):
+        before = F.when(F.col("page") % n == 0, F.lit(f'{{"status": {status}}}\n')).otherwise(before)
     endpoint = F.when(load(), rest.ENDPOINTS["demand"].split("/")[-2]).otherwise(rest.ENDPOINTS["generation"].split("/")[-2])
-    name = F.concat(F.concat_ws("_", endpoint, "event_type", F.col("part").cast("string"), (F.col("page") * size).cast("string")), F.lit(".json"))
+    name = F.concat(F.concat_ws("_", endpoint, "event_type", F.col("part").cast("string"), (F.col("page") * PAGE).cast("string")), F.lit(".json"))
     files.write_named(pages.select(name.alias("name"), F.concat(before, answer).alias("body")), path)
+
+
+def paged_options(path: str, **more: str) -> dict[str, str]:
     requests = [{"data_type": "demand" if t in ("view", "signup") else "generation", "regions": [t], "start": str(i), "end": "x"} for t in PAGED for i in range(4)]
-    spark.dataSource.register(rest.PagedSource)
-    got = spark.read.format("paged").option("requests", json.dumps(requests)).option("transport", f"replay:{path}").option("page", str(size)).load()
+    return {"requests": json.dumps(requests), "transport": f"replay:{path}", "page": str(PAGE)} | more
+
+
+def records(got: DataFrame) -> DataFrame:
     return got.select("data_type", "respondent", "period", r6(S.number("value")).alias("value"))
 
 
+@query(RECORDS)
+def paged_source(spark, sf_dir):
+    """Recorded pages of both data types; every third page is refused at the first try and every fifth limited."""
+    path = shared.fresh_path(spark, "pages")
+    record_pages(placed(spark, sf_dir), path, (3, 503), (5, 429))
+    spark.dataSource.register(rest.PagedSource)
+    return records(spark.read.format("paged").options(**paged_options(path)).load())
+
+
+@query(RECORDS)
+def spaced_source(spark, sf_dir):
+    """The same by the second source's rhythm: calls are spaced, every second page is limited at first; the waiting is left out."""
+    path = shared.fresh_path(spark, "pages")
+    record_pages(placed(spark, sf_dir), path, (2, 429))
+    spark.dataSource.register(rest.PagedSource)
+    return records(spark.read.format("paged").options(**paged_options(path, policy="spaced", wait="none")).load())
+
+
+@query(RECORDS)
+def paged_stream(spark, sf_dir):
+    """Pages that grow between two runs of a stream: the second run reads on, every record comes once."""
+    path = shared.fresh_path(spark, "pages")
+    rows = shared.save(placed(spark, sf_dir), "placed")
+    half = (rows.agg(F.max("place")).first()[0] or 0) // 2
+    spark.dataSource.register(rest.PagedSource)
+    for now in (rows.where(F.col("place") <= half), rows):
+        record_pages(now, f"{path}/pages", (3, 503))
+        read = spark.readStream.format("paged").options(**paged_options(f"{path}/pages", pages_per_task="2")).load()
+        cleaner.write(read, f"{path}/out", f"{path}/state").awaitTermination()
+    return records(spark.read.parquet(f"{path}/out"))
+
+
 # zipped CSV ----------------------------------------------------------------------------------------
 def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:

@@ -1,11 +1,18 @@
-"""A paged REST source as a Spark data source: one partition per request.
+"""A paged REST source as a Spark data source, for a batch and for a stream.
 
 ``spark.dataSource.register(PagedSource)`` and then ``spark.read.format("paged")`` with options
-``requests`` (JSON list of requests) and ``transport``. The transport ``replay:<folder>`` answers from
-recorded pages below any address that pyarrow opens (each a line per try, so that failures replay, too);
-``http:<address>`` fetches. Failed tasks are tried again by Spark, single calls by the reader as the
-source's ``policy`` says. All pages of a request are read: ``most`` bounds the records only if it is set,
-and then a longer request fails unless ``on_most`` is ``stop``.
+``requests`` (JSON list of requests) and ``transport``: one partition per request, an Arrow batch per page.
+The transport ``replay:<folder>`` answers from recorded pages below any address that pyarrow opens (each a
+line per try, so that failures replay, too); ``http:<address>`` fetches. Failed tasks are tried again by
+Spark, single calls by the reader as the source's ``policy`` says; ``wait=none`` leaves the waiting out. All
+pages of a request are read: ``most`` bounds the records only if it is set, and then a longer request fails
+unless ``on_most`` is ``stop``.
+
+``spark.readStream.format("paged")`` takes the same options for requests whose records are only ever added
+to, in order of period. An offset is the number of records of each request; the driver asks each request for its
+total alone, and tasks read what lies between two offsets, ``pages_per_task`` pages each, so that a restart
+reads from where the last committed batch ended and every record comes once. A request that has become
+shorter fails the stream.
 """
 
 from __future__ import annotations
@@ -16,9 +23,12 @@ import urllib.parse
 import urllib.request
 from collections import Counter
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+import pyarrow as pa
+import pyarrow.fs
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from .files import open_path
 
@@ -109,64 +119,180 @@ def page_name(endpoint: str, regions: str, start: str, offset: str | int) -> str
     return f"{endpoint.split('/')[-2]}_{regions}_{start}_{offset}.json"
 
 
-def transport(spec: str, endpoint: str) -> Callable[[dict], dict]:
+class Replay:
+    """Recorded pages of ``page`` records; a call may ask for a part of one page."""
+
+    def __init__(self, where: str, endpoint: str, page: int):
+        self.fs, self.top = open_path(where)
+        self.endpoint, self.page, self.tried = endpoint, page, Counter()
+
+    def _name(self, params: dict, offset: int | str) -> str:
+        regions = [v for k, v in sorted(params.items()) if k.startswith("facets[respondent]")]
+        return page_name(self.endpoint, "-".join(regions), params["start"], offset)
+
+    def __call__(self, params: dict) -> dict:
+        offset, length = int(params["offset"]), int(params["length"])
+        first = offset // self.page * self.page
+        name = f"{self.top}/{self._name(params, first)}"
+        try:
+            with self.fs.open_input_stream(name) as file:
+                answers = file.read().decode().splitlines()
+        except FileNotFoundError:
+            return {"response": {"data": []}}
+        answer = json.loads(answers[min(self.tried[name], len(answers) - 1)])  # a line for each try
+        self.tried[name] += 1
+        if "status" in answer:
+            raise Refused(answer["status"])
+        rows = answer["response"]["data"][offset - first : offset - first + length]
+        return {"response": answer["response"] | {"data": rows}}
+
+    def total(self, params: dict) -> int:
+        """Records of a request, from its last page."""
+        begin, end = self._name(params, "").removesuffix(".json"), ".json"
+        found = [x.base_name for x in self.fs.get_file_info(pyarrow.fs.FileSelector(self.top, allow_not_found=True))]
+        offsets = [int(n) for x in found if x.startswith(begin) and x.endswith(end) and (n := x[len(begin) : -len(end)]).isdigit()]
+        if not offsets:
+            return 0
+        with self.fs.open_input_stream(f"{self.top}/{self._name(params, max(offsets))}") as file:
+            return max(offsets) + len(json.loads(file.read().decode().splitlines()[-1])["response"]["data"])
+
+
+class Http:
+    def __init__(self, where: str, endpoint: str):
+        self.address = f"{where}/{endpoint}"
+
+    def __call__(self, params: dict) -> dict:
+        with urllib.request.urlopen(f"{self.address}?{urllib.parse.urlencode(params)}", timeout=30) as answer:  # noqa: S310
+            found = json.load(answer)
+        if "response" not in found:
+            raise ValueError("the answer has no response")
+        return found
+
+    def total(self, params: dict) -> int:
+        """Records of a request, as the source counts them."""
+        return int(self(params | {"offset": "0", "length": "1"})["response"]["total"])
+
+
+def transport(spec: str, endpoint: str, page: int = PAGE) -> Replay | Http:
     kind, _, where = spec.partition(":")
     if kind == "replay":
-        fs, top = open_path(where)
-        tried: Counter = Counter()
-
-        def replay(params: dict) -> dict:
-            regions = [v for k, v in sorted(params.items()) if k.startswith("facets[respondent]")]
-            name = f"{top}/{page_name(endpoint, '-'.join(regions), params['start'], params['offset'])}"
-            try:
-                with fs.open_input_stream(name) as file:
-                    answers = file.read().decode().splitlines()
-            except FileNotFoundError:
-                return {"response": {"data": []}}
-            answer = json.loads(answers[min(tried[name], len(answers) - 1)])  # a line for each try
-            tried[name] += 1
-            if "status" in answer:
-                raise Refused(answer["status"])
-            return answer
-
-        return replay
+        return Replay(where, endpoint, page)
     if kind == "http":
-        def http(params: dict) -> dict:
-            address = f"{where}/{endpoint}?{urllib.parse.urlencode(params)}"
-            with urllib.request.urlopen(address, timeout=30) as answer:  # noqa: S310
-                found = json.load(answer)
-            if "response" not in found:
-                raise ValueError("the answer has no response")
-            return found
-
-        return http
+        return Http(where, endpoint)
     raise ValueError(f"unknown transport {kind}")
 
 
+#: Columns of a record and their names at the source.
+FIELDS = {"period": "period", "respondent": "respondent", "fueltype": "fueltype", "type_name": "type-name", "value": "value", "value_units": "value-units"}
+
+
+def as_batch(data_type: str, rows: list[dict]) -> pa.RecordBatch:
+    """One page as an Arrow batch of text columns."""
+    text = lambda x: None if x is None else x if isinstance(x, str) else str(x)
+    columns = [pa.array([data_type] * len(rows), pa.string())]
+    columns += [pa.array([text(r.get(k)) for r in rows], pa.string()) for k in FIELDS.values()]
+    return pa.RecordBatch.from_arrays(columns, ["data_type", *FIELDS])
+
+
 class Request(InputPartition):
     def __init__(self, value: dict):
         super().__init__(value)
 
 
-class PagedReader(DataSourceReader):
+class Calls:
+    """The options of a source, and calls as its policy says."""
+
     def __init__(self, options: dict):
         self.requests = json.loads(options["requests"])
         self.spec = options["transport"]
         self.page = int(options.get("page", PAGE))
+        self.policy = POLICIES[options.get("policy", "pooled")]
+        self.sleep = {"sleep": time.sleep, "none": _no_wait}[options.get("wait", "sleep")]
+
+    def of(self, request: dict) -> tuple[Replay | Http, dict]:
+        """The transport of a request and its parameters."""
+        found = transport(self.spec, ENDPOINTS[request["data_type"]], self.page)
+        return found, parameters(request["data_type"], request["regions"], request["start"], request["end"])
+
+    def retried(self, call: Callable[[], dict]) -> dict:
+        return retried(call, self.policy, self.sleep)
+
+
+def _no_wait(seconds: float) -> None:
+    pass
+
+
+class PagedReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.calls = Calls(options)
         self.most = int(options["most"]) if options.get("most") else None
         self.on_most = options.get("on_most", "fail")
-        self.policy = POLICIES[options.get("policy", "pooled")]
 
     def partitions(self) -> list[Request]:
-        return [Request(r) for r in self.requests]
+        return [Request(r) for r in self.calls.requests]
+
+    def read(self, partition: Request) -> Iterator[pa.RecordBatch]:
+        fetch, params = self.calls.of(partition.value)
+        for rows in pages(lambda p: self.calls.retried(lambda: fetch(p)), params, self.most, self.calls.page, self.on_most):
+            yield as_batch(partition.value["data_type"], rows)
 
-    def read(self, partition: Request) -> Iterator[tuple]:
-        r = partition.value
-        fetch = transport(self.spec, ENDPOINTS[r["data_type"]])
-        params = parameters(r["data_type"], r["regions"], r["start"], r["end"])
-        for rows in pages(lambda p: retried(lambda: fetch(p), self.policy), params, self.most, self.page, self.on_most):
-            for x in rows:
-                yield (r["data_type"], x.get("period"), x.get("respondent"), x.get("fueltype"), x.get("type-name"), None if x.get("value") is None else str(x["value"]), x.get("value-units"))
+
+class Shrunk(RuntimeError):
+    """A request has fewer records than were read from it."""
+
+
+class PagedStreamReader(DataSourceStreamReader):
+    """Offsets: records of each request, by its JSON text."""
+
+    def __init__(self, options: dict):
+        self.calls = Calls(options)
+        self.pages_per_task = int(options.get("pages_per_task", 20))
+
+    def initialOffset(self) -> dict:
+        return {}
+
+    def latestOffset(self) -> dict:
+        def total(request: dict) -> int:
+            fetch, params = self.calls.of(request)
+            return self.calls.retried(lambda: fetch.total(params))
+
+        with ThreadPoolExecutor(8) as pool:
+            return {_key(r): n for r, n in zip(self.calls.requests, pool.map(total, self.calls.requests))}
+
+    def partitions(self, start: dict, end: dict) -> list[Request]:
+        out, step = [], self.calls.page * self.pages_per_task
+        for request in self.calls.requests:
+            at, last = start.get(_key(request), 0), end.get(_key(request), 0)
+            if last < at:
+                raise Shrunk(f"{request}: {at} records were read, now there are {last}")
+            while at < last:
+                till = min(last, at // step * step + step)
+                out.append(Request(request | {"from": at, "to": till}))
+                at = till
+        return out
+
+    def read(self, partition: Request) -> Iterator[pa.RecordBatch]:
+        request = partition.value
+        fetch, params = self.calls.of(request)
+        at, last, page = request["from"], request["to"], self.calls.page
+        while at < last:
+            n = min(last, at // page * page + page) - at
+            asked = params | {"offset": str(at), "length": str(n)}
+            rows = self.calls.retried(lambda: fetch(asked))["response"]["data"]  # noqa: B023
+            if len(rows) != n:
+                raise Shrunk(f"{request}: {len(rows)} of {n} records from {at} on")
+            yield as_batch(request["data_type"], rows)
+            at += n
+
+    def commit(self, end: dict) -> None:
+        pass
+
+    def stop(self) -> None:
+        pass
+
+
+def _key(request: dict) -> str:
+    return json.dumps(request, sort_keys=True)
 
 
 class PagedSource(DataSource):
@@ -175,7 +301,10 @@ class PagedSource(DataSource):
         return "paged"
 
     def schema(self) -> str:
-        return "data_type string, period string, respondent string, fueltype string, type_name string, value string, value_units string"
+        return "data_type string, " + ", ".join(f"{c} string" for c in FIELDS)
 
     def reader(self, schema) -> PagedReader:
         return PagedReader(self.options)
+
+    def streamReader(self, schema) -> PagedStreamReader:
+        return PagedStreamReader(self.options)

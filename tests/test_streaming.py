@@ -119,3 +119,48 @@ def test_rolled_is_the_plain_window(n):
         else:
             assert np.allclose(got[[0, 2, 3], i - 40], [w.mean(), w.min(), w.max()]) and (n == 1) == np.isnan(got[1, i - 40])
             assert n == 1 or np.isclose(got[1, i - 40], w.std(ddof=1))
+
+
+def recorded(folder, n, page=10):
+    import json
+
+    for at in range(0, n, page):
+        data = [{"period": f"2024-01-01T{k:03d}", "respondent": "A", "value": k} for k in range(at, min(n, at + page))]
+        (folder / f"region-data_A_s_{at}.json").write_text('{"status": 429}\n' + json.dumps({"response": {"data": data}}))
+
+
+def test_a_restart_of_paging_reads_new_pages_only(spark, tmp_path):
+    import json
+
+    from meterflow.sources import rest
+
+    pages = tmp_path / "pages"
+    pages.mkdir()
+    spark.dataSource.register(rest.PagedSource)
+    requests = json.dumps([{"data_type": "demand", "regions": [r], "start": "s", "end": "e"} for r in ("A", "none")])
+    options = {"requests": requests, "transport": f"replay:{pages}", "page": "10", "pages_per_task": "2", "wait": "none"}
+    seen = []
+    for n in (0, 25, 25, 61):
+        recorded(pages, n)
+        if n == 61:  # what was read once is not asked for again
+            for at in (0, 10):
+                (pages / f"region-data_A_s_{at}.json").write_text("gone")
+        stream = spark.readStream.format("paged").options(**options).load()
+        cleaner.write(stream, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination(300)
+        got = spark.read.schema(stream.schema).parquet(f"{tmp_path}/out") if (tmp_path / "out").exists() else None
+        seen.append(sorted(int(r["value"]) for r in got.collect()) if got else [])
+    assert seen == [[], list(range(25)), list(range(25)), list(range(61))]
+
+
+def test_partitions_of_a_paged_stream():
+    import json
+
+    from meterflow.sources import rest
+
+    reader = rest.PagedStreamReader({"requests": json.dumps([{"data_type": "demand", "regions": ["A"], "start": "s", "end": "e"}]), "transport": "replay:/nowhere", "page": "10", "pages_per_task": "3"})
+    key = rest._key(reader.calls.requests[0])
+    spans = [(p.value["from"], p.value["to"]) for p in reader.partitions({key: 7}, {key: 95})]
+    assert spans == [(7, 30), (30, 60), (60, 90), (90, 95)]
+    assert reader.partitions({key: 7}, {key: 7}) == [] and reader.latestOffset() == {key: 0}
+    with pytest.raises(rest.Shrunk):
+        reader.partitions({key: 7}, {key: 5})
