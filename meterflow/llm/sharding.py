@@ -17,7 +17,9 @@ deletes what is about to be committed; a lease of a writer that died ends after
 
 Every shard's schema stands in the manifest. Arrivals may differ in their columns: a column that a shard
 lacks is NULL there, numbers widen, and compaction keeps all columns. An arrival whose column has a type
-that cannot be merged is refused before anything is written.
+that cannot be merged is refused: before anything is written where the dataset has that column already, and
+in the commit itself where another writer has brought it meanwhile (what was written is deleted again). Names
+are compared by the session's rule for their case.
 
 Defined results: rows are kept as they are (NULLs, empty or very long texts, repeated rows, extra
 columns, whatever their names); an empty arrival commits no shard; reading a dataset without shards needs
@@ -156,21 +158,31 @@ class TieredDataset:
 
     def append(self, df: DataFrame) -> int:
         """Write one arrival as an immutable shard and commit it; returns the version."""
-        before = self.manifest()[1]
-        if before:
-            try:
-                self._together([*self._schemas(before), df.schema])
-            except AnalysisException as e:
-                raise SchemaConflict(str(e)) from e
+        self._check(self.manifest()[1], df.schema)
         shard = self._write(df)
+
+        def add(v: int, shards: list[Shard]) -> list[Shard]:
+            self._check(shards, df.schema)  # another writer may have brought a column meanwhile
+            return [*shards, self._born(shard, v)]
+
         try:
             if not shard.rows:
                 self._fs.delete(self._path(f"shards/{shard.name}"), True)
                 return self.manifest()[0]
-            return self._publish(lambda v, shards: [*shards, self._born(shard, v)])
+            return self._publish(add)
+        except SchemaConflict:
+            self._fs.delete(self._path(f"shards/{shard.name}"), True)
+            raise
         finally:
             self._release(shard)
 
+    def _check(self, shards: list[Shard], schema: StructType) -> None:
+        """SchemaConflict where ``schema`` cannot be read together with the shards'."""
+        try:
+            self._together([*self._schemas(shards), schema])
+        except AnalysisException as e:
+            raise SchemaConflict(str(e)) from e
+
     def tier(self, shard: Shard) -> int:
         return int(math.log(max(shard.bytes, 1), self.ratio))
 
@@ -233,10 +245,11 @@ class TieredDataset:
     def _together(self, schemas: list[StructType]) -> StructType:
         """All columns of some schemas, each wide enough; AnalysisException where there is no such type."""
         out = self.spark.createDataFrame([], schemas[0])
+        fold = str if self.spark.conf.get("spark.sql.caseSensitive") == "true" else str.lower  # as a union matches names
         for schema in schemas[1:]:
-            mine = {f.name: f.dataType for f in out.schema.fields}
+            mine = {fold(f.name): f.dataType for f in out.schema.fields}
             for f in schema.fields:
-                held = mine.get(f.name)
+                held = mine.get(fold(f.name))
                 if held is not None and held != f.dataType and "string" in (held.simpleString(), f.dataType.simpleString()):
                     raise AnalysisException(f"column {f.name} is {held.simpleString()} here and {f.dataType.simpleString()} there")
             out = out.unionByName(self.spark.createDataFrame([], schema), allowMissingColumns=True)

@@ -235,6 +235,44 @@ def test_commit_conflicts(spark, odd_docs, tmp_path):
     assert sharding.TieredDataset(spark, str(tmp_path / "e")).read(schema=odd_docs.schema).count() == 0
 
 
+def test_a_type_that_another_writer_brings_meanwhile_is_refused(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "two")
+    first, second = sharding.TieredDataset(spark, path), sharding.TieredDataset(spark, path)
+    a, b = spark.createDataFrame([(1, 2)], "k int, x int"), spark.createDataFrame([(2, "s")], "k int, x string")
+    write = second._write
+
+    def late(df):  # the other writer commits after the check before the write
+        out = write(df)
+        first.append(a)
+        return out
+
+    monkeypatch.setattr(second, "_write", late)
+    with pytest.raises(sharding.SchemaConflict):
+        second.append(b)
+    assert first.versions() == [1] and [r["x"] for r in first.read().collect()] == [2]
+    assert len(list((tmp_path / "two/shards").iterdir())) == 1 and not list((tmp_path / "two/leases").glob("[!.]*"))
+    for _ in range(4):
+        first.append(a)
+    assert first.compact() > 5 and first.read().count() == 5
+
+
+def test_names_are_compared_by_the_sessions_case(spark, tmp_path):
+    data = sharding.TieredDataset(spark, str(tmp_path / "case"))
+    data.append(spark.createDataFrame([(1,)], "A int"))
+    with pytest.raises(sharding.SchemaConflict):
+        data.append(spark.createDataFrame([("s",)], "a string"))
+    data.append(spark.createDataFrame([(2,)], "a int"))
+    assert sorted(r["A"] for r in data.read().collect()) == [1, 2]
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        two = sharding.TieredDataset(spark, str(tmp_path / "both"))
+        two.append(spark.createDataFrame([(1,)], "A int"))
+        two.append(spark.createDataFrame([("s",)], "a string"))
+        assert sorted((r["A"], r["a"]) for r in two.read().collect() if r["A"]) == [(1, None)]
+    finally:
+        spark.conf.set("spark.sql.caseSensitive", "false")
+
+
 def test_sharding_query_equals_sql(spark, sf_dir):
     got = queries.op5_tiered_sharding(spark, sf_dir).toPandas().sort_values("doc_id").reset_index(drop=True)
     duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
