@@ -72,18 +72,21 @@ def with_features(
         out = {f"{fuel}_ramp_rate": W.ramp(x, w) for fuel, x in fuels.items()}
         if c:
             out |= {
-                "demand_growth_1h": W.growth(c, 1, w), "demand_growth_24h": W.growth(c, 24, w), "demand_zscore_168h": W.rolling_zscore(c, 168, w),
-                "is_daily_peak": W.is_peak(c, 24, w), "is_weekly_peak": W.is_peak(c, 168, w),
+                "demand_growth_1h": W.growth(c, 1, w), "demand_growth_24h": W.growth(c, 24, w),
+                "demand_zscore_168h": S.ratio(F.col(c) - W.laddered(c, "mean", 168), W.laddered(c, "std", 168)),
+                "is_daily_peak": F.col(c) == W.laddered(c, "max", 24), "is_weekly_peak": F.col(c) == W.laddered(c, "max", 168),
             }
-        return out | W.lag_columns(lags, W.LAGS, w) | W.rolling_columns(rolling, W.ROLLS, w)
+        return out | W.lag_columns(lags, W.LAGS, w) | W.rolling_columns(rolling, W.ROLLS)
 
     back = max(1, 167 if c or rolling else 0, max(W.LAGS) if lags else 0)
+    long = list(dict.fromkeys([*([c] if c else []), *rolling]))
+    steps = W.ladder_steps(long, W.ROLLS) if long else ()
     out = df.select("*", *[v.alias(k) for k, v in plain.items()])
     if fuels:
         out = W.shares_of_max(out, {f"{fuel}_capacity_factor": x for fuel, x in fuels.items()}, region)
     if fuels or c or lags or rolling:
-        out = W.over_rows(out, new, back, region=region, ts=ts, **blocks)
-    names += [*W.lag_columns(lags, W.LAGS, W.series(region, ts)), *W.rolling_columns(rolling, W.ROLLS, W.series(region, ts))]
+        out = W.over_rows(out, new, back, region=region, ts=ts, steps=steps, **blocks)
+    names += [*W.lag_columns(lags, W.LAGS, W.series(region, ts)), *W.rolling_columns(rolling, W.ROLLS)]
     return out.select(*kept, *names)
 
 

@@ -67,27 +67,32 @@ def numbered(df: DataFrame, region: str | Sequence[str] = "region", ts: str = "t
 
 
 def over_places(
-    placed: DataFrame, new: Callable[[WindowSpec], dict[str, Column]], back: int, ahead: int = 0, region: str | Sequence[str] = "region", block_rows: int = BLOCK_ROWS
-) -> DataFrame:
+    placed: DataFrame, new: Callable[[WindowSpec], dict[str, Column]], back: int, ahead: int = 0, region: str | Sequence[str] = "region", block_rows: int = BLOCK_ROWS,
+    steps: Sequence[Callable[[WindowSpec], dict[str, Column]]] = (),
+) -> DataFrame:
     """``over_rows`` for rows that ``numbered`` has placed; the place stays."""
     r = F.col("_w_row")
     blocks = F.sequence(F.greatest(F.lit(0).cast("long"), F.floor((r - ahead) / block_rows)), F.floor((r + back) / block_rows))
     spread = placed.withColumn("_w_own", F.floor(r / block_rows)).withColumn("_w_block", F.explode(blocks))
     w = Window.partitionBy(*_keys(region), "_w_block").orderBy("_w_row")
-    out = spread.select("*", *[c.alias(name) for name, c in new(w).items()])
-    return out.where("_w_own = _w_block").drop("_w_own", "_w_block")
+    out = spread
+    for step in steps:
+        out = out.select("*", *[c.alias(name) for name, c in step(w).items()])
+    out = out.select("*", *[c.alias(name) for name, c in new(w).items()]).where("_w_own = _w_block")
+    return out.drop("_w_own", "_w_block", *[c for c in out.columns if c.startswith("_w_of_")])
 
 
 def over_rows(
     df: DataFrame, new: Callable[[WindowSpec], dict[str, Column]], back: int, ahead: int = 0, region: str | Sequence[str] = "region", ts: str = "timestamp",
-    block_rows: int = BLOCK_ROWS, chunk_hours: float = CHUNK_HOURS,
+    block_rows: int = BLOCK_ROWS, chunk_hours: float = CHUNK_HOURS, steps: Sequence[Callable[[WindowSpec], dict[str, Column]]] = (),
 ) -> DataFrame:
     """``df`` with the columns that ``new(w)`` names, for frames of up to ``back`` rows before and ``ahead`` after a row.
 
-    The result is that of one window per series: every block holds the halo that its frames look at.
+    The result is that of one window per series: every block holds the halo that its frames look at. ``steps``
+    come first, each on the columns of those before it; what they name with ``_w_of_`` is dropped at the end.
     """
     placed = numbered(df, region, ts, chunk_hours)
-    return over_places(placed, new, back, ahead, region, block_rows).drop("_w_row", "_w_rows")
+    return over_places(placed, new, back, ahead, region, block_rows, steps).drop("_w_row", "_w_rows")
 
 
 # row frames ----------------------------------------------------------------------------------------
@@ -100,12 +105,71 @@ def full(value: Column, fn, w, n: int) -> Column:
 STATISTICS = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
 
 
+def ladder(windows: Sequence[int]) -> list[tuple[int, int, int]]:
+    """(size, a, b) with size = a + b: how windows are put together from shorter ones, beginning with single rows."""
+    have, out = [1], []
+    for n in sorted({*windows} - {1}):
+        now = have[-1]
+        while now < n:
+            more = max(h for h in have if h <= n - now)
+            out.append((now + more, now, more))
+            now += more
+            have.append(now)
+    return out
+
+
+def _of(c: str, n: int) -> str:
+    return f"_w_of_{n}_{c}"
+
+
+def ladder_steps(columns: Sequence[str], windows: Sequence[int]) -> list[Callable[[WindowSpec], dict[str, Column]]]:
+    """Steps for ``over_rows`` that give every window's statistics by a lag a rung, so that time grows with the number of rungs.
+
+    A frame of n rows costs Spark n updates for each row and aggregate, min and max most of all. Here the last ``a + b`` rows
+    of a row are its last ``a`` and the ``b`` before them, which the row ``a`` places earlier has: sums are added, squares
+    merged about both means, extremes compared. NULL where a value is missing, as ``full``.
+    """
+
+    def single(w: WindowSpec) -> dict[str, Column]:
+        one = lambda v: F.struct(v.cast("double").alias("s"), F.lit(0.0).alias("q"), v.alias("lo"), v.alias("hi"))
+        return {_of(c, 1): F.when(F.col(c).isNotNull(), one(F.col(c))) for c in columns}
+
+    def rung(a: int, b: int) -> tuple[Callable, Callable]:
+        def earlier(w: WindowSpec) -> dict[str, Column]:
+            return {f"_w_of_back_{c}_{a}_{b}": F.lag(_of(c, b), a).over(w) for c in columns}
+
+        def together(w: WindowSpec) -> dict[str, Column]:
+            out = {}
+            for c in columns:
+                x, y = F.col(_of(c, a)), F.col(f"_w_of_back_{c}_{a}_{b}")
+                apart = y["s"] / b - x["s"] / a
+                both = F.struct(
+                    (x["s"] + y["s"]).alias("s"), (x["q"] + y["q"] + apart * apart * (a * b / (a + b))).alias("q"),
+                    F.least(x["lo"], y["lo"]).alias("lo"), F.greatest(x["hi"], y["hi"]).alias("hi"),
+                )
+                out[_of(c, a + b)] = F.when(x.isNotNull() & y.isNotNull(), both)
+            return out
+
+        return earlier, together
+
+    return [single, *[step for _, a, b in ladder(windows) for step in rung(a, b)]]
+
+
+def laddered(c: str, statistic: str, n: int) -> Column:
+    """A statistic of the last n rows, from the rungs of ``ladder_steps``."""
+    x = F.col(_of(c, n))
+    if statistic == "std":
+        return F.sqrt(x["q"] / (n - 1)) if n > 1 else F.lit(None).cast("double")
+    return {"mean": x["s"] / n, "min": x["lo"], "max": x["hi"]}[statistic]
+
+
 def lag_columns(columns: Sequence[str], lags: Sequence[int], w) -> dict[str, Column]:
     return {f"{c}_lag_{k}h": F.lag(c, k).over(w) for c in columns for k in lags}
 
 
-def rolling_columns(columns: Sequence[str], windows: Sequence[int], w) -> dict[str, Column]:
-    return {f"{c}_rolling_{name}_{n}h": full(F.col(c), fn, w, n) for c in columns for n in windows for name, fn in STATISTICS.items()}
+def rolling_columns(columns: Sequence[str], windows: Sequence[int]) -> dict[str, Column]:
+    """From the rungs of ``ladder_steps``."""
+    return {f"{c}_rolling_{name}_{n}h": laddered(c, name, n) for c in columns for n in windows for name in STATISTICS}
 
 
 def add_lags(df: DataFrame, columns: Sequence[str], lags: Sequence[int] = LAGS, region: str = "region", ts: str = "timestamp", **blocks) -> DataFrame:
@@ -116,7 +180,7 @@ def add_lags(df: DataFrame, columns: Sequence[str], lags: Sequence[int] = LAGS,
 
 def add_rolling(df: DataFrame, columns: Sequence[str], windows: Sequence[int] = ROLLS, region: str = "region", ts: str = "timestamp", **blocks) -> DataFrame:
     there = [c for c in columns if c in df.columns]
-    return over_rows(df, lambda w: rolling_columns(there, windows, w), max(windows) - 1, region=region, ts=ts, **blocks)
+    return over_rows(df, lambda w: rolling_columns(there, windows), max(windows) - 1, region=region, ts=ts, steps=ladder_steps(there, windows), **blocks)
 
 
 def ramp(c: str, w) -> Column:

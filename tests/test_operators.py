@@ -474,3 +474,29 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_date_batches_lose_no_hour(spark):
     out = raw_json.date_batches(spark, "2024-01-01", "2024-01-10", 4).orderBy("from_date").collect()
     assert [(r["from_date"].day, r["to_date"].day) for r in out] == [(1, 5), (5, 9), (9, 11)]
+
+
+def test_rungs_of_a_ladder_add_up():
+    for windows in (W.ROLLS, (1,), (2,), (7, 5), (168,), (24, 1000)):
+        have = {1}
+        for n, a, b in W.ladder(windows):
+            assert n == a + b and {a, b} <= have
+            have.add(n)
+        assert set(windows) <= have
+    assert len(W.ladder((168,))) <= 10 and len(W.ladder(W.ROLLS)) <= 10
+
+
+def test_ladder_equals_plain_frames(spark):
+    i = F.col("id")
+    v = F.when(i % 61 == 17, None).otherwise(F.sin(i * 7.3) * 1000 + 1e6)
+    df = spark.range(3000).select((i % 3).cast("string").alias("region"), (F.lit(dt.datetime(2024, 1, 1)) + F.make_dt_interval(hours=i)).cast("timestamp_ntz").alias("timestamp"), v.alias("v"), (i * 37 % 101).cast("int").alias("k"))
+    windows = (1, 2, 5, 24, 50)
+    got = W.add_rolling(df, ["v", "k"], windows, block_rows=70, chunk_hours=100)
+    w = W.series()
+    names = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    want = df.select("*", *[W.full(F.col(c), fn, w, n).alias(f"{c}_rolling_{s}_{n}h") for c in ("v", "k") for n in windows for s, fn in names.items()])
+    assert got.columns == want.columns and got.schema["k_rolling_min_5h"].dataType == want.schema["k_rolling_min_5h"].dataType
+    for a, b in zip(got.orderBy("timestamp").collect(), want.orderBy("timestamp").collect(), strict=True):
+        for c in got.columns:
+            x, y = a[c], b[c]
+            assert (x is None) == (y is None) and (x == y or abs(x - y) <= 1e-7 * max(1.0, abs(y))), (c, x, y)

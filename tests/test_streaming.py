@@ -38,7 +38,7 @@ def test_features_of_late_rows_and_restarts_equal_the_batch(spark, tmp_path):
         cleaner.write(out, f"{path}/out", f"{path}/state").awaitTermination(300)
     top = max(x[2] for x in rows) - dt.timedelta(hours=20)
     df = spark.createDataFrame(rows, SCHEMA)
-    want = W.over_rows(df, lambda w: W.lag_columns(["v", "u"], lags, w) | W.rolling_columns(["v", "u"], rolls, w), 168, region=["region", "place"])
+    want = W.over_rows(df, lambda w: W.lag_columns(["v", "u"], lags, w) | W.rolling_columns(["v", "u"], rolls), 168, region=["region", "place"], steps=W.ladder_steps(["v", "u"], rolls))
     fills = W.fill_forward(df, ["v", "u"], ["region", "place"]).withColumnsRenamed({"v": "v_filled", "u": "u_filled"}).drop("region")
     want = want.join(fills, ["place", "timestamp"]).where(F.col("timestamp") <= F.lit(top))
     got = spark.read.parquet(f"{path}/out")
