@@ -1,4 +1,10 @@
-"""Zipped CSV answers of the second source: unzipped and split in tasks, typed by name with Spark's expressions."""
+"""Zipped CSV answers of the second source: unzipped and cut into records in tasks, split and typed by Spark.
+
+A task reads a member in blocks of ``BLOCK`` bytes and cuts it where a line ends outside quotes, on whole arrays; no
+member is held as a whole and no line is a Python object. The records go to Spark as they stand, where expressions
+split them and take the fields by the place that the file's own header gives each column. Quotes come in pairs, doubled inside a quoted
+field (RFC 4180); lines end with LF or CR LF; blank lines are no records; bytes that are no UTF-8 are replaced.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +13,7 @@ import io
 import zipfile
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,40 +22,104 @@ from ..functions import scalar as S
 from ..operators.windows import fill_forward
 from ..schemas import GOOD_SHARES
 
+#: Bytes of a member that a task takes at a time, and the longest record.
+BLOCK, LONGEST = 1 << 20, 64 << 20
+#: A field behind its comma: quoted, with doubled quotes inside, or up to the next comma.
+FIELD = r',\s*("[^"]*+(?:""[^"]*+)*+"|[^,]*)'
+#: Files whose compressed bytes a task holds at a time.
+BATCH_FILES = 8
+BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+OUT = "path string, header array<string>, record string, error string"
+
+
+class BadCsv(ValueError):
+    """A quoted field without an end."""
+
+
+def cut(stream) -> Iterator[pa.Array]:
+    """The records of a CSV stream, a string array a block; a line end inside quotes ends no record."""
+    held = b""
+    while True:
+        block = stream.read(BLOCK)
+        data = held + block
+        if not data:
+            return
+        b = np.frombuffer(data, np.uint8)
+        line = b == 10
+        ends = np.flatnonzero(line & (np.cumsum(b == 34) % 2 == 0))
+        if not block and (not len(ends) or ends[-1] != len(b) - 1):
+            ends = np.r_[ends, len(b)]  # the last line has no end
+        if not len(ends):
+            if len(data) > LONGEST:
+                raise BadCsv(f"a record of more than {LONGEST} bytes")
+            held = data
+            continue
+        inside = np.ones(ends[-1], bool)  # without the ends of records, and what stands before them as CR
+        inside[ends[:-1]] = False
+        before = ends[ends > 0] - 1
+        inside[before[b[before] == 13]] = False
+        starts = np.r_[0, ends[:-1] + 1]
+        kept = np.r_[0, np.cumsum(inside)]
+        yield _strings(b[: ends[-1]][inside], np.r_[kept[starts], kept[-1]])
+        held = data[ends[-1] + 1 :]
+
+
+def _strings(body: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    out = pa.Array.from_buffers(pa.string(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(body.tobytes())])
+    try:
+        out.validate(full=True)
+    except pa.ArrowInvalid:
+        out = pa.array([x.decode("utf-8", "replace") for x in out.cast(pa.binary()).to_pylist()], pa.string())
+    return out
+
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _opened(content: bytes) -> tuple[io.BufferedIOBase | None, str | None]:
+    """The first CSV member as a stream, or what an answer without one says."""
+    if content[:2] != b"PK":
+        stream = io.BytesIO(content)
+    else:
+        try:
+            z = zipfile.ZipFile(io.BytesIO(content))
+            names = z.namelist()
+            csvs = [n for n in names if n.lower().endswith(".csv")]
+            if not csvs:
+                return None, z.read(names[0]).decode("utf-8", "replace") if names else "empty archive"
+            stream = io.BufferedReader(z.open(csvs[0]), BLOCK)
+        except zipfile.BadZipFile as e:
+            return None, str(e)
+    if (stream.getvalue()[:100] if isinstance(stream, io.BytesIO) else stream.peek(100)[:100]).lstrip()[:1] == b"<":
+        return None, stream.read().decode("utf-8", "replace")
+    return stream, None
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    columns = ["path", "header", "record", "error"]
     for batch in batches:
-        for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            error, text = None, ""
-            if content[:2] == b"PK":
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        names = z.namelist()
-                        csvs = [n for n in names if n.lower().endswith(".csv")]
-                        if csvs:
-                            text = z.read(csvs[0]).decode("utf-8", "replace")
-                        else:
-                            error = z.read(names[0]).decode("utf-8", "replace") if names else "empty archive"
-                except zipfile.BadZipFile as e:
-                    error = str(e)
-            else:
-                text = content.decode("utf-8", "replace")
-            if text.lstrip().startswith("<"):
-                error, text = text, ""
-            lines = csv.reader((x for x in text.splitlines() if x.strip()), skipinitialspace=True)
-            header, body = next(lines, None), list(lines)
-            for start in range(0, max(1, len(body)), 10_000):
-                part = body[start : start + 10_000] or [None]
-                n = len(part)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([path] * n), pa.array([header] * n, pa.list_(pa.string())), pa.array(part, pa.list_(pa.string())), pa.array([error] * n, pa.string())], ["path", "header", "cells", "error"]
-                )
+        for k in range(batch.num_rows):
+            path = batch.column(0)[k].as_py()
+            stream, error = _opened(batch.column(1)[k].as_py())
+            header = None
+            for records in cut(stream) if stream else ():
+                if header is None:
+                    texts = records.to_pylist()
+                    first = next((i for i, t in enumerate(texts) if t.strip(" \t\ufeff")), None)
+                    if first is None:
+                        continue
+                    header = [c.strip() for c in next(csv.reader([texts[first].lstrip("\ufeff")], skipinitialspace=True))]
+                    records = records.slice(first + 1)
+                n = len(records)
+                names = pa.array([header], pa.list_(pa.string())).take(pa.array(np.zeros(n, np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array([path]).take(pa.array(np.zeros(n, np.int32))), names, records, pa.nulls(n, pa.string())], columns)
+            if error is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.nulls(1, pa.list_(pa.string())), pa.nulls(1, pa.string()), pa.array([error])], columns)
 
 
 def read_zipped_csv(spark: SparkSession, path: str, glob: str = "*.zip") -> DataFrame:
-    """(path, header, cells, error): the first CSV member's lines, split; XML answers are errors, with their text."""
+    """(path, header, record, error): the records of each file's first CSV member below its header; XML answers are errors, with their text."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path).select("path", "content")
-    return files.mapInArrow(_lines, "path string, header array<string>, cells array<string>, error string")
+    if not 0 < int(spark.conf.get(BATCH_KEY)) <= BATCH_FILES:
+        spark.conf.set(BATCH_KEY, str(BATCH_FILES))
+    return files.mapInArrow(_records, OUT)
 
 
 def error_message(xml: str = "error"):
@@ -58,19 +129,22 @@ def error_message(xml: str = "error"):
 
 
 def _cells(lines: DataFrame) -> DataFrame:
-    """(path, header, cells, bad): ``bad`` where a line has more fields than the header."""
-    rows = lines.where("cells is not null and error is null")
-    return rows.select("path", F.transform("header", lambda x: F.trim(x)).alias("header"), F.transform("cells", lambda x: F.trim(x)).alias("cells"), (F.size("cells") > F.size("header")).alias("bad"))
+    """(path, header, cells, bad): ``bad`` where a record has more fields than the header."""
+    rows = lines.where("error is null and trim(record) <> ''")
+    fields = F.regexp_extract_all(F.concat(F.lit(","), "record"), F.lit(FIELD), 1)
+    whole = lambda x: F.when(x.startswith('"'), F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x)
+    cells = F.when(F.contains("record", F.lit('"')), F.transform(fields, whole)).otherwise(F.split("record", ","))
+    return rows.select("path", "header", cells.alias("cells")).withColumn("bad", F.size("cells") > F.size("header"))
 
 
 def parse(lines: DataFrame, schema: str) -> DataFrame:
-    """Lines by the names of a DDL schema, wherever the file's own header puts them; absent columns are NULL.
+    """Records by the names of a DDL schema, wherever the file's own header puts them; absent columns and empty fields are NULL.
 
-    Lines with more fields than their header are left out, as ``bad_lines`` counts.
+    Records with more fields than their header are left out, as ``bad_lines`` counts.
     """
     wanted = lines.sparkSession.createDataFrame([], schema).schema
     place = lambda name: F.array_position("header", F.lit(name)).cast("int")
-    cell = lambda name: F.nullif(F.when(place(name) > 0, F.get("cells", place(name) - 1)), F.lit(""))
+    cell = lambda name: F.nullif(F.trim(F.when(place(name) > 0, F.get("cells", place(name) - 1))), F.lit(""))
     return _cells(lines).where(~F.col("bad")).select(*[cell(f.name).try_cast(f.dataType).alias(f.name) for f in wanted.fields])
 
 

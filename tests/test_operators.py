@@ -1,6 +1,8 @@
 import datetime as dt
+import io
 import json
 import math
+import tracemalloc
 import zipfile
 
 import numpy as np
@@ -116,6 +118,49 @@ def test_zipped_csv_and_xml_errors(spark, tmp_path):
     assert (error["code"], error["description"]) == ("1000", "No data")
 
 
+def test_records_are_cut_outside_quotes_only(monkeypatch):
+    body = 'a,b\r\n1,"x\ny ""z"", \u2028"\n\n2,\x0bq\n"3\r\n",é'.encode()
+    want = ["a,b", '1,"x\ny ""z"", \u2028"', "", "2,\x0bq", '"3\r\n",é']
+    for size in (1, 2, 3, 7, 1000):  # blocks that end anywhere, inside characters and quotes, too
+        monkeypatch.setattr(csv_zip, "BLOCK", size)
+        for tail in (b"", b"\n", b"\r\n"):
+            assert [t for part in csv_zip.cut(io.BytesIO(body + tail)) for t in part.to_pylist()] == want
+    assert [t for part in csv_zip.cut(io.BytesIO(b"ok\n\xff\n")) for t in part.to_pylist()] == ["ok", "\ufffd"]
+    assert list(csv_zip.cut(io.BytesIO(b""))) == []
+    monkeypatch.setattr(csv_zip, "LONGEST", 20)
+    with pytest.raises(csv_zip.BadCsv):
+        list(csv_zip.cut(io.BytesIO(b'"' + b"x\n" * 2000)))
+
+
+def test_quoted_line_ends_and_blank_lines(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "q.zip", "w") as z:
+        z.writestr("a.csv", '\ufeff\n\nNAME,"MW"\r\n"two\nlines, ""quoted""",1\r\n\r\n  plain ,2\r\n"",3\r\n,4,\r\nlong,5,6\r\n')
+    lines = csv_zip.read_zipped_csv(spark, str(tmp_path))
+    got = sorted((r["MW"], r["NAME"]) for r in csv_zip.parse(lines, "NAME string, MW int").collect())
+    assert got == [(1, 'two\nlines, "quoted"'), (2, "plain"), (3, None)]
+    assert [(r["n_lines"], r["n_bad"]) for r in csv_zip.bad_lines(lines).collect()] == [(5, 2)]
+
+
+def test_a_member_of_100_mb_is_never_held_as_a_whole(spark, tmp_path):
+    line = "2024-01-01,{},1.5," + "x" * 70 + "\n"
+    with zipfile.ZipFile(tmp_path / "big.zip", "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z, z.open("a.csv", "w") as out:
+        out.write(b"OPR_DT,OPR_HR,MW,NOTE\n")
+        for h in range(1, 25):
+            out.write(line.format(h).encode() * 46_000)
+    content = (tmp_path / "big.zip").read_bytes()
+    tracemalloc.start()
+    stream, _ = csv_zip._opened(content)
+    n = size = 0
+    for part in csv_zip.cut(stream):
+        n, size = n + len(part), size + part.nbytes
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 24 * 46_000 + 1 and size > 100e6 and most < 40e6
+    lines = csv_zip.read_zipped_csv(spark, str(tmp_path))
+    out = csv_zip.parse(lines, "OPR_HR int, MW double").groupBy("OPR_HR").agg(F.sum("MW").alias("mw")).collect()
+    assert len(out) == 24 and {r["mw"] for r in out} == {69_000.0}
+
+
 def test_second_source_reports(spark):
     schema = "OPR_DT string, OPR_HR string, {} string, MW string"
     green = spark.createDataFrame([("2024-01-01", "1", "Solar", "5"), ("2024-01-01", "1", "Wind", "x"), ("2024-01-01", "2", "Wind", "7")], schema.format("RENEWABLE_TYPE"))
