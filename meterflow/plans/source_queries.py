@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .. import shared
 from ..functions import scalar as S
 from ..operators import clean, quality, reshape, sequences
-from ..sources import csv_zip, files, keyed, raw_json, rest, store
+from ..sources import csv_zip, files, footers, keyed, raw_json, rest, store
 from ..operators import windows as W
 from ..streaming import cleaner
 from ..streaming import features as stream
@@ -379,8 +379,9 @@ def store_files(spark, sf_dir):
     return spark.createDataFrame([(there, folders, bool(found) and all(f["bytes"] > 0 for f in found), s.exists(s.path("raw", "events")))], "there boolean, folders long, sized boolean, after_delete boolean")
 
 
-@query("SELECT count(*) AS rows, min(ts) AS first, max(ts) AS last, 'click,error,purchase,signup,view' AS regions, 'demand,generation' AS data_types, 5::BIGINT AS columns FROM events")
+@query("SELECT count(*) AS rows, min(ts) AS first, max(ts) AS last, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS regions, string_agg(DISTINCT CASE WHEN event_type IN ('view', 'signup') THEN 'demand' ELSE 'generation' END, ',' ORDER BY CASE WHEN event_type IN ('view', 'signup') THEN 'demand' ELSE 'generation' END) AS data_types, 5::BIGINT AS columns FROM events")
 def store_profile(spark, sf_dir):
+    """Rows, range, regions and data types from footers and folder names."""
     got = saved(spark, sf_dir).info("raw", "events")
     row = (got["rows"], got["first"], got["last"], ",".join(sorted(got["region"])), ",".join(sorted(got["data_type"])), len(got["columns"]))
     return spark.createDataFrame([row], "rows long, first timestamp_ntz, last timestamp_ntz, regions string, data_types string, columns long")
@@ -443,6 +444,20 @@ def collected_sources(spark, sf_dir):
     return reshape.union_sources(failed, *[df.agg(F.lit(name).alias("source"), F.count("*").alias("n")) for name, df in frames.items()])
 
 
+@query("""SELECT event_type AS region, count(*) AS rows, min(ts) AS first, max(ts) AS last, min(event_id) AS low, max(event_id) AS high, true AS broken_named FROM events GROUP BY 1""")
+def store_footers(spark, sf_dir):
+    """Rows and ranges by folder, from footers alone; files whose footers are torn are named and stand beside."""
+    s = saved(spark, sf_dir)
+    torn = table(spark, sf_dir, "events").select(F.concat(F.lit("region=torn/part-"), F.floor(F.col("event_id") / 500).cast("string"), F.lit(".parquet")).alias("name")).distinct()
+    n, _ = files.write_named(torn.select("name", F.unhex(F.lit("5041523100000000000000000400000050415231")).alias("body")), s.path("raw", "events"))
+    found = s.footers("raw", "events")
+    at, ids = (footers.bounds(c, kind) for c, kind in (("timestamp", "timestamp_ntz"), ("event_id", "bigint")))
+    region = F.regexp_extract("path", "/region=([^/]+)/", 1)
+    named = s.unreadable("raw", "events").where(region == "torn").count() == n
+    ranges = found.where("error is null").groupBy(region.alias("region"))
+    return ranges.agg(F.sum("rows").alias("rows"), at[0].alias("first"), at[1].alias("last"), ids[0].alias("low"), ids[1].alias("high"), F.lit(named).alias("broken_named"))
+
+
 # parsing, validity, settings, streams --------------------------------------------------------------
 FORMS = ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd", "MM/dd/yyyy HH:mm")
 

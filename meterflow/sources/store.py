@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..schemas import DATASET
+from . import footers
 
 LAYERS = ("raw", "harmonized", "features")
 
@@ -38,16 +39,23 @@ class Store:
         return where
 
     def load(self, layer: str, name: str, columns: Sequence[str] | None = None, skip_unreadable: bool = False) -> DataFrame:
-        """The dataset; a damaged file fails the job unless it may be skipped (``unreadable`` names such files)."""
-        df = self.spark.read.option("ignoreCorruptFiles", skip_unreadable).parquet(self.path(layer, name))
+        """The dataset; a damaged file fails the job unless it may be skipped (``unreadable`` names such files).
+
+        Then the schema comes from the footers of all sound files, so that no damaged one is asked for it.
+        """
+        reader = self.spark.read
+        if skip_unreadable:
+            reader = reader.option("ignoreCorruptFiles", True).schema(footers.merged_schema(self.footers(layer, name)))
+        df = reader.parquet(self.path(layer, name))
         return df.select(*columns) if columns else df
 
-    def unreadable(self, layer: str, name: str) -> DataFrame:
-        """(path, bytes): data files without Parquet's magic bytes at both ends, looked at by tasks."""
-        found = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(self.path(layer, name))
-        magic = F.lit(b"PAR1")
-        whole = (F.substring("content", 1, 4) == magic) & (F.substring("content", -4, 4) == magic) & (F.col("length") >= 12)
-        return found.where(~whole).select("path", F.col("length").alias("bytes"))
+    def footers(self, layer: str, name: str, pages: bool = False) -> DataFrame:
+        """What the dataset's files say about themselves (``footers``); ``pages`` also reads and checks every page."""
+        return footers.footers(self.spark, self.path(layer, name), pages)
+
+    def unreadable(self, layer: str, name: str, pages: bool = False) -> DataFrame:
+        """(path, bytes, error): data files whose footer, or with ``pages`` any page, cannot be read."""
+        return footers.broken(self.footers(layer, name, pages))
 
     def load_range(self, layer: str, name: str, region: str | None = None, ts: str = "timestamp", start: str | None = None, end: str | None = None) -> DataFrame:
         """Region and inclusive range; both reach the scan as partition and row-group filters."""
@@ -89,11 +97,21 @@ class Store:
         return sorted(out, key=lambda x: x["name"])
 
     def info(self, layer: str, name: str, ts: str = "timestamp") -> dict:
-        """Rows, columns, range, regions and data types in one pass."""
-        df = self.load(layer, name)
-        extra = [F.collect_set(c).alias(c) for c in ("region", "data_type") if c in df.columns]
-        row = df.agg(F.count("*").alias("rows"), *([F.min(ts).alias("first"), F.max(ts).alias("last")] if ts in df.columns else []), *extra).first()
-        return row.asDict() | {"columns": df.columns}
+        """Rows, columns, range, regions and data types: from footers and folder names; a column that is neither is read alone."""
+        df, found = self.load(layer, name), self.footers(layer, name)
+        told = footers.profile(found, **({ts: "timestamp_ntz"} if ts in df.columns else {})).first()
+        out = {k: told[k] for k in ("rows", "files", "bytes", "broken")} | {"columns": df.columns}
+        if ts in df.columns:
+            out |= {"first": told[f"{ts}_min"], "last": told[f"{ts}_max"]}
+            if out["first"] is None and told["rows"]:  # written without statistics
+                out["first"], out["last"] = df.agg(F.min(ts), F.max(ts)).first()
+        folders = found.where("error is null and rows > 0").select("path").distinct()
+        for c in ("region", "data_type"):
+            if c in df.columns:
+                value = F.regexp_extract("path", f"/{c}=([^/]+)/", 1)
+                named = [r[0] for r in folders.select(F.url_decode(value)).distinct().collect()]
+                out[c] = named if all(named) and named else [r[0] for r in df.select(c).distinct().collect()]
+        return out
 
 
 def consolidate(df: DataFrame, path: str, files: int | None = None, ts: str = "timestamp") -> dict:
