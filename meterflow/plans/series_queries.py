@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import shared
-from ..operators import attention, features, quality, reshape, sequences
+from ..operators import attention, features, moments, quality, reshape, sequences
 from ..operators import windows as W
 from ..sources import synthetic
 from .panels import HOURLY, REGIONAL, WIDE, hourly, regional, wide
@@ -239,6 +239,28 @@ def normalizer_fit(spark, sf_dir):
     return sequences.fit_normalizer(wide(spark, sf_dir), FEATURES).select("feature", *[r6(c).alias(c) for c in ("mean", "std", "min", "max")])
 
 
+def refitted(spark, sf_dir) -> moments.MomentStore:
+    """The panel in three arrivals by month, day and hour, the second fitted twice."""
+    df, held = wide(spark, sf_dir), moments.MomentStore(spark, shared.fresh_path(spark, "moments"), FEATURES, ["region"])
+    part = F.dayofyear("datetime") % 3
+    for k in (0, 1, 1, 2):
+        held.add(df.where(part == k), f"part-{k}")
+    return held
+
+
+@query(f"WITH {WIDE} " + " UNION ALL ".join(f"SELECT region, '{c}' AS feature, round(avg({c}), 6) AS mean, round(stddev_pop({c}), 6) AS std, round(min({c}), 6) AS min, round(max({c}), 6) AS max FROM wide GROUP BY region" for c in FEATURES))
+def merged_fit(spark, sf_dir):
+    """Means, deviations and extremes of each region from the merged states of three arrivals."""
+    out = moments.fitted(refitted(spark, sf_dir).merged(), ["region"])
+    return out.select("region", "feature", *[r6(c).alias(c) for c in ("mean", "std", "min", "max")])
+
+
+@query(f"WITH {WIDE} " + " UNION ALL ".join(f"SELECT region, '{a}' AS x, '{b}' AS y, count(*) AS n, round(corr({a}, {b}), 6) AS correlation FROM wide GROUP BY region" for i, a in enumerate(FEATURES) for b in FEATURES[i + 1 :]))
+def merged_correlations(spark, sf_dir):
+    """Correlations of every pair of columns from the same states."""
+    return moments.correlations(refitted(spark, sf_dir).merged(), ["region"]).withColumn("correlation", r6("correlation"))
+
+
 @query(f"WITH {WIDE} SELECT region, datetime, " + ", ".join(f"round(({c} - avg({c}) OVER ()) / nullif(stddev_pop({c}) OVER (), 0), 6) AS {c}_norm" for c in FEATURES) + " FROM wide")
 def zscore_normalize(spark, sf_dir):
     df = wide(spark, sf_dir)

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meterflow.functions import scalar as S
-from meterflow.operators import attention, clean, features, quality, reshape, sequences
+from meterflow.operators import attention, clean, features, moments, quality, reshape, sequences
 from meterflow.operators import windows as W
 from meterflow.plans import config
 from meterflow.plans.pipeline import Pipeline, summary, timed, to_json
@@ -545,3 +545,32 @@ def test_ladder_equals_plain_frames(spark):
         for c in got.columns:
             x, y = a[c], b[c]
             assert (x is None) == (y is None) and (x == y or abs(x - y) <= 1e-7 * max(1.0, abs(y))), (c, x, y)
+
+
+def test_merged_moments_equal_the_full_fit(spark, tmp_path):
+    i = F.col("id")
+    a = F.when(i % 13 == 3, None).when(i % 17 == 1, float("nan")).otherwise(1e6 + F.sin(i) * 3)
+    b = F.when(i % 7 == 0, None).otherwise(F.cos(i * 1.1) + i * 1e-4)
+    df = spark.range(4000).select(F.when(i % 5 == 0, None).otherwise("r").alias("g"), a.alias("a"), b.alias("b"), F.lit(2.0).alias("c"), (i * i % 9).alias("k"))
+    held = moments.MomentStore(spark, str(tmp_path / "m"), ["a", "b", "c"], ["g"])
+    for k in (0, 1, 1, 2):
+        held.add(df.where((F.col("k") % 3) == k).drop("k"), f"p{k}")
+    held.add(df.where("k > 100"), "none")
+    merged = held.merged().cache()
+    again = moments.merge(moments.merge(held.states().where("n < 700"), ["g"]).unionByName(held.states().where("n >= 700")), ["g"])  # in steps
+    for state in (merged, again):
+        for g in (None, "r"):
+            mine = df.where(F.col("g").eqNullSafe(F.lit(g)))
+            want = {r["feature"]: r for r in sequences.fit_normalizer(mine, ["a", "b", "c"]).collect()}
+            got = {r["feature"]: r for r in moments.fitted(state, ["g"]).where(F.col("g").eqNullSafe(F.lit(g))).collect()}
+            assert got.keys() == want.keys()
+            for f, r in want.items():
+                for c in ("mean", "std", "min", "max"):
+                    assert math.isclose(got[f][c], r[c], rel_tol=1e-9, abs_tol=1e-12), (f, c)
+            both = mine.where("a is not null and not isnan(a) and b is not null")
+            pairs = {(r["x"], r["y"]): r for r in moments.correlations(state, ["g"]).where(F.col("g").eqNullSafe(F.lit(g))).collect()}
+            n, corr = both.agg(F.count("*"), F.corr("a", "b")).first()
+            assert pairs["a", "b"]["n"] == n and math.isclose(pairs["a", "b"]["correlation"], corr, abs_tol=1e-9)
+            assert pairs["a", "c"]["correlation"] is None
+    with pytest.raises(ValueError):
+        held.add(df, "../x")
