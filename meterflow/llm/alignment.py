@@ -42,7 +42,9 @@ from .common import BROADCAST_BYTES, only, row_bytes, save
 from .token_counts import blocks, words_of
 
 #: Words kept with their alignments in one Python worker; beyond it the table starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 400_000
+#: Characters of texts that are aligned together.
+BLOCK_CHARS = 1 << 20
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -136,12 +138,12 @@ class Table:
 
     def links(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(pairs, how many) of the links of ``rows``, one row after the other."""
-        n = self.counts[rows, 3]
+        n = self.counts[rows, 3].astype(np.int64)
         ends = np.cumsum(n)
         return self.pairs[np.repeat(self.begins[rows] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)], n
 
 
-EMPTY = Table(np.zeros(0, bool), np.zeros((0, 4), np.int64), [], np.zeros(0, np.int64), np.zeros(0, np.int64))
+EMPTY = Table(np.zeros(0, bool), np.zeros((0, 4), np.int32), [], np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 @dataclass
@@ -198,7 +200,7 @@ class Aligner:
         stops = np.cumsum(counts[0] + counts[1]).tolist()
         groups = ["".join(tokens[i:j])[:-1] for i, j in zip([0, *stops], stops)]
         till = [np.searchsorted(x, last, side="right") for x in (shared, cuts)]
-        return Table(right, np.stack([*counts, *[np.diff(t, prepend=0) for t in till]], axis=1), groups, pairs, np.r_[0, till[1][:-1]])
+        return Table(right, np.stack([*counts, *[np.diff(t, prepend=0) for t in till]], axis=1).astype(np.int32), groups, pairs, np.r_[0, till[1][:-1]])
 
     def _right(self, body: bytes, lengths: np.ndarray, flat, counts) -> np.ndarray:
         """Whether both sides give the bytes of each span back."""
@@ -269,7 +271,7 @@ def align_texts(docs: DataFrame, byte_path: str, piece_path: str, written: bool
         aligner = load(byte_path, piece_path)
         for batch in batches:
             ids, at = batch.column(0), 0
-            for block in blocks(batch.column(1).to_pylist()):
+            for block in blocks(batch.column(1).to_pylist(), BLOCK_CHARS):
                 found = aligner.texts(block)
                 hashes = [hashlib.sha256(g.encode()).hexdigest() if ok else "" for g, ok in zip(found.groups, found.right.tolist())]
                 offsets = pa.array(found.offsets, pa.int32())
