@@ -26,9 +26,6 @@ from ..schemas import GOOD_SHARES
 BLOCK, LONGEST = 1 << 20, 64 << 20
 #: A field behind its comma: quoted, with doubled quotes inside, or up to the next comma.
 FIELD = r',\s*("[^"]*+(?:""[^"]*+)*+"|[^,]*)'
-#: Files whose compressed bytes a task holds at a time.
-BATCH_FILES = 8
-BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 OUT = "path string, header array<string>, record string, error string"
 
 
@@ -117,8 +114,7 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_zipped_csv(spark: SparkSession, path: str, glob: str = "*.zip") -> DataFrame:
     """(path, header, record, error): the records of each file's first CSV member below its header; XML answers are errors, with their text."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path).select("path", "content")
-    if not 0 < int(spark.conf.get(BATCH_KEY)) <= BATCH_FILES:
-        spark.conf.set(BATCH_KEY, str(BATCH_FILES))
+    # compressed files come to a task in batches that Spark bounds by their bytes (spark.sql.execution.arrow.maxBytesPerBatch)
     return files.mapInArrow(_records, OUT)
 
 
