@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .. import shared
 from ..functions import scalar as S
 from ..operators import clean, quality, reshape, sequences
-from ..sources import csv_zip, files, footers, keyed, raw_json, rest, store
+from ..sources import csv_zip, files, footers, keyed, layout, raw_json, rest, store
 from ..operators import windows as W
 from ..streaming import cleaner
 from ..streaming import features as stream
@@ -402,6 +402,26 @@ def store_consolidated(spark, sf_dir):
     return spark.createDataFrame([row], "rows long, first timestamp_ntz, last timestamp_ntz, in_order boolean, rows_of_nothing long")
 
 
+@query("""SELECT 'region' AS probe, count(*) AS n, round(sum(value), 4) AS total, true AS skips FROM events WHERE user_id % 50 = 7
+UNION ALL SELECT 'day', count(*), round(sum(value), 4), true FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-10 00:00:00' AND TIMESTAMP '2024-01-10 23:59:59'
+UNION ALL SELECT 'both', count(*), round(sum(value), 4), true FROM events WHERE user_id % 50 = 7 AND ts BETWEEN TIMESTAMP '2024-01-10 00:00:00' AND TIMESTAMP '2024-01-10 23:59:59'""")
+def store_interleaved(spark, sf_dir):
+    """Consolidated by region and time at once: a filter on either one skips more than half of the row groups by their footers."""
+    rows = table(spark, sf_dir, "events").select(F.format_string("R%02d", F.col("user_id") % 50).alias("region"), F.col("ts").alias("timestamp"), "value")
+    path, day = shared.fresh_path(spark, "interleaved"), ("2024-01-10 00:00:00", "2024-01-10 23:59:59")
+    told = store.consolidate(rows, path, 4, interleave=True, group_rows=max(1, rows.count() // 64), bits=6)
+    asks = {"region": [("region", "string", "R07", "R07")], "day": [("timestamp", "timestamp_ntz", *day)]}
+    asks["both"], found, saved_rows, out = asks["region"] + asks["day"], footers.footers(spark, path), spark.read.parquet(path), None
+    for probe, bounds in asks.items():
+        met, skips = saved_rows, F.lit(told["rows"] > 0)
+        for column, kind, lo, hi in bounds:
+            met = met.where(F.col(column).between(F.lit(lo).cast(kind), F.lit(hi).cast(kind)))
+            skips = skips & layout.groups_read(found, column, kind, lo, hi).select(F.col("read") * 2 < F.col("groups")).scalar()
+        one = met.agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.lit(probe).alias("probe"), "n", "total", skips.alias("skips"))
+        out = one if out is None else out.union(one)
+    return out
+
+
 @query("SELECT date_trunc('hour', ts) AS ts, round(sum(value), 6) AS total FROM events GROUP BY 1")
 def store_cached(spark, sf_dir):
     """Built and saved at the first call, loaded at the second, whose builder is never run."""
