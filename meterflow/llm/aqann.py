@@ -301,7 +301,7 @@ def search(vectors: DataFrame, k: int = 5, every: int = EVERY, rerank: int = RER
     dim = quantizer.books.shape[2]
     codes = save(index(vectors, quantizer, k), "codes")
     good = usable(vectors).where(F.size("v") == dim)
-    queries = save(good.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).withColumnRenamed("vec_id", "query_id"), "queries")
+    queries = save(good.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v")), "queries")
     n_q, n_c = max(1, -(-queries.count() // QUERY_BLOCK)), max(1, -(-codes.count() // CODE_BLOCK))
     # a grid of blocks: each query block goes to every code block and the other way round
     left = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int")).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -101,3 +102,37 @@ def remainder(doc_id: Column | str, n: int) -> Column:
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """Bytes of text in the whole table: one aggregated row."""
     return docs.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0)).alias("b")).first()["b"]
+
+
+#: Equal rows of one id part by their place from so many rows on, or from this share of a block's bytes.
+HOT_ROWS, HOT_SHARE = 1000, 16
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``place``, a hash of where each lies: of its file and its number there, so that it is the same whenever it is read.
+
+    What does not come straight from files is saved first.
+    """
+    place = F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("place")
+    try:
+        return rows.select("*", place)
+    except AnalysisException:
+        return save(rows, "placed").select("*", place)
+
+
+def spread(rows: DataFrame, block_bytes: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``rows`` (doc_id, text and others) with ``spread``, a hash to deal them by to blocks of about ``block_bytes``.
+
+    It is the hash of id and text, so rows that share an id, or have none, part by their texts. Equal rows of one
+    id that are many are counted beforehand and part by their place in the input; there are at most
+    rows / ``hot_rows`` kinds of them and ``HOT_SHARE`` for each block.
+    """
+    key = F.xxhash64("doc_id", "text")
+    size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)))
+    many = rows.groupBy(key.alias("hot")).agg(F.count("*").alias("n"), size.alias("b"))
+    hot = save(many.where((F.col("n") > 1) & ((F.col("n") > hot_rows) | (F.col("b") > block_bytes // HOT_SHARE))).select("hot"), "hot-rows")
+    if not hot.rows:
+        return rows.withColumn("spread", key)
+    keyed = placed(rows).withColumn("spread", key)
+    joined = keyed.join(if_small(hot), keyed["spread"] == hot["hot"], "left")
+    return joined.withColumn("spread", F.when(F.col("hot").isNotNull(), F.xxhash64("spread", "place")).otherwise(F.col("spread"))).drop("hot", "place")

@@ -12,8 +12,8 @@ themselves, made in the task that packs them. A shard leaves at most a few bins
 shards cost next to nothing.
 
 Defined results: NULL or wordless text gives one row with ``n_words`` 0 and no bin, and is in no
-sequence; a NULL doc_id is carried, its rows are dealt by their place in the input; repeated rows are
-packed once each; long texts are cut, never shortened; an empty table gives an empty table; other
+sequence; a NULL doc_id is carried; repeated rows are packed once each, and many equal ones are dealt by
+their place in the input (which of them lies where may then differ between runs); long texts are cut, never shortened; an empty table gives an empty table; other
 columns are ignored.
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import SPACE, only, text_bytes
+from .common import SPACE, only, spread, text_bytes
 
 CAPACITIES = (512, 1024, 2048, 4096)
 SHARD_ROWS = 20_000
@@ -105,7 +105,7 @@ def _planner(capacities: tuple[int, ...], cost, with_text: bool):
     largest = max(capacities)
 
     def plan(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "n"], kind="stable")
+        rows = rows.sort_values(["doc_id", "n", "tie"], kind="stable")
         cut = _cut(rows["n"].tolist(), largest)
         real = [i for i, c in enumerate(cut) if c[4] > 0]
         packed: list = [(None, None, None, None)] * len(cut)
@@ -141,7 +141,7 @@ def _sequencer(capacities: tuple[int, ...], cost, encode=None):
     largest = max(capacities)
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        order = np.lexsort((table.column("n").to_numpy(), table.column("doc_id").fill_null(-(1 << 62)).to_numpy()))
+        order = np.lexsort((table.column("tie").to_numpy(), table.column("n").to_numpy(), table.column("doc_id").fill_null(-(1 << 62)).to_numpy()))
         table = table.take(pa.array(order))
         ids, texts = table.column("doc_id").to_pylist(), [t or "" for t in table.column("text").to_pylist()]
         held = [encode()(t) for t in texts] if encode else None
@@ -166,15 +166,15 @@ def _sequencer(capacities: tuple[int, ...], cost, encode=None):
 
 
 def _dealt(docs: DataFrame, with_text: bool) -> DataFrame:
-    """(shard, doc_id, n[, text]): rows dealt to shards by hash; rows without an id by their place in the input."""
+    """(shard, doc_id, n, tie[, text]): rows dealt to shards by hash (``spread``)."""
     words = F.size(F.array_remove(F.split(F.coalesce(F.col("text"), F.lit("")), SPACE), ""))
-    base = only(docs, doc_id="long", text="string").withColumn("n", words)
+    base = only(docs, doc_id="long", text="string")
     if with_text:
         shards = max(1, -(-text_bytes(base) // SHARD_BYTES))
     else:
         shards = max(1, -(-base.count() // SHARD_ROWS))
-    spread = F.xxhash64("doc_id", F.octet_length("text"), F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
-    return base.select(F.pmod(spread, F.lit(shards)).cast("int").alias("shard"), "doc_id", "n", *["text"] * with_text)
+    dealt = spread(base.select("doc_id", "text"), SHARD_BYTES).withColumn("n", words)
+    return dealt.select(F.pmod("spread", F.lit(shards)).cast("int").alias("shard"), "doc_id", "n", F.col("spread").alias("tie"), *["text"] * with_text)
 
 
 def pack_docs(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, cost=default_cost, with_text: bool = False) -> DataFrame:

@@ -10,7 +10,8 @@ so the probability of each distinct n-gram is a few joins and windows of at most
 Below order 0 the symbols not seen at all share the rest. ``score`` is the log10 probability of the
 lower-cased bytes of the text and an end symbol.
 
-Scale: documents are dealt to blocks of about BLOCK_BYTES of text. A block is reduced to its distinct
+Scale: documents are dealt to blocks of about BLOCK_BYTES of text; many equal rows part by their place in
+the input, which is the same for both passes. A block is reduced to its distinct
 n-grams and words before any shuffle of counts; counts are summed over blocks by key, turned to
 probabilities once for each distinct key, and sent back to the blocks that hold the key, where the
 documents are scored. No table of the corpus is broadcast or collected. Words are keyed by 63-bit
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import remainder, save
+from .common import remainder, save, spread
 from .shingles import WordHashes, word_hashes
 
 ORDER = 5
@@ -157,23 +158,23 @@ RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 
 def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(block, doc_id, text, train): documents dealt to blocks by hash, like languages together."""
+    """(block, doc_id, text, train): documents dealt to blocks by hash (``spread``), like languages together."""
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), lang.alias("lang"))
     volume = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)
     sizes = rows.groupBy("lang").agg(volume.alias("b")).orderBy(F.desc("b"), "lang").limit(64).collect()
-    # rows without an id are told apart by their text
-    spread = F.xxhash64("doc_id", F.octet_length("text"), F.when(F.col("doc_id").isNull(), F.col("text")))
+    rows = spread(rows, block_bytes)
+    own = F.col("spread")
     # the 63 largest languages get blocks of their own, all others share theirs
     first, deal = 0, F.lit(None)
     for name, size in [(r["lang"], r["b"]) for r in sizes[:63]]:
         n = max(1, round(size / block_bytes))
-        here = F.pmod(spread, F.lit(n)) + first
+        here = F.pmod(own, F.lit(n)) + first
         deal = F.when(F.col("lang").eqNullSafe(F.lit(name)), here) if first == 0 else deal.when(F.col("lang").eqNullSafe(F.lit(name)), here)
         first += n
     if len(sizes) == 64:
         rest = rows.agg(volume.alias("b")).first()["b"] - sum(r["b"] for r in sizes[:63])
-        deal = deal.otherwise(F.pmod(spread, F.lit(max(1, round(rest / block_bytes)))) + first)
+        deal = deal.otherwise(F.pmod(own, F.lit(max(1, round(rest / block_bytes)))) + first)
     held_out = F.coalesce(remainder("doc_id", 5) == 1, F.lit(False))
     return rows.select(deal.cast("int").alias("block"), "doc_id", "text", (~held_out).alias("train"))
 

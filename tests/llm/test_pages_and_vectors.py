@@ -3,6 +3,7 @@ import urllib.parse
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from meterflow.llm import aqann, templates
@@ -149,6 +150,16 @@ def test_a_dense_group_is_met_as_a_whole(spark):
         assert got[q] == set(np.argsort(-s)[:5].tolist())
 
 
+def test_differing_vectors_under_one_id(spark):
+    """An id asks by its least vector and is found by its nearest, in whatever order the rows come."""
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.1]), (2, [0.1, 1.0]), (3, [-1.0, -1.0]), (3, [0.2, 1.0])]
+    want = [(1, 2, 1 / 1.01**0.5 * 1.0), (2, 3, 1 / 1.04**0.5), (3, 1, 0.1 / 1.01**0.5)]
+    for order in (rows, rows[::-1]):
+        got = aqann.search(spark.createDataFrame(order, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+        assert [(r["rank"], r["vec_id"]) for r in got] == [w[:2] for w in want]
+        assert [r["score"] for r in got] == pytest.approx([w[2] for w in want])
+
+
 def test_few_or_no_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
     got = [(r["rank"], r["vec_id"]) for r in aqann.search(df).orderBy("rank").collect()]

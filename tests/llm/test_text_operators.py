@@ -415,6 +415,27 @@ def test_ppm_of_many_languages_and_hot_rows(spark):
     assert n >= 70
 
 
+def test_equal_rows_of_one_id_fill_no_block(spark, tmp_path):
+    """100,000 equal rows with one id, and as many without one, are dealt evenly, alike at each reading and whole."""
+    spark.range(200_000).selectExpr("CASE WHEN id % 2 = 0 THEN 7 END AS doc_id", "'one id many times' AS text", "'en' AS lang").write.parquet(str(tmp_path / "d"))
+    for docs in (spark.read.parquet(str(tmp_path / "d")), spark.range(0, 100_000, 1, 3).selectExpr("7L AS doc_id", "'one id many times' AS text", "id % 2 AS _metadata").repartition(5)):
+        rows = docs.count()
+        dealt = ppm.blocks(docs, 200_000)
+        first, again = ({r["block"]: r["count"] for r in dealt.groupBy("block").count().collect()} for _ in range(2))
+        assert first == again and sum(first.values()) == rows and len(first) >= 8
+        assert max(first.values()) < 2 * rows / len(first)
+        shards = [r["count"] for r in packing._dealt(docs, False).groupBy("shard").count().collect()]
+        assert sum(shards) == rows and len(shards) == rows // packing.SHARD_ROWS and max(shards) < 2 * rows / len(shards)
+    packed = packing.pack_docs(docs).agg(F.sum("n_words").alias("n"), F.count("*").alias("rows")).first()
+    assert (packed["n"], packed["rows"]) == (4 * 100_000, 100_000)
+
+
+def test_one_id_with_many_texts_is_dealt_by_its_texts(spark):
+    docs = spark.range(3000).selectExpr("7L AS doc_id", "'t' || lpad(id, 7, '0') AS text")
+    sizes = [r["count"] for r in ppm.blocks(docs, 3000).groupBy("block").count().collect()]
+    assert sum(sizes) == 3000 and len(sizes) == 9 and max(sizes) < 2 * 3000 / 9
+
+
 def test_ppm_of_nothing(no_docs):
     assert ppm.score_docs(no_docs).count() == 0
 
