@@ -1,7 +1,10 @@
 """A paged REST source as a Spark data source, for a batch and for a stream.
 
 ``spark.dataSource.register(PagedSource)`` and then ``spark.read.format("paged")`` with options
-``requests`` (JSON list of requests) and ``transport``: one partition per request, an Arrow batch per page.
+``requests`` (JSON list of requests) and ``transport``: an Arrow batch per page. The driver asks each request for
+its total alone and deals its pages to tasks, ``pages_per_task`` each (more where that makes over ``tasks`` tasks);
+a request's last task reads on until a page is short. A task has ``pool`` calls under way, so that their waits and
+pauses overlap; a policy that makes one call at a time reads each request in one task, page after page.
 The transport ``replay:<folder>`` answers from recorded pages below any address that pyarrow opens (each a
 line per try, so that failures replay, too); ``http:<address>`` fetches. Failed tasks are tried again by
 Spark, single calls by the reader as the source's ``policy`` says; ``wait=none`` leaves the waiting out. All
@@ -18,11 +21,12 @@ shorter fails the stream.
 from __future__ import annotations
 
 import json
+import threading
 import time
 import urllib.parse
 import urllib.request
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections import Counter, deque
+from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -46,10 +50,11 @@ class Policy:
     other: float = 2.0  # growth after anything else, once it was waited
     cap: float = 60.0
     before: float = 0.0  # seconds before every call
+    pool: int = 32  # calls that a task has under way
 
 
 #: The first source: pooled calls; the second: spaced calls, long pauses, HTTP errors other than 429 are final.
-POLICIES = {"pooled": Policy(), "spaced": Policy(pause=5.0, codes=(429,), other=1.5, before=3.0)}
+POLICIES = {"pooled": Policy(), "spaced": Policy(pause=5.0, codes=(429,), other=1.5, before=3.0, pool=1)}
 
 ENDPOINTS = {"demand": "electricity/rto/region-data/data", "generation": "electricity/rto/fuel-type-data/data"}
 
@@ -70,9 +75,8 @@ class TooManyRecords(RuntimeError):
     """A request has more records than ``most``."""
 
 
-def pages(fetch: Callable[[dict], dict], params: dict, most: int | None = None, page: int = PAGE, on_most: str = "fail") -> Iterator[list[dict]]:
+def pages(fetch: Callable[[dict], dict], params: dict, most: int | None = None, page: int = PAGE, on_most: str = "fail", offset: int = 0) -> Iterator[list[dict]]:
     """Successive pages until one is short. Beyond ``most`` records it fails, or ends with ``on_most="stop"``."""
-    offset = 0
     while True:
         if most is not None and offset > most:
             if on_most == "stop":
@@ -106,6 +110,22 @@ def retried(call: Callable[[], dict], policy: Policy = POLICIES["pooled"], sleep
     raise AssertionError("unreachable")
 
 
+def ahead(call: Callable, asked: Iterable, pool: int) -> Iterator:
+    """``call`` of all that is asked, in its order: ``pool`` under way, so that pauses overlap, and at most four times as many results held."""
+    held: deque = deque()
+    with ThreadPoolExecutor(pool) as threads:
+        try:
+            for x in asked:
+                if len(held) >= (4 * pool if pool > 1 else 1):
+                    yield held.popleft().result()
+                held.append(threads.submit(call, x))
+            while held:
+                yield held.popleft().result()
+        finally:
+            for waiting in held:
+                waiting.cancel()
+
+
 class Refused(OSError):
     """An answer that is an HTTP error."""
 
@@ -125,6 +145,7 @@ class Replay:
     def __init__(self, where: str, endpoint: str, page: int):
         self.fs, self.top = open_path(where)
         self.endpoint, self.page, self.tried = endpoint, page, Counter()
+        self.ends, self.listing = None, threading.Lock()
 
     def _name(self, params: dict, offset: int | str) -> str:
         regions = [v for k, v in sorted(params.items()) if k.startswith("facets[respondent]")]
@@ -146,15 +167,27 @@ class Replay:
         rows = answer["response"]["data"][offset - first : offset - first + length]
         return {"response": answer["response"] | {"data": rows}}
 
+    def _ends(self) -> dict[str, int]:
+        """The largest offset of each request by the begin of its names; the folder is listed once for all requests."""
+        with self.listing:
+            if self.ends is None:
+                self.ends = {}
+                for x in self.fs.get_file_info(pyarrow.fs.FileSelector(self.top, allow_not_found=True)):
+                    begin, _, offset = x.base_name.removesuffix(".json").rpartition("_")
+                    if x.base_name.endswith(".json") and offset.isdigit():
+                        self.ends[begin] = max(int(offset), self.ends.get(begin, 0))
+            return self.ends
+
     def total(self, params: dict) -> int:
         """Records of a request, from its last page."""
-        begin, end = self._name(params, "").removesuffix(".json"), ".json"
-        found = [x.base_name for x in self.fs.get_file_info(pyarrow.fs.FileSelector(self.top, allow_not_found=True))]
-        offsets = [int(n) for x in found if x.startswith(begin) and x.endswith(end) and (n := x[len(begin) : -len(end)]).isdigit()]
-        if not offsets:
+        last = self._ends().get(self._name(params, "").removesuffix("_.json"))
+        if last is None:
             return 0
-        with self.fs.open_input_stream(f"{self.top}/{self._name(params, max(offsets))}") as file:
-            return max(offsets) + len(json.loads(file.read().decode().splitlines()[-1])["response"]["data"])
+        with self.fs.open_input_stream(f"{self.top}/{self._name(params, last)}") as file:
+            answer = json.loads(file.read().decode().splitlines()[-1])
+        if "status" in answer:
+            raise Refused(answer["status"])
+        return last + len(answer["response"]["data"])
 
 
 class Http:
@@ -168,9 +201,10 @@ class Http:
             raise ValueError("the answer has no response")
         return found
 
-    def total(self, params: dict) -> int:
-        """Records of a request, as the source counts them."""
-        return int(self(params | {"offset": "0", "length": "1"})["response"]["total"])
+    def total(self, params: dict) -> int | None:
+        """Records of a request, as the source counts them, if it does."""
+        found = self(params | {"offset": "0", "length": "1"})["response"].get("total")
+        return None if found is None else int(found)
 
 
 def transport(spec: str, endpoint: str, page: int = PAGE) -> Replay | Http:
@@ -207,6 +241,8 @@ class Calls:
         self.spec = options["transport"]
         self.page = int(options.get("page", PAGE))
         self.policy = POLICIES[options.get("policy", "pooled")]
+        self.pool = int(options.get("pool", self.policy.pool))
+        self.pages_per_task, self.tasks = int(options.get("pages_per_task", 20)), int(options.get("tasks", 200))
         self.sleep = {"sleep": time.sleep, "none": _no_wait}[options.get("wait", "sleep")]
 
     def of(self, request: dict) -> tuple[Replay | Http, dict]:
@@ -217,6 +253,35 @@ class Calls:
     def retried(self, call: Callable[[], dict]) -> dict:
         return retried(call, self.policy, self.sleep)
 
+    def totals(self) -> list[int | None]:
+        """Records of each request; None where the source does not tell."""
+        fetches = {t: transport(self.spec, ENDPOINTS[t], self.page) for t in {r["data_type"] for r in self.requests}}
+
+        def total(request: dict) -> int | None:
+            return self.retried(lambda: fetches[request["data_type"]].total(self.of(request)[1]))
+
+        with ThreadPoolExecutor(8) as threads:
+            return list(threads.map(total, self.requests))
+
+    def step(self, spans: list[tuple[int, int]]) -> int:
+        """Records of a task, so that these spans of records need about ``tasks`` tasks at most."""
+        n = sum(-(-(last - at) // self.page) for at, last in spans)
+        return self.page * max(self.pages_per_task, -(-n // self.tasks))
+
+    def between(self, request: dict, at: int, last: int) -> Iterator[pa.RecordBatch]:
+        """The pages between two offsets, in order."""
+        fetch, params = self.of(request)
+
+        def batch(span: tuple[int, int]) -> pa.RecordBatch:
+            asked = params | {"offset": str(span[0]), "length": str(span[1] - span[0])}
+            rows = self.retried(lambda: fetch(asked))["response"]["data"]
+            if len(rows) != span[1] - span[0]:
+                raise Shrunk(f"{request}: {len(rows)} of {span[1] - span[0]} records from {span[0]} on")
+            return as_batch(request["data_type"], rows)
+
+        cuts = [at, *range((at // self.page + 1) * self.page, last, self.page)]
+        return ahead(batch, zip(cuts, [*cuts[1:], last]) if at < last else [], self.pool)
+
 
 def _no_wait(seconds: float) -> None:
     pass
@@ -229,12 +294,23 @@ class PagedReader(DataSourceReader):
         self.on_most = options.get("on_most", "fail")
 
     def partitions(self) -> list[Request]:
-        return [Request(r) for r in self.calls.requests]
+        page, most = self.calls.page, self.most
+        totals = self.calls.totals() if self.calls.pool > 1 else [None] * len(self.calls.requests)
+        # whole pages are dealt; the last task of a request reads on from their end, and meets ``most`` there
+        full = [(n if most is None else min(n, most)) // page * page if n else 0 for n in totals]
+        step, out = self.calls.step([(0, n) for n in full]), []
+        for request, n in zip(self.calls.requests, full):
+            for at in range(0, max(n, 1), step):
+                out.append(Request(request | {"from": at, "to": min(n, at + step), "on": at + step >= n}))
+        return out
 
     def read(self, partition: Request) -> Iterator[pa.RecordBatch]:
-        fetch, params = self.calls.of(partition.value)
-        for rows in pages(lambda p: self.calls.retried(lambda: fetch(p)), params, self.most, self.calls.page, self.on_most):
-            yield as_batch(partition.value["data_type"], rows)
+        request = partition.value
+        yield from self.calls.between(request, request["from"], request["to"])
+        if request["on"]:
+            fetch, params = self.calls.of(request)
+            for rows in pages(lambda p: self.calls.retried(lambda: fetch(p)), params, self.most, self.calls.page, self.on_most, request["to"]):
+                yield as_batch(request["data_type"], rows)
 
 
 class Shrunk(RuntimeError):

@@ -2,6 +2,7 @@ import datetime as dt
 import io
 import json
 import math
+import threading
 import tracemalloc
 import zipfile
 
@@ -442,6 +443,63 @@ def test_paged_source_replays_recordings(spark, tmp_path):
     assert rest.parameters("demand", ["A", "B"], "x", "y")["facets[respondent][1]"] == "B"
 
 
+class Meeting:
+    """A transport of one request of ``n`` records whose calls wait until ``k`` of them are under way."""
+
+    def __init__(self, n, k=1, told=None):
+        self.n, self.told, self.door, self.asked = n, told, threading.Barrier(k, timeout=20), []
+
+    def __call__(self, params):
+        at, length = int(params["offset"]), int(params["length"])
+        self.asked.append(at)
+        if at < 80:
+            self.door.wait()
+        return {"response": {"data": [{"value": i} for i in range(at, min(self.n, at + length))]}}
+
+    def total(self, params):
+        return self.told
+
+
+def read_by_tasks(monkeypatch, fetch, **more):
+    """What each task of a read of one request by pages of 10 finds."""
+    monkeypatch.setattr(rest, "transport", lambda *_: fetch)
+    asked = json.dumps([{"data_type": "demand", "regions": ["A"], "start": "s", "end": "e"}])
+    reader = rest.PagedReader({"requests": asked, "transport": "replay:x", "page": "10", "wait": "none"} | more)
+    return [[int(x) for b in reader.read(p) for x in b["value"].to_pylist()] for p in reader.partitions()]
+
+
+def test_a_long_request_is_read_by_several_tasks_with_calls_under_way(monkeypatch):
+    got = read_by_tasks(monkeypatch, Meeting(85, 4, 85), pages_per_task="4", pool="4")
+    assert got == [list(range(40)), list(range(40, 85))]
+    assert read_by_tasks(monkeypatch, Meeting(85, 8, 85), pages_per_task="2", pool="8", tasks="1") == [list(range(85))]
+
+
+@pytest.mark.parametrize("told", [None, 0, 7, 60, 80, 85])
+def test_records_beyond_the_total_are_read(monkeypatch, told):
+    got = read_by_tasks(monkeypatch, Meeting(85, 1, told), pages_per_task="3")
+    assert sum(got, []) == list(range(85)) and len(got) == max(1, -(-(told or 0) // 10 * 10 // 30))
+    assert sum(read_by_tasks(monkeypatch, Meeting(85, 1, told), pages_per_task="3", most="25", on_most="stop"), []) == list(range(30))
+    with pytest.raises(rest.TooManyRecords):
+        read_by_tasks(monkeypatch, Meeting(85, 1, told), pages_per_task="3", most="25")
+
+
+def test_records_that_are_gone_fail_and_spaced_calls_stay_single(monkeypatch):
+    with pytest.raises(rest.Shrunk):
+        read_by_tasks(monkeypatch, Meeting(33, 1, 85), pages_per_task="3")
+    spaced = Meeting(85, 1, 85)
+    assert read_by_tasks(monkeypatch, spaced, pages_per_task="3", policy="spaced") == [list(range(85))] and spaced.asked == list(range(0, 90, 10))
+
+
+def test_a_folder_of_recordings_is_listed_once(tmp_path, monkeypatch):
+    for region, offset, n in (("A", 0, 3), ("A", 3, 2), ("A", 12, 1), ("B_C", 0, 1)):
+        (tmp_path / f"region-data_{region}_s_{offset}.json").write_text('{"status": 429}\n' + json.dumps({"response": {"data": [{}] * n}}))
+    (tmp_path / "region-data_A_s_99.txt").write_text("")
+    asked = json.dumps([{"data_type": "demand", "regions": [r], "start": "s", "end": "e"} for r in ("A", "B_C", "none")])
+    listed, selector = [], rest.pyarrow.fs.FileSelector
+    monkeypatch.setattr(rest.pyarrow.fs, "FileSelector", lambda *a, **k: listed.append(a) or selector(*a, **k))
+    assert rest.Calls({"requests": asked, "transport": f"replay:{tmp_path}", "page": "3"}).totals() == [13, 1, 0] and len(listed) == 1
+
+
 def test_retries_then_gives_up():
     calls, pauses = [], []
 
