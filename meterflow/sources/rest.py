@@ -13,7 +13,7 @@ unless ``on_most`` is ``stop``.
 
 ``spark.readStream.format("paged")`` takes the same options for requests whose records are only ever added
 to, in order of period. An offset is the number of records of each request; the driver asks each request for its
-total alone, and tasks read what lies between two offsets, ``pages_per_task`` pages each, so that a restart
+total alone, and tasks read what lies between two offsets, dealt as in a batch, so that a restart
 reads from where the last committed batch ended and every record comes once. A request that has become
 shorter fails the stream.
 """
@@ -322,25 +322,23 @@ class PagedStreamReader(DataSourceStreamReader):
 
     def __init__(self, options: dict):
         self.calls = Calls(options)
-        self.pages_per_task = int(options.get("pages_per_task", 20))
 
     def initialOffset(self) -> dict:
         return {}
 
     def latestOffset(self) -> dict:
-        def total(request: dict) -> int:
-            fetch, params = self.calls.of(request)
-            return self.calls.retried(lambda: fetch.total(params))
-
-        with ThreadPoolExecutor(8) as pool:
-            return {_key(r): n for r, n in zip(self.calls.requests, pool.map(total, self.calls.requests))}
+        found = dict(zip(map(_key, self.calls.requests), self.calls.totals()))
+        if None in found.values():
+            raise ValueError("the source does not tell how many records a request has")
+        return found
 
     def partitions(self, start: dict, end: dict) -> list[Request]:
-        out, step = [], self.calls.page * self.pages_per_task
-        for request in self.calls.requests:
-            at, last = start.get(_key(request), 0), end.get(_key(request), 0)
+        spans = [(start.get(k, 0), end.get(k, 0)) for k in map(_key, self.calls.requests)]
+        for request, (at, last) in zip(self.calls.requests, spans):
             if last < at:
                 raise Shrunk(f"{request}: {at} records were read, now there are {last}")
+        out, step = [], self.calls.step(spans)
+        for request, (at, last) in zip(self.calls.requests, spans):
             while at < last:
                 till = min(last, at // step * step + step)
                 out.append(Request(request | {"from": at, "to": till}))
@@ -349,16 +347,7 @@ class PagedStreamReader(DataSourceStreamReader):
 
     def read(self, partition: Request) -> Iterator[pa.RecordBatch]:
         request = partition.value
-        fetch, params = self.calls.of(request)
-        at, last, page = request["from"], request["to"], self.calls.page
-        while at < last:
-            n = min(last, at // page * page + page) - at
-            asked = params | {"offset": str(at), "length": str(n)}
-            rows = self.calls.retried(lambda: fetch(asked))["response"]["data"]  # noqa: B023
-            if len(rows) != n:
-                raise Shrunk(f"{request}: {len(rows)} of {n} records from {at} on")
-            yield as_batch(request["data_type"], rows)
-            at += n
+        return self.calls.between(request, request["from"], request["to"])
 
     def commit(self, end: dict) -> None:
         pass

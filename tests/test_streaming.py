@@ -164,3 +164,33 @@ def test_partitions_of_a_paged_stream():
     assert reader.partitions({key: 7}, {key: 7}) == [] and reader.latestOffset() == {key: 0}
     with pytest.raises(rest.Shrunk):
         reader.partitions({key: 7}, {key: 5})
+
+
+def test_a_long_batch_of_a_paged_stream_has_few_tasks_with_calls_under_way(monkeypatch):
+    import json
+    import threading
+
+    from meterflow.sources import rest
+
+    requests = [{"data_type": "demand", "regions": [r], "start": "s", "end": "e"} for r in "ABC"]
+    reader = rest.PagedStreamReader({"requests": json.dumps(requests), "transport": "replay:/nowhere", "page": "10", "pages_per_task": "2", "tasks": "50", "pool": "4", "wait": "none"})
+    a, b, c = map(rest._key, reader.calls.requests)
+    start, end = {a: 7, b: 0}, {a: 100_003, b: 12, c: 0}
+    found = [p.value for p in reader.partitions(start, end)]
+    assert len(found) <= 52 and all(p["regions"] == ["A"] or (p["from"], p["to"]) == (0, 12) for p in found)
+    spans = [(p["from"], p["to"]) for p in found if p["regions"] == ["A"]]
+    assert [x[0] for x in spans] == [7, *[x[1] for x in spans[:-1]]] and spans[-1][1] == 100_003 and all(x % 10 == 0 for _, x in spans[:-1])
+
+    door, refused = threading.Barrier(4, timeout=20), set()
+
+    def fetch(params):
+        at, n = int(params["offset"]), int(params["length"])
+        if at not in refused:  # pauses after a refusal overlap
+            refused.add(at)
+            door.wait()
+            raise rest.Refused(503)
+        return {"response": {"data": [{"value": k} for k in range(at, at + n)]}}
+
+    monkeypatch.setattr(rest, "transport", lambda *_: fetch)
+    read = [b["value"].to_pylist() for b in reader.read(rest.Request(requests[0] | {"from": 7, "to": 75}))]
+    assert sum(read, []) == [str(k) for k in range(7, 75)] and len(read) == 8
